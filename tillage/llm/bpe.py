@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import ragged, slices
+from .pieces import PieceIds
+from .texts import slices
 
 # Classes of codepoints.
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = range(6)
@@ -157,33 +158,15 @@ def boundaries(data: bytes, edge: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """Pair merging with a cache of two generations: a full young one becomes the old one."""
+    """Pair merging by the ranks of a vocabulary, with a cache of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = CACHE_PIECES):
-        self.ranks, self.most = ranks, most
+        self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.old: dict[bytes, int] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.young: dict[bytes, int] = {}
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.uint32), 0
-
-    def _keep(self, piece: bytes, ids: list[int]) -> int:
-        k = len(self.young)
-        if k == len(self.starts):
-            self.starts, self.counts = (np.append(x, np.zeros(k, np.int64)) for x in (self.starts, self.counts))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[k], self.counts[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.young[piece] = k
-        return k
+        self.pieces = PieceIds(lambda lot: [self.merge(p) for p in lot], most)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece: the pair of least rank merges first, the leftmost of equals."""
@@ -232,22 +215,7 @@ class Merger:
 
     def encode(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces between the cuts, and the number of ids of each piece."""
-        if len(self.young) > self.most:
-            self.old = {p: self.ids[s : s + c] for p, s, c in zip(self.young, self.starts.tolist(), self.counts.tolist())}
-            self._fresh()
-        at = cuts.tolist()
-        get = self.young.get
-        found = [get(data[a:b], -1) for a, b in zip(at, at[1:])]
-        piece = np.array(found, np.int64)
-        for k in np.flatnonzero(piece < 0).tolist():
-            own = data[at[k] : at[k + 1]]
-            known = get(own)
-            if known is None:
-                ids = self.old.get(own)
-                known = self._keep(own, self.merge(own) if ids is None else ids)
-            piece[k] = known
-        counts = self.counts[piece]
-        return self.ids[ragged(self.starts[piece], counts)], counts
+        return self.pieces.encode(data, cuts[:-1], cuts[1:])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, one after the other."""

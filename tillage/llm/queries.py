@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, pii, quality_rules, simhash
+from . import bpe, decontamination, pii, quality_rules, simhash, token_files, url_filter
 from .shared import table
 
 
@@ -16,6 +16,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the contract's rules."""
+    rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, ["page_id"])
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base spans, and all spans."""
     return pii.find(table(spark, sf_dir, "documents"))
@@ -27,6 +33,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written in files and read back."""
+    folder, files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,8 +52,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_url_filter": op2_url_filter,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
