@@ -166,7 +166,11 @@ class Merger:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.pieces = PieceIds(lambda lot: [self.merge(p) for p in lot], most)
+        self.pieces = PieceIds(self._resolve, most)
+
+    def _resolve(self, lot: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.merge(p) for p in lot]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array(list(map(len, each)), np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece: the pair of least rank merges first, the leftmost of equals."""

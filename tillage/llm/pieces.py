@@ -10,49 +10,59 @@ from .texts import ragged
 
 
 class PieceIds:
-    """Ids of pieces, resolved in lots where the cache lacks them; memory is bounded by the number of pieces kept."""
+    """Ids of pieces, resolved in lots where the cache lacks them (a lot of pieces in, all their ids and the number of
+    ids of each out); memory is bounded by the number of pieces kept."""
 
-    def __init__(self, resolve: Callable[[list[bytes]], list[list[int]]], most: int):
+    def __init__(self, resolve: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int):
         self.resolve, self.most = resolve, most
-        self.old: dict[bytes, np.ndarray] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
         self.young: dict[bytes, int] = {}
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.uint32), 0
-
-    def _keep(self, piece: bytes, ids: list[int] | np.ndarray) -> int:
-        k = len(self.young)
-        if k == len(self.starts):
-            self.starts, self.counts = (np.append(x, np.zeros(k, np.int64)) for x in (self.starts, self.counts))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[k], self.counts[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.young[piece] = k
-        return k
+        self.old: dict[bytes, int] = {}
+        self.table, self.old_table = _Table(), _Table()
+
+    def _keep(self, lot: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.young.update(zip(lot, range(len(self.young), len(self.young) + len(lot))))
+        self.table.add(ids, counts)
 
     def encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of data[start:end] of all pieces, one after the other, and the number of ids of each."""
         if len(self.young) > self.most:
-            self.old = {p: self.ids[s : s + c] for p, s, c in zip(self.young, self.starts.tolist(), self.counts.tolist())}
-            self._fresh()
+            self.old, self.old_table, self.young, self.table = self.young, self.table, {}, _Table()
         get = self.young.get
         piece = np.array([get(data[a:b], -1) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
-        missing = np.flatnonzero(piece < 0).tolist()
-        if missing:
-            own = [data[starts[k] : ends[k]] for k in missing]
-            unknown = []
-            for p in dict.fromkeys(own):
-                ids = self.old.get(p)
-                if ids is None:
-                    unknown.append(p)
-                else:
-                    self._keep(p, ids)
-            for p, ids in zip(unknown, self.resolve(unknown)):
-                self._keep(p, ids)
+        missing = np.flatnonzero(piece < 0)
+        if missing.size:
+            own = [data[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist())]
+            lot = list(dict.fromkeys(own))
+            before = np.array([self.old.get(p, -1) for p in lot], np.int64)
+            known = np.flatnonzero(before >= 0)
+            if known.size:
+                self._keep([lot[k] for k in known.tolist()], *self.old_table.of(before[known]))
+            fresh = [lot[k] for k in np.flatnonzero(before < 0).tolist()]
+            if fresh:
+                self._keep(fresh, *self.resolve(fresh))
             piece[missing] = [self.young[p] for p in own]
+        return self.table.of(piece)
+
+
+class _Table:
+    """Id lists of numbered pieces, end to end, in arrays that double."""
+
+    def __init__(self) -> None:
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n = self.used = 0
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.append(x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype))
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, used = self.n + len(counts), self.used + len(ids)
+        self.starts, self.counts, self.ids = self._room(self.starts, n), self._room(self.counts, n), self._room(self.ids, used)
+        self.starts[self.n : n] = self.used + np.cumsum(counts) - counts
+        self.counts[self.n : n] = counts
+        self.ids[self.used : used] = ids
+        self.n, self.used = n, used
+
+    def of(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.counts[piece]
         return self.ids[ragged(self.starts[piece], counts)], counts

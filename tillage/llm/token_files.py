@@ -33,7 +33,7 @@ MARK = b"IDPACK01"
 BLOCK = 4096
 #: Ids of a file, but for its last document.
 FILE_IDS = 1 << 21
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 #: The null document id in a file.
 NO_ID = -(1 << 63)
 #: Parts of the text that the library encodes one by one: its normaliser and splitter never look across these.
@@ -101,7 +101,7 @@ class TokenFile:
 _caches: dict[str, PieceIds] = {}
 
 
-def resolver(text: str, marks: str = "~^`|{}") -> Callable[[list[bytes]], list[list[int]]]:
+def resolver(text: str, marks: str = "~^`|{}") -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """The library's ids of many parts in one call. A sign that none of them holds, and that is one token of its own,
     stands between them, and its id parts the ids; without such a sign each part is encoded by itself. Special tokens
     that stand in a text are ordinary text."""
@@ -112,15 +112,14 @@ def resolver(text: str, marks: str = "~^`|{}") -> Callable[[list[bytes]], list[l
     fast = lambda lot: [e.ids for e in own.encode_batch_fast(lot, add_special_tokens=False)]
     single = {m: ids[0] for m, ids in zip(marks, fast(list(marks))) if len(ids) == 1}
 
-    def resolve(lot: list[bytes]) -> list[list[int]]:
-        parts = [p.decode("utf-8", "replace") for p in lot]
-        whole = "".join(parts)
-        mark = next((m for m in single if m not in whole), None)
+    def resolve(lot: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        mark = next((m for m in single if not any(m.encode() in p for p in lot)), None)
         if mark is None:
-            return fast(parts)
-        ids = np.array(fast([f" {mark} ".join(parts)])[0], np.uint32)
-        cuts = np.concatenate([[-1], np.flatnonzero(ids == single[mark]), [len(ids)]])
-        return [ids[a:b] for a, b in zip((cuts[:-1] + 1).tolist(), cuts[1:].tolist())]
+            each = fast([p.decode("utf-8", "replace") for p in lot])
+            return np.array([i for ids in each for i in ids], np.uint32), np.array(list(map(len, each)), np.int64)
+        ids = np.array(fast([f" {mark} ".encode().join(lot).decode("utf-8", "replace")])[0], np.uint32)
+        here = ids == single[mark]
+        return ids[~here], np.diff(np.concatenate([[-1], np.flatnonzero(here), [len(ids)]])) - 1
 
     return resolve
 
@@ -216,7 +215,8 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = TokenFile(data)
                 starts = np.append(0, own.ends[:-1]) if len(own.ends) else own.ends
-                crc = [zlib.crc32(own.document(k).tobytes()) for k in range(len(own.ends))]
+                ids = own.ids(0, own.n_ids)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), own.ends.tolist())]
                 name = path.rpartition("/")[2]
                 keys = pa.array(own.doc_ids, mask=own.doc_ids == NO_ID)
                 yield pa.record_batch(
