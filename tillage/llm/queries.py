@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, pii, quality_rules, simhash, token_files, url_filter
+from . import bpe, classifier, decontamination, pii, quality_rules, simhash, substring_dedup, token_files, url_filter, warc
 from .shared import table
 
 
@@ -45,6 +45,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    found = warc.read(spark, warc.write(table(spark, sf_dir, "pages")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that occur twice: counts and digest of what is kept."""
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for quality by a model of the labels that are not held out."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document searched for every suffix of the benchmark."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,5 +73,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
