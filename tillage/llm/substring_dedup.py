@@ -17,6 +17,7 @@ fewer words than a window keep all. Very long texts are part of one block; memor
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -31,8 +32,9 @@ from .shared import new_folder, remove_folder, written
 from .texts import PLAIN_WORD, ragged, slices, span_digests, word_spans
 
 WINDOW = 35
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, about, and for each packed row at least: beyond 160 GB blocks grow with the root of the size,
+#: or there would be more packed rows (blocks times parts) than digests worth packing.
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 400
 #: Perfect difference sets: every difference modulo the period occurs between two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
@@ -176,7 +178,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text:
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4 * n, -(-size // block_bytes))
+    parts = max(n, min(size // block_bytes, math.isqrt(size // ROW_BYTES)))
     name, folder = f"tillage_blocks_{uuid.uuid4().hex}", new_folder(spark, "substring-blocks")
     rows = source.withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).repartition(n, "block")
