@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import documents, programme, relational, weather  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
 
-QUERIES = {}
-ORACLES = {}
+flagship = relational.g1_entity_summary
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and revenue by market segment."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .groupBy("c_mktsegment")
-        .agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
-    )
+__all__ = ["ORACLES", "QUERIES", "flagship"]
