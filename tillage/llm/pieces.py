@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -25,13 +26,16 @@ class PieceIds:
 
     def encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of data[start:end] of all pieces, one after the other, and the number of ids of each."""
+        return self.encode_pieces([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that are apart already."""
         if len(self.young) > self.most:
             self.old, self.old_table, self.young, self.table = self.young, self.table, {}, _Table()
-        get = self.young.get
-        piece = np.array([get(data[a:b], -1) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        piece = np.array(list(map(self.young.get, pieces, repeat(-1))), np.int64)
         missing = np.flatnonzero(piece < 0)
         if missing.size:
-            own = [data[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist())]
+            own = [pieces[k] for k in missing.tolist()]
             lot = list(dict.fromkeys(own))
             before = np.array([self.old.get(p, -1) for p in lot], np.int64)
             known = np.flatnonzero(before >= 0)
