@@ -310,3 +310,19 @@ def plain_contamination(docs, items):
 def test_decontamination(spark, folder):
     expected = plain_contamination(docs_of(spark, folder), table(spark, folder, "benchmark", "item_id", "text"))
     assert rows_of(queries.op10_benchmark_decontamination(spark, folder)) == sorted(expected, key=repr)
+
+
+def test_bit_packing():
+    import numpy as np
+
+    from tillage.llm.token_files import TokenFile, pack, to_file, unpack
+
+    rng = np.random.default_rng(3)
+    for bits in range(1, 33):
+        ids = rng.integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
+        whole = sum(int(x) << (bits * k) for k, x in enumerate(ids)).to_bytes(-(-1000 * bits // 8), "little")
+        assert pack(ids, bits) == whole
+        assert (unpack(whole, 1000, bits) == ids).all()
+        docs = [ids[:0], ids[:7], ids[7:900], ids[900:]]
+        file = TokenFile(to_file([3, 1, 2, 9], docs, bits, block=64))
+        assert all((file.document(k) == d).all() for k, d in enumerate(docs)) and file.doc_ids.tolist() == [3, 1, 2, 9]

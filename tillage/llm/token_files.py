@@ -43,13 +43,17 @@ SIGN = ~byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in `bits` bits each, lowest bit first."""
+    """Ids in `bits` bits each, lowest bit first; whole bytes are that already."""
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     wide = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(wide[:, :bits], bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     """The first n ids of packed data."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     narrow = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     wide = np.zeros((n, 32), np.uint8)
     wide[:, :bits] = narrow
@@ -106,10 +110,20 @@ def parts(data: bytes, edge: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     starts, ends, _ = word_spans(data, edge, PLAIN_WORD)
     raw = np.frombuffer(data, np.uint8)
     letter, sign = LETTER[raw], SIGN[raw]
-    inner = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
-    cuts = np.union1d(inner, edge[1:-1])
-    first = np.searchsorted(np.union1d(starts, inner), edge)
-    return np.insert(raw, cuts, 0x20).tobytes().lower().split(), first
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[1:-1] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    cut = begins.copy()
+    cut[edge[1:-1]] = True
+    cut[[0, -1]] = False
+    cuts = np.flatnonzero(cut)
+    begins[starts] = True
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(begins[:-1], out=before[1:])
+    spaced = np.full(len(raw) + len(cuts), 0x20, np.uint8)
+    own = np.ones(len(spaced), bool)
+    own[cuts + np.arange(len(cuts))] = False
+    spaced[own] = raw
+    return spaced.tobytes().lower().split(), before[edge]
 
 
 _caches: dict[str, PieceIds] = {}
