@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .pieces import PieceIds
 from .shared import new_folder, written
-from .texts import PLAIN_WORD, byte_class, ragged, slices, word_spans
+from .texts import PLAIN_WORD, byte_class, ragged, slices
 
 MARK = b"IDPACK01"
 BLOCK = 4096
@@ -38,8 +38,12 @@ CACHE_PIECES = 600_000
 NO_ID = -(1 << 63)
 #: The library encodes parts of the text one by one: its normaliser and splitter never look across ASCII white space, nor
 #: between an ASCII letter and an ASCII sign that begins or ends no contraction and no special token.
-LETTER = ~byte_class((0x41, 0x5A), (0x61, 0x7A))
-SIGN = ~byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E))
+#: Kinds of bytes: 0 white space, 1 letters, 2 such signs, 4 all others.
+KINDS = (
+    4 * PLAIN_WORD
+    - 3 * ~byte_class((0x41, 0x5A), (0x61, 0x7A))
+    - 2 * ~byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E))
+).astype(np.uint8)
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -107,23 +111,20 @@ class TokenFile:
 def parts(data: bytes, edge: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The parts with A-Z lower-cased, as the normaliser would, and the number of each row's first part: words, with the
     signs around them apart, so that there are far fewer different ones."""
-    starts, ends, _ = word_spans(data, edge, PLAIN_WORD)
     raw = np.frombuffer(data, np.uint8)
-    letter, sign = LETTER[raw], SIGN[raw]
-    begins = np.zeros(len(raw) + 1, bool)
-    begins[1:-1] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-    cut = begins.copy()
-    cut[edge[1:-1]] = True
-    cut[[0, -1]] = False
-    cuts = np.flatnonzero(cut)
-    begins[starts] = True
-    before = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(begins[:-1], out=before[1:])
+    kind = KINDS[raw]
+    last = np.zeros(len(kind), np.uint8)
+    last[1:] = kind[:-1]
+    apart = kind + last == 3
+    rows = edge[1:-1][(edge[1:-1] > 0) & (edge[1:-1] < len(raw))]
+    apart[rows] = (kind[rows] > 0) & (last[rows] > 0)
+    begins = np.flatnonzero(apart | ((kind > 0) & (last == 0)))
+    cuts = np.flatnonzero(apart)
     spaced = np.full(len(raw) + len(cuts), 0x20, np.uint8)
     own = np.ones(len(spaced), bool)
     own[cuts + np.arange(len(cuts))] = False
     spaced[own] = raw
-    return spaced.tobytes().lower().split(), before[edge]
+    return spaced.tobytes().lower().split(), np.searchsorted(begins, edge)
 
 
 _caches: dict[str, PieceIds] = {}
@@ -199,8 +200,8 @@ def vocabulary_size(text: str) -> int:
     return Tokenizer.from_str(text).get_vocab_size()
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, doc_id, ids): the ids of each text, the end id last; part is the number of cuts at or below the document id."""
+def encode(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int], id_col: str = "doc_id", text: str = "text", kind: type = np.uint32) -> DataFrame:
+    """(part, doc_id, ids): the ids of each text as integers of a kind, the end id last; part is the number of cuts at or below the document id."""
     with open(vocabulary, encoding="utf-8") as f:
         rules = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(rules)
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int], id_co
                 pieces, first = parts(data, edge)
                 ids, counts = own.encode_pieces(pieces)
                 split = np.append(0, np.cumsum(counts))[first].tolist()
-                end = np.array([end_id], np.uint32).tobytes()
+                ids, end = ids.astype(kind), np.array([end_id], kind).tobytes()
                 packed = [ids[a:b].tobytes() + end for a, b in zip(split, split[1:])]
                 yield pa.record_batch([pa.array(part[low:high]), batch.column(0).slice(low, high - low), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
 
@@ -231,7 +232,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
         bits = max(1, (vocabulary_size(f.read()) - 1).bit_length(), int(end_id).bit_length())
     at = [k / parts for k in range(1, parts)]
     cuts = docs.select(F.col(id_col).cast("long").alias("d")).agg(F.percentile_approx("d", at, 100 * parts).alias("c")).first()["c"] if at else []
-    dealt = encode(docs, vocabulary, end_id, sorted(set(cuts or [])), id_col, text).repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
+    kind = np.uint16 if bits <= 16 else np.uint32
+    dealt = encode(docs, vocabulary, end_id, sorted(set(cuts or [])), id_col, text, kind).repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = fs.FileSystem.from_uri(folder)
@@ -252,7 +254,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
         for batch in batches:
             for key, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 keys.append(NO_ID if key is None else key)
-                own.append(np.frombuffer(ids, np.uint32))
+                own.append(np.frombuffer(ids, kind))
                 size += len(own[-1])
                 if size >= file_ids:
                     yield flush()
