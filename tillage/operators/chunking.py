@@ -86,3 +86,118 @@ def worthwhile(chunks: DataFrame, least: int = 30) -> DataFrame:
     """Chunks long enough that aren't references only, each content of a document once (the first)."""
     kept = chunks.filter((F.char_length(F.trim("content")) >= least) & ~F.col("content").rlike(r"^\s*(see|cf\.|ref)[^.]{0,40}\.?\s*$"))
     return kept.groupBy("doc_id", "content").agg(F.min("chunk").alias("chunk"))
+
+
+def split_recursive(text: str, most: int = 800, overlap: int = 120, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+    """Pieces of at most `most` characters, cut at the first of the marks that occurs; parts that are still too long are cut
+    at the next marks, and at last anywhere. Neighbours share whole parts of up to `overlap` characters."""
+    if len(text) <= most:
+        return [text.strip()] if text.strip() else []
+    nth = next((i for i, m in enumerate(marks) if m in text), None)
+    if nth is None:
+        return [text[i : i + most] for i in range(0, len(text), most)]
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+
+    def close() -> None:
+        if piece := "".join(held).strip():
+            out.append(piece)
+
+    for part in re.split(f"(?<={re.escape(marks[nth])})", text):
+        if len(part) > most:
+            close()
+            held, size = [], 0
+            out += split_recursive(part, most, overlap, marks[nth + 1 :])
+            continue
+        if size + len(part) > most:
+            close()
+            while held and (size > overlap or size + len(part) > most):
+                size -= len(held.pop(0))
+        held.append(part)
+        size += len(part)
+    close()
+    return out
+
+
+def recursive(docs: DataFrame, most: int = 800, overlap: int = 120) -> DataFrame:
+    """Every document split recursively; no shuffle."""
+    return _each(docs, lambda t: split_recursive(t, most, overlap))
+
+
+def split_table(text: str, most_rows: int = 4, most: int = 1600) -> list[str]:
+    """A Markdown table as tables of a few rows, each with the header; a table without one gets c1, c2 and so on. Texts
+    without rows stay whole."""
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    row = lambda x: x.startswith("|") and x.endswith("|")
+    headed = len(lines) > 1 and row(lines[0]) and re.fullmatch(r"\|(\s*:?-+:?\s*\|)+", lines[1]) is not None
+    body = [x for x in lines[2 if headed else 0 :] if row(x)]
+    if not body:
+        return [text] if text.strip() else []
+    n = body[0].strip("|").count("|") + 1
+    head = lines[:2] if headed else ["| " + " | ".join(f"c{i + 1}" for i in range(n)) + " |", "|" + " --- |" * n]
+    width = sum(len(x) + 1 for x in head)
+    groups: list[list[str]] = [[]]
+    for x in body:
+        now = groups[-1]
+        if now and (len(now) == most_rows or width + sum(len(y) + 1 for y in now) + len(x) > most):
+            groups.append([])
+        groups[-1].append(x)
+    return ["\n".join(head + g) for g in groups]
+
+
+def table_rows(tables: DataFrame, most_rows: int = 4, most: int = 1600) -> DataFrame:
+    """Every table split by rows; no shuffle."""
+    return _each(tables, lambda t: split_table(t, most_rows, most))
+
+
+def pack_blocks(blocks: list[tuple[str, str]], most: int = 800) -> list[str]:
+    """(title, text) blocks packed in order; a new title or a chunk that would grow too long begins a new one. A block that
+    is too long alone is a chunk of its own."""
+    out: list[list[str]] = []
+    title, size = "", 0
+    for head, body in blocks:
+        if not body.strip():
+            continue
+        if not out or (head and head != title) or size + len(head) + len(body) + 3 > most:
+            out.append([])
+            title, size = head, 0
+        out[-1].append(body.strip())
+        size += len(body) + 1
+    return ["\n".join(c) for c in out]
+
+
+def merge_context(blocks: list[tuple[str, str]], most: int = 780) -> list[str]:
+    """(heading path, text) blocks merged while the heading stays the same or goes below it, up to a size."""
+    out: list[str] = []
+    above = None
+    for head, body in blocks:
+        body = body.strip()
+        if not body:
+            continue
+        below = above is not None and (head == above or bool(above) and head.startswith(f"{above} > "))
+        if below and len(out[-1]) + 2 + len(body) <= most:
+            out[-1] += f"\n\n{body}"
+        else:
+            out.append(body)
+            above = head
+    return out
+
+
+def _ordered(blocks: DataFrame, pack) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["at", "title", "content"]).fillna("")
+        out = pack(list(zip(rows["title"], rows["content"])))
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk": range(len(out)), "content": out})
+
+    return blocks.groupBy("doc_id").applyInPandas(run, CHUNKS)
+
+
+def packed_blocks(blocks: DataFrame, most: int = 800) -> DataFrame:
+    """Blocks (doc_id, at, title, content) of every document packed by title and size."""
+    return _ordered(blocks, lambda b: pack_blocks(b, most))
+
+
+def merged_context(blocks: DataFrame, most: int = 780) -> DataFrame:
+    """Blocks (doc_id, at, title, content) of every document merged by heading and size."""
+    return _ordered(blocks, lambda b: merge_context(b, most))
