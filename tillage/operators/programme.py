@@ -39,3 +39,12 @@ def credit(status: str, submitted: str, required: str) -> Column:
     """Partial credit: 1 for completed work, the submitted share of what is required, a half for work in progress."""
     part = F.least(F.lit(1.0), F.col(submitted) / F.col(required))
     return F.when(F.col(status) == "completed", 1.0).when(F.col(required) > 0, part).when(F.col(status) == "in_progress", 0.5).otherwise(0.0)
+
+
+def progress(known: Column, required: Column, submitted: Column, n_submitted: Column, n_pending: Column) -> tuple[Column, Column]:
+    """(done, target): against a known target; else against the required kinds, where rows count if no kind fits; else
+    against all that is done and pending, at least 1."""
+    need, both = F.size(required), F.size(F.array_intersect(required, submitted))
+    done = F.when(known.isNotNull(), F.least(n_submitted, known)).when(need > 0, F.least(F.when(both > 0, both).otherwise(n_submitted), need)).otherwise(n_submitted)
+    target = F.when(known.isNotNull(), known).when(need > 0, need).otherwise(F.greatest(n_submitted + n_pending, F.lit(1)))
+    return done.cast("long"), target.cast("long")

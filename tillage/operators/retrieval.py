@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,17 +21,23 @@ def fetch_size(limit: int, wide: bool) -> int:
     return min(30, max(cap * (3 if wide else 2), cap + 6))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, embedding: str) -> DataFrame:
-    """The k nearest vectors of every query, exactly: a stated set of queries (broadcast, a few) against all rows. Each
-    task keeps its own best k of a query before the ranking."""
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, embedding: str, most: int = 4096) -> DataFrame:
+    """The k nearest vectors of every query, exactly: a stated set of queries against all rows. The queries are counted, and
+    go out in blocks of about `most` (a hash of the id chooses the block), so that no broadcast grows with the data: more
+    queries mean more blocks. Each task keeps its own best k of a query before the ranking."""
     q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("_q"))
-    far = vectors.join(F.broadcast(q)).withColumn("distance", F.round(cosine_distance(F.col(embedding), F.col("_q")), 6))
-    near = far.filter("distance is not null").select("query_id", F.col(vector_id).alias("id"), "distance")
-    part = near.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    for keys in (["query_id", "_salt"], ["query_id"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))
-        part = part.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return part.drop("_salt")
+    blocks = -(-q.count() // most) or 1
+    parts = []
+    for b in range(blocks):
+        some = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        far = vectors.join(F.broadcast(some)).withColumn("distance", F.round(cosine_distance(F.col(embedding), F.col("_q")), 6))
+        part = far.filter("distance is not null").select("query_id", F.col(vector_id).alias("id"), "distance")
+        part = part.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+        for keys in (["query_id", "_salt"], ["query_id"]):
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))
+            part = part.withColumn("rank", rank).filter(F.col("rank") <= k)
+        parts.append(part.drop("_salt"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def score(distance: Column) -> Column:

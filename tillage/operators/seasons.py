@@ -73,3 +73,11 @@ def filled(df: DataFrame, keys: list[str], day: str, value: str, default: float)
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     own = F.col(value)
     return df.withColumns({"is_extrapolated": own.isNull(), value: F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default))})
+
+
+def release(at: Column, first_hour: int, every_hours: int, lag_minutes: int) -> Column:
+    """The time of the newest release at a time, where releases come every few hours (which divide the day) from an hour on
+    and can be had some minutes later."""
+    step, offset = every_hours * 3600, first_hour * 3600
+    seconds = F.unix_seconds(at.cast("timestamp"))
+    return F.timestamp_seconds(F.floor((seconds - lag_minutes * 60 - offset) / step) * step + offset)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boards, documents, extraction, programme, relational, small, weather  # noqa: F401  they register their queries
+from . import boards, documents, extraction, programme, relational, rules, small, weather  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 flagship = relational.g1_entity_summary
