@@ -124,9 +124,11 @@ def test_rollup_of_nothing_and_null_states(spark):
 
 def test_laggards_and_missing(spark):
     d = dt.date
-    todo = frame(spark, [(1, "a", d(2024, 1, 8), None), (2, "a", d(2024, 1, 9), "no"), (3, "a", None, None), (4, "b", d(2024, 1, 1), "yes")], "id int, who string, due date, state string")
+    todo = frame(spark, [(1, "a", d(2024, 1, 8), None), (2, "a", d(2024, 1, 9), "no"), (3, "a", None, None), (4, "b", d(2024, 1, 1), "yes"), (5, None, None, None)], "id int, who string, due date, state string")
     late = P.laggards(todo, "who", "due", F.col("state") == "yes", F.lit("2024-01-01").cast("date"), 7)
-    assert rows(late) == [("a", 2, [1, 3])]
+    assert rows(late) == [("a", 2, [1, 3]), (None, 1, [5])]
+    many = frame(spark, [(i, "a", None, None) for i in range(500, 0, -1)], "id int, who string, due date, state string")
+    assert rows(P.laggards(many, "who", "due", F.col("state") == "yes", F.lit("2024-01-01").cast("date"), 7)) == [("a", 500, [1, 2, 3])]
     sets = frame(spark, [(0, ["x", "y"], []), (1, ["x", "y"], ["y"]), (2, ["x"], ["x", "x"]), (3, [], [])], "i int, need array<string>, got array<string>")
     parts = P.completeness(F.col("need"), F.col("got"))
     assert [r[2] for r in rows(sets.select("i", parts["missing"], parts["state"]))] == ["pending", "in_progress", "completed", "completed"]

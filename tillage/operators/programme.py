@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,15 @@ def payments(work: DataFrame, rates: DataFrame, owner: str, code: str, area: str
 
 
 def laggards(todo: DataFrame, owner: str, due: str, done: Column, as_of: Column, days: int, sample: int = 3) -> DataFrame:
-    """By owner the open work due within `days` of as_of, both ways; work without a due date passes. With the first few ids."""
+    """By owner the open work due within `days` of as_of, both ways; work without a due date passes. With the first few ids,
+    chosen in 64 parts of each owner first, so that an owner of very much work is never one list or one task."""
     near = F.coalesce(F.abs(F.datediff(F.col(due), as_of)) <= days, F.lit(True))
-    late = todo.filter(~F.coalesce(done, F.lit(False)) & near)
-    return late.groupBy(owner).agg(F.count("*").alias("n_open"), F.slice(F.sort_array(F.collect_list("id")), 1, sample).alias("first_ids"))
+    late = todo.filter(~F.coalesce(done, F.lit(False)) & near).select(owner, "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_part"))
+    nth = F.row_number().over(Window.partitionBy(owner, "_part").orderBy("id"))
+    few = late.withColumn("_nth", nth).filter(F.col("_nth") <= sample).groupBy(owner).agg(F.slice(F.sort_array(F.collect_list("id")), 1, sample).alias("first_ids"))
+    counts = late.groupBy(owner).agg(F.count("*").alias("n_open"))
+    same = F.col(f"c.{owner}").eqNullSafe(F.col(f"f.{owner}"))
+    return counts.alias("c").join(few.alias("f"), same).select(f"c.{owner}", "n_open", "first_ids")
 
 
 def completeness(required: Column, submitted: Column) -> dict[str, Column]:
