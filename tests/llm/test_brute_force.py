@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tillage.llm import queries
+from tillage.llm import decontamination, queries
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -23,6 +23,10 @@ def plain_words(text):
     return [w for w in BLANK.split(text or "") if w]
 
 
+def thue_morse(letters, n=1024):
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
 ODD = [
     (1, None),
     (2, ""),
@@ -41,6 +45,14 @@ ODD = [
     (13, "- bullet\n- bullet\n\n#tag $x &amp; <b>...\nline…\n"),
     (14, PASSAGE.upper()),
     (15, " ".join(["same"] * 120)),
+    (16, "hello <|endoftext|> world<|startoftext|>x <|ENDOFTEXT|> <|endoftext|<|endoftext|><|startoftext"),
+    (17, "|> <|endof"),
+    (18, "text|> <|endoftext|>"),
+    # One word and its complement, which collide in polynomials modulo a power of two, and the same as words of texts.
+    (19, f"{thue_morse('ab')} " + " ".join(f"k{i}" for i in range(34))),
+    (20, f"{thue_morse('ba')} " + " ".join(f"k{i}" for i in range(34))),
+    (21, " ".join(thue_morse("ab"))),
+    (22, " ".join(thue_morse("ba"))),
 ]
 
 
@@ -55,7 +67,7 @@ def folder(request, spark, sf_dir, tmp_path_factory):
     for name in ("lang", "source", "ids", "row", "block", "spans", "kept", "fp", "_text"):
         docs = docs.withColumn(name, F.lit("de"))
     docs.withColumn("n_chars", F.length("text").cast("long")).repartition(3).write.parquet(f"{at}/documents.parquet")
-    bench = [(1, PASSAGE.title()), (2, "one, TWO; three"), (3, ""), (4, None), (5, "not there at all " * 9), (6, PASSAGE)] if rows else []
+    bench = [(1, PASSAGE.title()), (2, "one, TWO; three"), (3, ""), (4, None), (5, "not there at all " * 9), (6, PASSAGE), (7, f"{thue_morse('ba')} " + " ".join(f"k{i}" for i in range(9))), (8, "same " * 50)] if rows else []
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     long_page = "<p>" + "0123456789" * 9000
     pages = [
@@ -187,7 +199,6 @@ def test_token_files(spark, folder):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     each = []
     for i, t in docs_of(spark, folder):
         ids = own.encode(t or "", add_special_tokens=False).ids + [2]
@@ -251,6 +262,30 @@ def test_warc(spark, folder):
     assert rows_of(queries.op7_warc(spark, folder)) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("dense", [1, 3])
+def test_simhash_dense_points(spark, dense):
+    """Points that are dense at every width of the grid, with clusters of a few bits, rows without words and repeated ids."""
+    import random
+
+    from tillage.llm import simhash
+
+    rng = random.Random(dense)
+    prints = []
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        for _ in range(12):
+            prints.append((len(prints), centre ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6)))))
+    prints = [(i, f & (1 << 64) - 1) for i, f in prints]
+    rows = [(i, f - (1 << 64) * (f >> 63)) for i, f in prints]
+    nodes = spark.createDataFrame(rows, "rep long, fp long").groupBy("fp").agg(F.min("rep").alias("rep"))
+    from tillage.llm.components import components
+
+    found = dict(components(simhash.links(nodes, dense)).collect())
+    find = plain_components(prints)
+    least = {r["fp"]: r["rep"] for r in nodes.collect()}
+    assert {i: found.get(least[f], least[f]) for i, f in rows} == {i: find(i) for i, _ in rows}
+
+
 def test_substring_dedup(spark, folder):
     docs = [(i, plain_words(t)) for i, t in docs_of(spark, folder)]
     many = Counter(tuple(w[k : k + 35]) for _, w in docs for k in range(len(w) - 34))
@@ -295,21 +330,45 @@ def plain_contamination(docs, items):
     for i, t in items:
         w = item_words(t)
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+            windows.setdefault(tuple(w[k : k + 10]), set()).add((i, k))
     lengths = {len(w) for w in windows}
+    texts = {i: item_words(t) for i, t in items}
     for i, t in docs:
-        w, hit, found = item_words(t), set(), set()
+        w, hit, found, best = item_words(t), set(), set(), None
         for n in lengths:
             for k in range(len(w) - n + 1):
-                if (own := windows.get(tuple(w[k : k + n]))) is not None:
+                for item, at in windows.get(tuple(w[k : k + n]), ()):
                     hit |= set(range(k, k + n))
-                    found |= own
-        yield i, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)
+                    found.add(item)
+                    own, m = texts[item], n
+                    while k + m < len(w) and at + m < len(own) and w[k + m] == own[at + m]:
+                        m += 1
+                    best = min(best or (0,), (-m, k, str(item), at))
+        best = best or (0, None, None, None)
+        yield i, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit), -best[0], best[2], best[3], best[1]
 
 
 def test_decontamination(spark, folder):
-    expected = plain_contamination(docs_of(spark, folder), table(spark, folder, "benchmark", "item_id", "text"))
-    assert rows_of(queries.op10_benchmark_decontamination(spark, folder)) == sorted(expected, key=repr)
+    expected = sorted(plain_contamination(docs_of(spark, folder), table(spark, folder, "benchmark", "item_id", "text")), key=repr)
+    assert rows_of(queries.op10_benchmark_decontamination(spark, folder)) == expected
+    # Blocks of few items, more of them than a worker holds.
+    docs, benchmark = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    assert rows_of(decontamination.contamination(docs, benchmark, block_bytes=300)) == expected
+    clean = [r[0] for r in expected if not r[5]]
+    left = decontamination.remove_contaminated(docs, benchmark, block_bytes=300)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted(clean, key=repr)
+
+
+def test_decontamination_of_one_word(spark):
+    """An item and a document of one repeated word cost their lengths, not their product; null and repeated item ids."""
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "other"), (None, "word " * 12)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "word " * 20_000), (None, "word " * 11), (1, "word " * 30)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.contamination(docs, benchmark).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["longest_words"], got[1]["longest_item"], got[1]["longest_doc_word"]) == (400_000, 2, 20_000, "1", 0)
+    assert got[1]["items_sha256"] == sha("1,None")
+    assert (got[None]["n_hit"], got[None]["longest_words"], got[None]["longest_item"]) == (12, 12, "1")
+    assert (got[2]["n_hit"], got[2]["longest_words"], got[2]["longest_item"]) == (0, 0, None)
 
 
 def test_bit_packing():

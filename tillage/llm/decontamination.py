@@ -1,61 +1,64 @@
 """Benchmark decontamination: suffix arrays over shards of the documents, searched for every suffix of the benchmark.
 
-A shard is a run of rows of about SLICE_BYTES within a task. Its suffix array orders the word positions by their
-next DEPTH words or more (ranks tripled: 1, 3, 9, 27 words). Every test suffix is looked up by binary search; the
-range of suffixes that share its first `window` words gives the verbatim occurrences, and the neighbours give the
-longest match. The documents are read once and never shuffled; only the benchmark travels, in blocks of bounded size.
+A shard is a run of rows of about SLICE_BYTES within a task. Its suffix array orders the word positions by their next
+`window` words or more (ranks tripled: 1, 3, 9, 27 words). Every test suffix is looked up by binary search; the range of
+suffixes that share its first `window` words gives its verbatim occurrences. Equal windows have one range, so what is
+worked on is places and items, never pairs of them: an item and a document of one word repeated cost their lengths. From
+each place found, a binary search among the sorted test suffixes gives the longest verbatim match that begins there;
+the common length of two suffixes comes from digests of runs of 1, 2, 4, ... words, in as many steps as it has bits.
+
+The documents are read once and never shuffled. The benchmark is written to the shared folder in blocks of BLOCK_BYTES
+of text (an item longer than that is a block of its own); a task holds a few blocks at a time and takes each shard
+through all of them. Only the list of blocks passes through the driver.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and of all characters beyond ASCII. A null or empty text has
 no words: a document without words is never hit, an item without words is never found, and no item gives no hit.
-Equal items all count, by their ids. Columns of the documents other than the id and the text are not read.
+Repeated items count once by their ids as text, the null id as "None". Rows are judged one by one, so repeated rows give
+repeated results. Of the documents only the id and the text are read, so other columns can't clash. A very long text is
+a shard of its own, with memory in proportion to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import byte_class, ragged, slices, span_digests, word_spans
+from .shared import new_folder
+from .texts import SLICE_BYTES, byte_class, ragged, run_digests, slices, word_digests, word_spans
 
 WINDOW = 10
-#: Words of the benchmark in one block; a larger benchmark is searched block by block, each a pass over the documents.
-BLOCK_WORDS = 1_000_000
+#: Bytes of benchmark text in a block; blocks that a worker holds; shards are larger where there are more blocks than that.
+BLOCK_BYTES, BLOCKS_HELD, LARGE_SHARD = 2 << 20, 8, 8 << 20
 
 WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 _LOWER = bytes(range(256)).lower()
+_DOC_END, _ITEM_END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def word_digests(data: bytes, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased text in, a digest for each word, the first word of each row, and 128-bit doubles of the digests."""
+def digests_of(data: bytes, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text in, digests of its lower-cased words in two streams (rows), and the first word of each row (n + 1)."""
+    data = data.translate(_LOWER)
     starts, ends, first = word_spans(data, edge, WORD)
-    raw = np.frombuffer(data, np.uint8)
-    return span_digests(raw, starts, ends), first, span_digests(raw, starts, ends, 1)
+    return word_digests(data, starts, ends), first
 
 
-class Tests:
-    """The words of a block of benchmark items, and their windows."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
-        texts = [(i, (t or "").encode("utf-8", "replace").translate(_LOWER)) for i, t in items]
-        data = b"\n".join(t for _, t in texts)
-        edge = np.cumsum([0] + [len(t) + 1 for _, t in texts])
-        edge[-1] = max(edge[-1] - 1, 0)
-        one, first, two = word_digests(data, edge)
-        counts = np.diff(first)
-        self.words, self.twins = one, two
-        width = np.minimum(counts, window)
-        n = counts - width + (counts > 0)
-        #: For each window: its first word, its words, its item; each test suffix that is long enough has one.
-        self.at = ragged(first[:-1], n)
-        self.width = np.repeat(width, n)
-        self.item = np.repeat(np.arange(len(items)), n)
-        self.left = np.repeat(first[1:], n) - self.at
-        self.ids = [i for i, _ in items]
+def with_ends(words: np.ndarray, first: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a mark after each row, which equals nothing else, and the place of each word."""
+    rows = len(first) - 1
+    place = np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(first))
+    out = (np.arange(len(words) + rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ salt
+    out[place] = words
+    return out, place
 
 
 def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,34 +71,101 @@ def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
+def suffix_array(rank: np.ndarray, depth: int) -> np.ndarray:
+    """The places in the order of what follows them, as far as `depth` words at least, or until no two are equal."""
+    size = len(rank)
+    order, rank = _ranks(rank)
+    known, bits = 1, max(1, int(size).bit_length() + 1)
+    parts = min(3, 63 // bits)
+    while known < depth and size and int(rank.max()) < size:
+        key = np.zeros(size, np.uint64)
+        for k in range(parts):
+            key <<= np.uint64(bits)
+            if known * k < size:
+                key[: size - known * k] |= rank[known * k :]
+        order, rank = _ranks(key)
+        known *= parts
+    return order
+
+
+class Runs:
+    """Digests of runs of 1, 2, 4, ... words from each place of a sequence with end marks."""
+
+    def __init__(self, symbols: np.ndarray, longest: int):
+        self.levels = [symbols]
+        while 1 << len(self.levels) <= longest:
+            self.levels.append(run_digests(symbols, 1 << len(self.levels)))
+
+    def common(self, place: np.ndarray, other: Runs, there: np.ndarray) -> np.ndarray:
+        """The words that the suffixes at `place` and, in the other sequence, `there` have in common."""
+        n = np.zeros(len(place), np.int64)
+        for k in reversed(range(min(len(self.levels), len(other.levels)))):
+            a, b = self.levels[k], other.levels[k]
+            x, y = place + n, there + n
+            fits = np.flatnonzero((x < len(a)) & (y < len(b)))
+            n[fits[a[x[fits]] == b[y[fits]]]] += 1 << k
+        return n
+
+
+class Tests:
+    """The words of a block of benchmark items, and their windows."""
+
+    def __init__(self, names: list[str], words: list[np.ndarray], window: int):
+        counts = np.array([w.shape[1] for w in words], np.int64)
+        first = np.append(0, np.cumsum(counts))
+        every = np.concatenate([np.zeros((2, 0), np.uint64), *words], axis=1)
+        self.names, self.window, self.longest = names, window, int(counts.max(initial=0))
+        self.symbols, self.place = with_ends(every[0], first, _ITEM_END)
+        self.words, self.twins = every
+        width = np.minimum(counts, window)
+        n = counts - width + (counts > 0)
+        #: For each window: its first word, its place, its words, its item; each test suffix that is long enough has one.
+        self.at = ragged(first[:-1], n)
+        self.begin = self.place[self.at]
+        self.width = np.repeat(width, n)
+        self.item = np.repeat(np.arange(len(names)), n)
+
+    @cached_property
+    def runs(self) -> Runs:
+        return Runs(self.symbols, self.longest)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        """The suffix array of the block itself."""
+        return suffix_array(self.symbols, self.longest + 1)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """At each place the item, as a place among the ids sorted as text, and the word within it, as one number."""
+        nth = {name: k for k, name in enumerate(self.sorted_names)}
+        by_name = np.array([nth[name] for name in self.names], np.int64)
+        mark = np.ones(len(self.symbols), bool)
+        mark[self.place] = False
+        item = np.cumsum(mark)[self.place]
+        start = np.append(0, np.flatnonzero(mark) + 1)
+        out = np.full(len(self.symbols), np.iinfo(np.int64).max)
+        out[self.place] = by_name[item] << 32 | (self.place - start[item])
+        return out
+
+    @cached_property
+    def sorted_names(self) -> list[str]:
+        return sorted(set(self.names))
+
+
 class Shard:
     """A suffix array over the words of a run of rows; a mark that no word equals ends each row."""
 
     def __init__(self, data: bytes, edge: np.ndarray, depth: int):
-        data = data.translate(_LOWER)
-        one, self.first, two = word_digests(data, edge)
+        (one, two), self.first = digests_of(data, edge)
         rows = len(edge) - 1
-        #: Place of a word among words and end marks; rows are followed by one mark each.
-        self.row = np.repeat(np.arange(rows), np.diff(self.first))
-        self.place = np.arange(len(one)) + self.row
-        size = len(one) + rows
-        self.vocabulary, number = np.unique(one, return_inverse=True)
-        self.check = two[np.unique(number, return_index=True)[1]] if len(one) else two
-        self.ids = np.zeros(size + 1, np.int64)
+        self.symbols, self.place = with_ends(one, self.first, _DOC_END)
+        #: The place at which each row begins.
+        self.begin = self.first[:-1] + np.arange(rows)
+        self.vocabulary, at, number = np.unique(one, return_index=True, return_inverse=True)
+        self.check = two[at]
+        self.ids = np.zeros(len(self.symbols) + 1, np.int64)
         self.ids[self.place] = number + 1
-        rank = self.ids[:size].astype(np.uint64)
-        order, known = np.argsort(rank, kind="stable"), 1
-        bits = max(1, int(size).bit_length() + 1)
-        parts = min(3, 63 // bits)
-        while known < depth and size:
-            key = np.zeros(size, np.uint64)
-            for k in range(parts):
-                key <<= np.uint64(bits)
-                if known * k < size:
-                    key[: size - known * k] |= rank[known * k :]
-            order, rank = _ranks(key)
-            known *= parts
-        self.array, self.depth = order, known
+        self.array = suffix_array(self.ids[:-1].astype(np.uint64), depth)
 
     def numbers(self, tests: Tests) -> np.ndarray:
         """The test words as numbers of this shard's vocabulary; -1 where it lacks the word."""
@@ -128,193 +198,226 @@ class Shard:
             high[open_[~right]] = mid[~right]
         return low
 
-    def occurrences(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-        """Each verbatim occurrence of a test window: the number of the window, and its place in the shard."""
+    def found(self, tests: Tests) -> Found | None:
+        """The occurrences of the test windows, if there are any."""
         words = self.numbers(tests)
         missing = np.concatenate([[0], np.cumsum(words < 0)])
         able = np.flatnonzero(missing[tests.at + tests.width] == missing[tests.at])
         if not able.size or not len(self.array):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return None
         at, width = tests.at[able], tests.width[able]
         low = self.bounds(words, at, width, False)
-        found = self.bounds(words, at, width, True) - low
-        return np.repeat(able, found), self.array[ragged(low, found)]
-
-    def extend(self, tests: Tests, which: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The words for which each occurrence goes on matching, to the end of the item or the row."""
-        words, length = self.numbers(tests), tests.width[which].astype(np.int64)
-        live = np.arange(len(which))
-        while live.size:
-            live = live[length[live] < tests.left[which[live]]]
-            k = length[live]
-            live = live[self.ids[np.minimum(place[live] + k, len(self.ids) - 1)] == words[tests.at[which[live]] + k]]
-            length[live] += 1
-        return length
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of a bounded number of words, in the order of their ids."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).orderBy("i").toLocalIterator():
-        n = len((row["t"] or "").split()) + 1
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((row["i"], row["t"]))
-        size += n
-    if block:
-        yield block
-
-
-FOUND = "doc_id long, n_words long, hits binary, items binary"
-
-
-def _found(docs: DataFrame, items: list[tuple[int, str | None]], window: int, id_col: str, text: str) -> DataFrame:
-    """For each document: its words, the hit words as a bit string, and the numbers of the items found in it."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+        n = self.bounds(words, at, width, True) - low
+        there = n > 0
+        return Found(self, tests, able[there], low[there], n[there]) if there.any() else None
+
+
+class Found:
+    """The test windows that occur in a shard, equal ones as one range of its suffix array."""
+
+    def __init__(self, shard: Shard, tests: Tests, which: np.ndarray, low: np.ndarray, n: np.ndarray):
+        self.shard, self.tests, self.which = shard, tests, which
+        width = tests.width[which]
+        _, one, self.range = np.unique(low * (int(width.max()) + 1) + width, return_index=True, return_inverse=True)
+        self.width = width[one]
+        self.place = shard.array[ragged(low[one], n[one])]
+        self.of = np.repeat(np.arange(len(one)), n[one])
+        self.row = np.searchsorted(shard.begin, self.place, side="right") - 1
+
+    def cover(self, change: np.ndarray) -> None:
+        """Add 1 where an occurrence begins, and take it off where it is over."""
+        np.add.at(change, self.place, 1)
+        np.add.at(change, self.place + self.width[self.of], -1)
+
+    def items(self) -> Iterator[tuple[int, list[str]]]:
+        """Each row with the items found in it. Ranges with the same items count as one."""
+        n_items = len(self.tests.names)
+        pairs = np.unique(self.range * n_items + self.tests.item[self.which])
+        cut = np.searchsorted(pairs, np.arange(len(self.width) + 1) * n_items)
+        items = pairs % n_items
+        sets: dict[bytes, int] = {}
+        number = np.array([sets.setdefault(items[a:b].tobytes(), len(sets)) for a, b in zip(cut.tolist(), cut[1:].tolist())], np.int64)
+        lists = [np.frombuffer(x, np.int64) for x in sets]
+        sizes = np.array(list(map(len, lists)), np.int64)
+        rows = np.unique(self.row * len(sets) + number[self.of])
+        row, own = rows // len(sets), rows % len(sets)
+        every = np.concatenate(lists)[ragged((np.cumsum(sizes) - sizes)[own], sizes[own])]
+        pairs = np.unique(np.repeat(row, sizes[own]) * n_items + every)
+        row = pairs // n_items
+        for a, b in zip(starts := np.flatnonzero(np.diff(row, prepend=-1)), np.append(starts[1:], len(row))):
+            yield int(row[a]), [self.tests.names[k] for k in (pairs[a:b] % n_items).tolist()]
+
+    def longest(self) -> Iterator[tuple[int, tuple[int, str, int, int]]]:
+        """Each row with its longest match: minus its words, the item, the place in the item and in the row; of equally long ones the
+        first in the row, and there the one of the least item and place in it."""
+        tests, shard = self.tests, self.shard
+        # The widest range of each place.
+        order = np.lexsort([-self.width[self.of], self.place])
+        keep = order[np.flatnonzero(np.diff(self.place[order], prepend=-1))]
+        place, row, of = self.place[keep], self.row[keep], self.of[keep]
+        ours, end = Runs(shard.symbols, tests.longest), len(tests.order)
+        common = lambda k, at: ours.common(place[k], tests.runs, tests.order[at])
+        # Where the suffix at each place would stand among the test suffixes.
+        low, high = np.zeros(len(place), np.int64), np.full(len(place), end)
+        while (k := np.flatnonzero(low < high)).size:
+            mid = (low[k] + high[k]) >> 1
+            n = common(k, mid)
+            x, y = place[k] + n, tests.order[mid] + n
+            after = np.zeros(len(k), bool)
+            inside = (x < len(shard.symbols)) & (y < len(tests.symbols))
+            after[inside] = tests.symbols[y[inside]] < shard.symbols[x[inside]]
+            low[k[after]] = mid[after] + 1
+            high[k[~after]] = mid[~after]
+        every = np.arange(len(place))
+        left, right = (np.where((at >= 0) & (at < end), common(every, np.clip(at, 0, end - 1)), 0) for at in (low - 1, low))
+        length = np.maximum(left, right)
+        # What is shorter than a window only counts as a whole item.
+        whole = length < tests.window
+        length[whole] = self.width[of[whole]]
+        best = np.lexsort([place, -length, row])
+        best = best[np.flatnonzero(np.diff(row[best], prepend=-1))]
+
+        def edge(up: bool) -> np.ndarray:
+            """The first, or one past the last, of the test suffixes that share the whole match."""
+            at = np.clip(np.where(left[best] >= length[best], low[best] - 1, low[best]), 0, end - 1)
+            a, b = (at, np.full(len(best), end)) if up else (np.full(len(best), -1), at.copy())
+            while (k := np.flatnonzero(b - a > 1)).size:
+                mid = (a[k] + b[k]) >> 1
+                same = common(best[k], mid) >= length[best[k]]
+                a[k[same == up]] = mid[same == up]
+                b[k[same != up]] = mid[same != up]
+            return b
+
+        least = np.full(len(self.width), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.range, tests.keys[tests.begin[self.which]])
+        for k, a, b in zip(best.tolist(), edge(False).tolist(), edge(True).tolist()):
+            key = int(least[of[k]] if whole[k] else tests.keys[tests.order[a:b]].min())
+            yield int(row[k]), (-int(length[k]), tests.sorted_names[key >> 32], key & 0xFFFFFFFF, int(place[k] - shard.begin[row[k]]))
+
+
+class Benchmark:
+    """The blocks of a benchmark in the shared folder, and the few that a worker holds."""
+
+    held: OrderedDict[tuple[str, int], Tests] = OrderedDict()
+
+    def __init__(self, paths: list[str], window: int):
+        self.paths, self.window = paths, window
+        self.shard_bytes = SLICE_BYTES if len(paths) <= BLOCKS_HELD else LARGE_SHARD
+
+    def blocks(self) -> Iterator[Tests]:
+        for path in self.paths:
+            own = self.held.pop((path, self.window), None)
+            if own is None:
+                while len(self.held) >= BLOCKS_HELD:
+                    self.held.popitem(last=False)
+                where, at = fs.FileSystem.from_uri(path)
+                rows = pq.read_table(at, filesystem=where)
+                own = Tests(rows.column("item").to_pylist(), [np.frombuffer(w, np.uint64).reshape(2, -1) for w in rows.column("words").to_pylist()], self.window)
+            self.held[path, self.window] = own
+            yield own
+
+
+def stored(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Benchmark:
+    """The benchmark's items as digests of their words, in blocks in the shared folder; only files of successful tasks count."""
+    spark = benchmark.sparkSession
+    folder = new_folder(spark, "benchmark")
+    source = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("None")).alias("item"), F.col(text).cast("string").alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, where = fs.FileSystem.from_uri(folder)
+        files.create_dir(where, recursive=True)
+        names, words, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal names, words, held
+            name = f"block-{uuid.uuid4().hex}.parquet"
+            pq.write_table(pa.table({"item": pa.array(names, pa.string()), "words": pa.array(words, pa.large_binary())}), f"{where}/{name}", filesystem=files)
+            names, words, held = [], [], 0
+            return pa.record_batch([pa.array([f"{folder}/{name}"])], names=["path"])
+
+        for batch in batches:
+            for low, high, data, edge in slices(batch.column(1), block_bytes):
+                digests, first = digests_of(data, edge)
+                for k, name in enumerate(batch.column(0)[low:high].to_pylist()):
+                    own = digests[:, first[k] : first[k + 1]]
+                    if not own.shape[1]:
+                        continue
+                    if held and held + int(edge[k + 1] - edge[k]) > block_bytes:
+                        yield flush()
+                    names.append(name)
+                    words.append(np.ascontiguousarray(own).tobytes())
+                    held += int(edge[k + 1] - edge[k])
+        if names:
+            yield flush()
+
+    parts = max(1, -(-size // block_bytes))
+    return Benchmark(sorted(r["path"] for r in source.repartition(parts).mapInArrow(save, "path string").collect()), window)
+
+
+REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_item_word long, longest_doc_word long"
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """One row per document: n_words, n_hit (words inside an occurrence of a test window), n_items (items with one), items_sha256
+    (of those ids as text, sorted, comma-joined), contaminated (n_hit > 0), and the longest verbatim match of a test suffix: its
+    words, its item, and where it begins in the item and in the document (word numbers from 0; 0 words and nulls without a match).
+    Of equally long matches the first in the document counts, and there the one of the least item id (as text) and place in it."""
+    tests = stored(benchmark, window, item_id, item_text, block_bytes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Tests(sent.value, window)
         for batch in batches:
-            for low, high, data, edge in slices(batch.column(1)):
+            for low, high, data, edge in slices(batch.column(1), tests.shard_bytes):
                 shard = Shard(data, edge, window)
-                which, place = shard.occurrences(tests)
                 change = np.zeros(len(shard.ids) + 1, np.int64)
-                np.add.at(change, place, 1)
-                np.add.at(change, place + tests.width[which], -1)
-                hit = np.cumsum(change)[shard.place] > 0
-                row = np.searchsorted(shard.first + np.arange(len(shard.first)), place, side="right") - 1
-                pairs = np.unique(np.stack([row, tests.item[which]]), axis=1)
-                cut = np.searchsorted(pairs[0], np.arange(high - low + 1))
-                bits = [np.packbits(hit[a:b]).tobytes() if b > a and hit[a:b].any() else b"" for a, b in zip(shard.first[:-1], shard.first[1:])]
-                found = [pairs[1][a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                names: dict[int, set[str]] = {}
+                best: dict[int, tuple[int, str, int, int]] = {}
+                for block in tests.blocks():
+                    if (found := shard.found(block)) is not None:
+                        found.cover(change)
+                        for row, own in found.items():
+                            names.setdefault(row, set()).update(own)
+                        for row, match in found.longest():
+                            # Of equally long ones the first in the row, then by item.
+                            best[row] = min(best.get(row, match), match, key=lambda m: (m[0], m[3], m[1], m[2]))
+                hit = np.append(0, np.cumsum(np.cumsum(change)[shard.place] > 0))
+                hits = hit[shard.first[1:]] - hit[shard.first[:-1]]
+                lists = [sorted(names.get(k, ())) for k in range(high - low)]
+                matches = [best.get(k, (0, None, None, None)) for k in range(high - low)]
                 yield pa.record_batch(
-                    [batch.column(0)[low:high].cast(pa.int64()), pa.array(np.diff(shard.first)), pa.array(bits, pa.binary()), pa.array(found, pa.binary())],
-                    names=["doc_id", "n_words", "hits", "items"],
+                    [
+                        batch.column(0)[low:high],
+                        pa.array(np.diff(shard.first)),
+                        pa.array(hits),
+                        pa.array(map(len, lists), pa.int64()),
+                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
+                        pa.array(hits > 0),
+                        pa.array([-m[0] for m in matches], pa.int64()),
+                        pa.array([m[1] for m in matches], pa.string()),
+                        pa.array([m[2] for m in matches], pa.int64()),
+                        pa.array([m[3] for m in matches], pa.int64()),
+                    ],
+                    names=[c.split(" ")[0] for c in REPORT.split(", ")],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(search, FOUND)
-
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(search, REPORT)
 
-REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without a hit word, with the columns of docs, whatever their names; they are filtered as they pass."""
+    tests = stored(benchmark, window, item_id, item_text, block_bytes)
+    at = docs.columns.index(text)
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
-) -> DataFrame:
-    """One row per document: n_words, n_hit (words inside an occurrence of a test window), n_items (items with one),
-    items_sha256 (of those ids as text, sorted, comma-joined) and contaminated (n_hit > 0)."""
-    blocks = list(_blocks(benchmark, item_id, item_text, block_words)) or [[]]
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, words, hits, names = [], [], [], []
-            for row in batch.to_pylist():
-                bits = [np.frombuffer(x, np.uint8) for x in row["hits"] if x]
-                docs_.append(row["doc_id"])
-                words.append(row["n_words"])
-                hits.append(int(np.unpackbits(np.bitwise_or.reduce(bits)).sum()) if bits else 0)
-                names.append(sorted({str(x) for block in row["items"] for x in block.split(",") if x}))
-            yield pa.record_batch(
-                [
-                    pa.array(docs_, pa.int64()),
-                    pa.array(words, pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array(map(len, names), pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-                    pa.array([h > 0 for h in hits]),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    def named(items: list):
-        ids = [str(i) for i, _ in items]
-        sent = docs.sparkSession.sparkContext.broadcast(ids)
-
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = [",".join(sent.value[k] for k in np.frombuffer(x, np.uint32)) for x in batch.column("items").to_pylist()]
-                yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(names, pa.string())], names=["doc_id", "n_words", "hits", "items"])
-
-        return go
-
-    if len(blocks) == 1:
-        parts = _found(docs, blocks[0], window, id_col, text).mapInArrow(named(blocks[0]), "doc_id long, n_words long, hits binary, items string")
-        return parts.select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items")).mapInArrow(report, REPORT)
-    # More blocks: every document gets a number, as its id may occur twice or be null, and its findings meet again by it.
-    from .shared import written
-
-    numbered = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "decontamination")
-    found = [_found(numbered.select("row", "text"), b, window, "row", "text").mapInArrow(named(b), "doc_id long, n_words long, hits binary, items string") for b in blocks]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    joined = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-    out = joined.mapInArrow(report, REPORT).withColumnRenamed("doc_id", "row")
-    return out.join(numbered.select("row", "id"), "row").select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-
-MATCHES = "doc_id long, item_id long, item_word int, doc_word int, n_words int"
-
-
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The maximal verbatim matches of test suffixes in documents, with their places (word numbers from 0) and length."""
-
-    def of(items: list[tuple[int, str | None]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = Tests(sent.value, window)
-            ids = np.array([i for i, _ in sent.value], np.int64)
-            start = np.concatenate([[0], np.flatnonzero(np.diff(tests.item)) + 1]) if len(tests.item) else np.zeros(0, np.int64)
-            item_first = tests.at[start]
-            number = np.searchsorted(start, np.arange(len(tests.item)), side="right") - 1
-            for batch in batches:
-                own = batch.column(0)
-                for low, high, data, edge in slices(batch.column(1)):
-                    shard = Shard(data, edge, window)
-                    which, place = shard.occurrences(tests)
-                    length = shard.extend(tests, which, place)
-                    before = set(zip(which.tolist(), place.tolist()))
-                    fresh = np.array([(w - 1, p - 1) not in before or tests.item[w - 1] != tests.item[w] for w, p in zip(which.tolist(), place.tolist())], bool)
-                    which, place, length = which[fresh], place[fresh], length[fresh]
-                    row = np.searchsorted(shard.first + np.arange(len(shard.first)), place, side="right") - 1
-                    yield pa.record_batch(
-                        [
-                            own[low:high].take(pa.array(row)).cast(pa.int64()),
-                            pa.array(ids[tests.item[which]] if len(which) else np.zeros(0, np.int64)),
-                            pa.array((tests.at[which] - item_first[number[which]] if len(which) else which).astype(np.int32)),
-                            pa.array((place - shard.first[row] - row).astype(np.int32)),
-                            pa.array(length.astype(np.int32)),
-                        ],
-                        names=["doc_id", "item_id", "item_word", "doc_word", "n_words"],
-                    )
-
-        return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(search, MATCHES)
-
-    out = None
-    for block in list(_blocks(benchmark, item_id, item_text, block_words)) or [[]]:
-        out = of(block) if out is None else out.unionByName(of(block))
-    return out
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs without a hit word, with the columns of docs: each block filters them as they pass, without a join."""
-    out = docs
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        kept_text = docs.columns.index(text)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tests = Tests(sent.value, window)
-            for batch in batches:
-                for low, high, data, edge in slices(batch.column(kept_text)):
-                    shard = Shard(data, edge, window)
-                    _, place = shard.occurrences(tests)
-                    row = np.searchsorted(shard.first + np.arange(len(shard.first)), place, side="right") - 1
-                    clean = np.ones(high - low, bool)
-                    clean[row] = False
-                    yield batch.slice(low, high - low).filter(pa.array(clean))
-
-        out = out.mapInArrow(search, docs.schema)
-    return out
+            for low, high, data, edge in slices(batch.column(at), tests.shard_bytes):
+                shard = Shard(data, edge, window)
+                clean = np.ones(high - low, bool)
+                for block in tests.blocks():
+                    if (found := shard.found(block)) is not None:
+                        clean[found.row] = False
+                yield batch.slice(low, high - low).filter(pa.array(clean))
+
+    return docs.mapInArrow(search, docs.schema)

@@ -4,23 +4,25 @@ Fingerprint: A-Z lower-cased, words split at ASCII white space, shingles of thre
 where there are fewer; a text without words has fingerprint 0, and null is such a text), XXH64 with seed 42 of each
 shingle, repeats included; a bit is 1 where it is 1 in over half of them.
 
-Equal fingerprints meet first, in one aggregation. The 64 bits are four segments of 16. Fingerprints at most two bits
-apart agree wholly in two segments at least, so each of the six pairs of segments makes a table: a grid whose
-coordinates are the bits of the two segments and the bit count of the others. The bit counts differ by no more than
-the bits do, so a fingerprint looks into the cells whose count is at most two away; the Manhattan distance of the bit
-counts of all eight half segments drops most of what it meets there, and the differing bits decide.
-
-Cells of over DENSE members don't go through that join, where they would make all pairs. Two fingerprints are at most
-two bits apart just where some word is at most one bit from both, so the members of such cells and of those around
-them meet at the 65 words within one bit of each, where at most 65 fingerprints can meet. That is exact too.
-
-Documents without an id get a fingerprint and no component. Repeated ids count as one document with several texts.
+Equal fingerprints meet first, in one aggregation. Then the 64 bits are 16 segments of 4, and a fingerprint is a point of
+the grid: its bit counts, packed in one number. Bit counts are no further apart (sum of absolute differences) than the
+fingerprints are in bits, so two fingerprints at most two bits apart have points at most two steps apart, and some point
+is at most one step from both. Each fingerprint goes to its own point and the 32 around it; those that meet at a point
+are within reach, and their differing bits decide.
+
+Points where over DENSE fingerprints meet would make too many pairs. All that come to such a point go on to a finer
+grid, 32 segments of 2 bits, and from what is dense there to the finest, 64 segments of one bit. Its points are words,
+one step is one bit, so at most 65 fingerprints meet at a point and any two of them are at most two bits apart: links to
+the least of them do. Each step is exact, and no fingerprint is left out at any size.
+
+Documents without an id get a fingerprint and no component. Repeated ids count as one document with several texts. An
+empty table gives no rows; very long texts are worked on alone. Only the id and the text are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,9 @@ from .texts import slices
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-SEGMENTS, BITS = 4, 16
-#: Members of a cell beyond which it is dense.
+#: Bits of a segment, from the coarsest grid to the finest. RADIUS is one step out and one step back.
+WIDTHS = (4, 2, 1)
+#: Fingerprints at a point beyond which it is dense.
 DENSE = 64
 _AT_ONCE = 1 << 15
 
@@ -74,52 +77,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(x: Column, k: int, bits: int = BITS) -> Column:
-    return F.shiftrightunsigned(x, bits * k).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-CELL = ["t", "bits", "ones"]
-
-
-def _grid(nodes: DataFrame) -> DataFrame:
-    """Each node in the cell (t, bits, ones) that it has in each table."""
-    tables = []
-    for t, (a, b) in enumerate(combinations(range(SEGMENTS), SEGMENTS - RADIUS)):
-        rest = [k for k in range(SEGMENTS) if k not in (a, b)]
-        ones = sum((F.bit_count(_segment(F.col("fp"), k)) for k in rest), F.lit(0))
-        bits = F.shiftleft(_segment(F.col("fp"), a), BITS).bitwiseOR(_segment(F.col("fp"), b))
-        tables.append(F.struct(F.lit(t).alias("t"), bits.alias("bits"), ones.cast("int").alias("ones")))
-    return nodes.select("fp", "rep", F.explode(F.array(*tables)).alias("c")).select("fp", "rep", "c.*")
-
-
-def _moved(cells: DataFrame, steps: range) -> DataFrame:
-    """The rows once for each step, the cell moved by so many ones."""
-    return cells.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("ones", F.col("ones") + F.col("step"))
-
-
-def _apart(x: Column, y: Column) -> Column:
-    """Manhattan distance of the bit counts of half segments: a lower bound of the differing bits."""
-    half = BITS // 2
-    return sum((F.abs(F.bit_count(_segment(x, k, half)) - F.bit_count(_segment(y, k, half))) for k in range(64 // half)), F.lit(0))
+def _point(fp: Column, width: int) -> Column:
+    """The bit counts of the segments of so many bits, each in as many bits of a long."""
+    if width == 1:
+        return fp
+    odd = F.lit(0x5555555555555555)
+    high, low = F.shiftrightunsigned(fp, 1).bitwiseAND(odd), fp.bitwiseAND(odd)
+    twos = F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseXOR(low))
+    if width == 2:
+        return twos
+    some = F.lit(0x3333333333333333)
+    return twos.bitwiseAND(some) + F.shiftrightunsigned(twos, 2).bitwiseAND(some)
+
+
+def _reach(nodes: DataFrame, width: int) -> DataFrame:
+    """Each node (fp, rep) at its point and at all points one step away: point, fp, rep. A step up or down that a segment of
+    `width` bits can't take is left out; where a segment is one bit, up is the only step from 0 and down from 1."""
+    n = 64 // width
+    stepped = nodes.select("fp", "rep", _point(F.col("fp"), width).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(2 * n))).alias("step"))
+    at = f"{width} * (step div 2)"
+    count = F.expr(f"CAST(shiftrightunsigned(own, CAST({at} AS INT)) & {(1 << width) - 1} AS INT)")
+    counted = stepped.withColumn("count", F.when(F.col("step") < 2 * n, count).otherwise(0))
+    to = F.col("count") + F.when(F.col("step") % 2 == 1, 1).otherwise(-1)
+    moved = counted.withColumn("to", F.when(F.col("step") == 2 * n, F.lit(0)).otherwise(to)).filter((F.col("to") >= 0) & (F.col("to") <= width))
+    return moved.select(F.expr(f"CASE WHEN step = {2 * n} THEN own ELSE own ^ shiftleft(CAST(count ^ to AS BIGINT), CAST({at} AS INT)) END").alias("point"), "fp", "rep")
 
 
 def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(u, v) links between the reps of different fingerprints (fp, rep) that connect all at most RADIUS bits apart,
-    and no others. Pairs from thin cells are all there; dense cells give links enough to connect what lies within reach."""
-    grid = _grid(nodes)
-    full = written(grid.groupBy(*CELL).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*CELL), "simhash-full")
-    thin = grid.join(full, CELL, "left_anti")
-    other = _moved(thin, range(RADIUS + 1)).select(*CELL, "step", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    met = thin.join(other, CELL).filter((F.col("step") > 0) | (F.col("fp") < F.col("fp2")))
-    pairs = met.filter(_apart(F.col("fp"), F.col("fp2")) <= RADIUS).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS)
-
-    # A link that a table misses since one end lies in a full cell has both ends in or beside that cell.
-    near = _moved(full, range(-RADIUS, RADIUS + 1)).select(*CELL).distinct()
-    crowd = grid.join(near, CELL, "left_semi").select("fp", "rep").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64) * (b == 63))) for b in range(64)])
-    meeting = crowd.select("rep", F.explode(flips).alias("word")).groupBy("word").agg(F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
-    stars = meeting.select(F.array_min("reps").alias("v"), F.explode("reps").alias("u")).filter("u != v")
-    return pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).union(stars.select("u", "v")).distinct()
+    """(u, v) links between the reps of different fingerprints (fp, rep) that connect all at most RADIUS bits apart, and no
+    others. Where a point is not dense, all its pairs within RADIUS are there."""
+    found, crowd = None, nodes
+    for width in WIDTHS[:-1]:
+        reach = _reach(crowd, width)
+        met = written(reach.groupBy("point").agg(F.count("*").alias("n")).filter("n > 1"), f"simhash-grid-{width}")
+        thin = reach.join(met.filter(F.col("n") <= dense).select("point"), "point").groupBy("point").agg(F.collect_list(F.struct("fp", "rep")).alias("all"))
+        pairs = thin.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a.fp < b.fp")
+        near = pairs.filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+        found = near if found is None else found.union(near)
+        full = met.filter(F.col("n") > dense).select("point")
+        if full.isEmpty():
+            return found.distinct()
+        crowd = written(reach.join(full, "point", "left_semi").select("fp", "rep").distinct(), f"simhash-crowd-{width}")
+    words = _reach(crowd, WIDTHS[-1]).groupBy("point").agg(F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
+    stars = words.select(F.array_min("reps").alias("v"), F.explode("reps").alias("u")).filter("u != v")
+    return found.union(stars.select("u", "v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:

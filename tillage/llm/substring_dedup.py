@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_folder, remove_folder, written
-from .texts import PLAIN_WORD, ragged, slices, span_digests, word_spans
+from .texts import PLAIN_WORD, ragged, run_digests, slices, word_digests, word_spans
 
 WINDOW = 35
 #: Bytes of text in a block, about, and for each packed row at least: beyond 160 GB blocks grow with the root of the size,
@@ -51,15 +51,12 @@ class Words:
     """The words of a block's rows as digests, and the places of anchors and windows among them."""
 
     def __init__(self, column: pa.Array, window: int):
-        one, two, counts = [], [], []
+        digests, counts = [np.zeros((2, 0), np.uint64)], []
         for _, _, data, edge in slices(column):
             starts, ends, first = word_spans(data, edge, PLAIN_WORD)
-            raw = np.frombuffer(data, np.uint8)
-            one.append(span_digests(raw, starts, ends))
-            two.append(span_digests(raw, starts, ends, 1))
+            digests.append(word_digests(data, starts, ends))
             counts.append(np.diff(first))
-        none = np.zeros(0, np.uint64)
-        self.one, self.two = np.concatenate([none, *one]), np.concatenate([none, *two])
+        self.one, self.two = np.concatenate(digests, axis=1)
         self.counts = np.concatenate([np.zeros(0, np.int64), *counts])
         self.first = np.cumsum(self.counts) - self.counts
         self.window = window
@@ -72,7 +69,7 @@ class Words:
         within = ragged(np.zeros(len(n), np.int64), n)
         here = inside[within % period]
         place = ragged(self.first, n)[here]
-        return place, span_digests(self.one, place, place + width)[:, None]
+        return place, run_digests(self.one, width)[place][:, None]
 
     def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The starts of the windows that hold one of the shared anchors at an offset below the period, and their digests."""
@@ -84,8 +81,7 @@ class Words:
         np.add.at(change, low, 1)
         np.add.at(change, high + 1, -1)
         start = np.flatnonzero(np.cumsum(change)[:-1] > 0)
-        ends = start + self.window
-        return start, np.stack([span_digests(self.one, start, ends), span_digests(self.two, start, ends, 1)], axis=1)
+        return start, np.stack([run_digests(w, self.window, k)[start] for k, w in enumerate((self.one, self.two))], axis=1)
 
     def removed(self, starts: np.ndarray) -> np.ndarray:
         """Which words the windows cover."""

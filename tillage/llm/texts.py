@@ -1,4 +1,4 @@
-"""Arrow helpers that the text operators share: slices of bounded size, word boundaries, word digests."""
+"""Arrow helpers that the text operators share: slices of bounded size, word boundaries, digests of words and of runs of words."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-#: Odd multipliers of the two polynomial digests, and the two steps of the final mix.
+#: Odd multipliers of the two streams of digests, and the two steps of the mix.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXERS = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -57,8 +58,59 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Words of at most so many lanes of eight bytes are digested all at once.
+LANES = 4
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_digests(data: bytes, starts: np.ndarray, ends: np.ndarray, streams: int = 2) -> np.ndarray:
+    """A digest of 64 bits for each word data[start:end] in each of the streams (rows). Each lane of eight bytes is taken in
+    by a mix that no two states share, so words of up to eight bytes and the same length never collide; longer words than
+    LANES lanes get the halves of their XXH3."""
+    padded = np.frombuffer(bytes(data) + bytes(8), np.uint8)
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = np.stack([_mixed(length.astype(np.uint64) * np.uint64(m)) for m in MULTIPLIERS[:streams]])
+    live = np.flatnonzero((length > 0) & (length <= 8 * LANES))
+    for k in range(LANES):
+        value = lanes[starts[live] + 8 * k] & _MASKS[np.minimum(length[live] - 8 * k, 8)]
+        for own, m in zip(out, MULTIPLIERS):
+            own[live] = _mixed((own[live] ^ value) * np.uint64(m))
+        live = live[length[live] > 8 * (k + 1)]
+        if not live.size:
+            break
+    for k in np.flatnonzero(length > 8 * LANES).tolist():
+        whole = xxhash.xxh3_128_intdigest(data[starts[k] : ends[k]])
+        for j in range(streams):
+            out[j, k] = whole >> 64 * j & (1 << 64) - 1
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray, stream: int) -> np.ndarray:
+    return _mixed(a * np.uint64(MULTIPLIERS[stream]) + b)
+
+
+def run_digests(words: np.ndarray, width: int, stream: int = 0) -> np.ndarray:
+    """A digest of each run of `width` words from their digests, by doubling: runs of 1, 2, 4, ... words, mixed at each step, so
+    that no pattern of two words cancels out as it would in a polynomial."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if width & size:
+            part = power[done : done + n]
+            out = part if out is None else _joined(out, part, stream)
+            done += size
+        if 2 * size > width:
+            return out
+        power = _joined(power[:-size], power[size:], stream)
+        size *= 2
+
+
 def span_digests(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit digest of values[start:end] for each span: a polynomial modulo 2 ** 64, then mixed with the length."""
+    """A 64-bit hash of values[start:end] for each span, for buckets and features: a polynomial modulo 2 ** 64, mixed with the
+    length. Spans of one made-up pattern can share it; what must not be taken for equal has word_digests and run_digests."""
     size = 1 << max(20, int(len(values)).bit_length())
     power, inverse = _powers(MULTIPLIERS[which], size)
     total = np.zeros(len(values) + 1, np.uint64)

@@ -5,26 +5,34 @@ document ids; the end of each document, counted in ids; the byte offset of each
 block holds its ids bit by bit, lowest first, and begins at a byte. All numbers are little-endian.
 
 The documents are dealt to parts by ranges of their ids, sorted there, and written in files of a bounded number of
-ids, so that the files in the order of their names hold all documents by ascending id. A file is written under another
-name and then renamed, so a task that is run again replaces it by the same. Null texts count as empty; each document
-ends with the end id, so none is without ids. Null document ids come first; rows of equal id follow the bytes of
-their ids. An empty table gives no files.
+ids, so that the files in the order of their names hold all documents by ascending id. An id that many rows bear (null is
+one) gets several parts, by ranges of a digest of the ids. A file is written under another name and then renamed, so a
+task that is run again replaces it by the same. Null texts count as empty; each document ends with the end id, so none
+is without ids. Null document ids come first; rows of equal id follow the digest of their ids, then their bytes. An empty
+table gives no files. A very long text is encoded by itself, with memory in proportion to it. Only the id and the text
+are read, so other columns can't clash.
+
+As in the library, the vocabulary's added tokens that stand in a text are those tokens, in this very spelling.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import whole
 from .pieces import PieceIds
 from .shared import new_folder, written
 from .texts import PLAIN_WORD, byte_class, ragged, slices
@@ -127,6 +135,30 @@ def parts(data: bytes, edge: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return spaced.tobytes().lower().split(), np.searchsorted(begins, edge)
 
 
+class Added:
+    """The added tokens of a vocabulary. The library cuts texts at them before anything else, the longest first where several
+    begin; a token with another rule than that is an error."""
+
+    #: No byte of a text in UTF-8: it begins the part that stands for an added token, before the token's number.
+    MARK = b"\xff"
+
+    def __init__(self, text: str):
+        every = json.loads(text).get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in every):
+            raise ValueError("an added token with a rule of its own")
+        self.ids = [t["id"] for t in every]
+        self.number = {t["content"].encode(): k for k, t in enumerate(every)}
+        longest_first = sorted(self.number, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, longest_first))) if every else None
+
+    def marked(self, data: bytes, edge: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The rows with each added token as a part of its own, and the new row offsets."""
+        if self.pattern is None or not self.pattern.search(data):
+            return data, edge
+        rows = [self.pattern.sub(lambda m: b" %b%d " % (self.MARK, self.number[m[0]]), data[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist())]
+        return b"".join(rows), np.cumsum([0, *map(len, rows)])
+
+
 _caches: dict[str, PieceIds] = {}
 
 
@@ -138,12 +170,10 @@ def _one_word(piece: str) -> bool:
 def resolver(text: str, marks: str = "~^`|{}") -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """The library's ids of many parts in few calls. Parts that are one word stand side by side, and the tokens that end
     a word part the ids. Between the others stands a sign that none of them holds and that is one token of its own;
-    without such a sign each is encoded by itself. Special tokens that stand in a text are ordinary text."""
-    import json
-
+    without such a sign each is encoded by itself. Added tokens come marked, so what looks like one here isn't."""
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_str(text)
+    own, added = Tokenizer.from_str(text), Added(text)
     own.encode_special_tokens = True
     fast = lambda lot: [e.ids for e in own.encode_batch_fast(lot, add_special_tokens=False)]
     single = {m: ids[0] for m, ids in zip(marks, fast(list(marks))) if len(ids) == 1}
@@ -165,13 +195,17 @@ def resolver(text: str, marks: str = "~^`|{}") -> Callable[[list[bytes]], tuple[
         here = ids == single[mark]
         return ids[~here], np.diff(np.concatenate([[-1], np.flatnonzero(here), [len(ids)]])) - 1
 
+    def tokens(lot: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([added.ids[int(p[1:])] for p in lot], np.uint32), np.ones(len(lot), np.int64)
+
     def resolve(lot: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        marks = np.array([p[:1] == Added.MARK for p in lot], bool)
         pieces = [p.decode("utf-8", "replace") for p in lot]
-        simple = np.array(list(map(_one_word, pieces)), bool) & bool(suffix)
+        simple = np.array(list(map(_one_word, pieces)), bool) & bool(suffix) & ~marks
         counts, ids = np.zeros(len(lot), np.int64), []
         place = np.zeros(len(lot), np.int64)
         at = 0
-        for chosen, how in ((np.flatnonzero(simple), words), (np.flatnonzero(~simple), marked)):
+        for chosen, how in ((np.flatnonzero(simple), words), (np.flatnonzero(~simple & ~marks), marked), (np.flatnonzero(marks), tokens)):
             if not chosen.size:
                 continue
             part = [pieces[k] for k in chosen.tolist()]
@@ -200,26 +234,37 @@ def vocabulary_size(text: str) -> int:
     return Tokenizer.from_str(text).get_vocab_size()
 
 
+def part_of(keys: np.ndarray, digests: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The part of each row: the number of cuts at or below its id. An id that is several cuts has as many parts, and its rows go
+    to them by ranges of their digests."""
+    digests = digests ^ np.uint64(1 << 63)  # in the order of signed numbers
+    last = np.searchsorted(cuts, keys, side="right")
+    many = np.maximum(last - np.searchsorted(cuts, keys, side="left"), 1)
+    width = np.uint64((1 << 64) - 1) // many.astype(np.uint64) + np.uint64(1)
+    return (last - many + 1 + (digests // np.maximum(width, np.uint64(1))).astype(np.int64) * (many > 1)).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
+
+
 def encode(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int], id_col: str = "doc_id", text: str = "text", kind: type = np.uint32) -> DataFrame:
-    """(part, doc_id, ids): the ids of each text as integers of a kind, the end id last; part is the number of cuts at or below the document id."""
+    """(part, doc_id, digest, ids): the ids of each text as integers of a kind, the end id last, and a digest of them."""
     with open(vocabulary, encoding="utf-8") as f:
         rules = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, edges = _library(vocabulary, sent.value), np.array(cuts, np.int64)
+        own, added, edges = _library(vocabulary, sent.value), Added(sent.value), np.array(cuts, np.int64)
         for batch in batches:
             keys = batch.column(0).fill_null(NO_ID).to_numpy()
-            part = np.searchsorted(edges, keys, side="right").astype(np.int32)
-            for low, high, data, edge in slices(batch.column(1)):
-                pieces, first = parts(data, edge)
+            for low, high, data, edge in slices(whole(batch.column(1))):
+                pieces, first = parts(*added.marked(data, edge))
                 ids, counts = own.encode_pieces(pieces)
                 split = np.append(0, np.cumsum(counts))[first].tolist()
                 ids, end = ids.astype(kind), np.array([end_id], kind).tobytes()
                 packed = [ids[a:b].tobytes() + end for a, b in zip(split, split[1:])]
-                yield pa.record_batch([pa.array(part[low:high]), batch.column(0).slice(low, high - low), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
+                digests = np.array([xxhash.xxh3_64_intdigest(p) for p in packed], np.uint64)
+                part = part_of(keys[low:high], digests, edges)
+                yield pa.record_batch([pa.array(part), batch.column(0).slice(low, high - low), pa.array(digests.view(np.int64)), pa.array(packed, pa.binary())], names=["part", "doc_id", "digest", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, digest long, ids binary")
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, block: int = BLOCK) -> tuple[str, DataFrame]:
@@ -231,9 +276,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
     with open(vocabulary, encoding="utf-8") as f:
         bits = max(1, (vocabulary_size(f.read()) - 1).bit_length(), int(end_id).bit_length())
     at = [k / parts for k in range(1, parts)]
-    cuts = docs.select(F.col(id_col).cast("long").alias("d")).agg(F.percentile_approx("d", at, 100 * parts).alias("c")).first()["c"] if at else []
+    cuts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d")).agg(F.percentile_approx("d", at, 100 * parts).alias("c")).first()["c"] if at else []
     kind = np.uint16 if bits <= 16 else np.uint32
-    dealt = encode(docs, vocabulary, end_id, sorted(set(cuts or [])), id_col, text, kind).repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
+    dealt = encode(docs, vocabulary, end_id, sorted(cuts or []), id_col, text, kind).repartitionById(parts, "part").sortWithinPartitions("doc_id", "digest", "ids")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = fs.FileSystem.from_uri(folder)
@@ -252,7 +297,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             return row
 
         for batch in batches:
-            for key, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for key, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 keys.append(NO_ID if key is None else key)
                 own.append(np.frombuffer(ids, kind))
                 size += len(own[-1])
