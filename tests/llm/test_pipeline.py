@@ -10,7 +10,8 @@ import public_tokenizers
 import corpus_pipeline
 from tillage.llm import pii, quality_rules
 
-from .test_brute_force import docs_of, plain_components, plain_contamination, plain_fingerprint, plain_words, table
+from .test_brute_force import docs_of, plain_contamination, plain_words, table
+from .test_near_copies import least_ids
 
 
 def plain_kept(text):
@@ -43,8 +44,8 @@ def test_pipeline(spark, sf_dir):
     import tiktoken
 
     docs = [(i, t) for i, t in docs_of(spark, sf_dir) if plain_kept(t)]
-    find = plain_components([(i, plain_fingerprint(t)) for i, t in docs])
-    docs = [(i, t) for i, t in docs if find(i) == i]
+    staying = set(least_ids(docs))
+    docs = [(i, t) for i, t in docs if i in staying]
     hit = {r[0] for r in plain_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")) if r[-1]}
     docs = [(i, t) for i, t in docs if i not in hit]
     model, limits = pii.trained()

@@ -72,8 +72,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least threshold, but 0.5 at least, at and above which the held-out rows reach the precision; over 1 where none does."""
+    """The least threshold at and above which the held-out rows reach the precision; over 1 where none does."""
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero((right >= precision) & (np.append(p[order][1:], -1) < p[order]))
-    return max(0.5, float(p[order][good[-1]])) if good.size else 1.1
+    return float(p[order][good[-1]]) if good.size else 1.1

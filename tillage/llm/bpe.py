@@ -7,7 +7,8 @@ The byte length of every token follows from its id, so ids and offsets decode ba
 
 Null texts count as empty: no tokens, an empty decoded text. Bytes that are no UTF-8 become U+FFFD first, as a library
 that takes strings would have it. Rows keep their order within a partition; there is no shuffle. Repeated rows give
-repeated results. Very long texts are slices of their own, with memory in proportion to the longest text.
+repeated results, and an empty table none. Very long texts are slices of their own, with memory in proportion to the
+longest text. The results take the place of columns that bear their names; other columns stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -256,8 +257,9 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     names = [c for c in docs.columns if c != text] if keep is None else keep
     last = "decoded" if decoded else "token_bytes"
     names = [c for c in names if c not in ("n_tokens", "ids", last)]
-    source = docs.select(F.col(text).cast("string").alias("_text"), *names)
-    out = source.drop("_text").schema.add("n_tokens", "long").add("ids", "binary").add(last, "binary")
+    rest = docs.select(*names)
+    source = docs.select(F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    out = rest.schema.add("n_tokens", "long").add("ids", "binary").add(last, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(vocabulary, sent.value)

@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["id", "y", "ids", "counts"])
 
     head = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {head}, y int, ids binary, counts binary").collect()
+    # One row of each id, so that what comes to the driver is bounded by the sample.
+    found = rows.mapInArrow(run, f"id {head}, y int, ids binary, counts binary").groupBy("id").agg(F.min(F.struct("y", "ids", "counts")).alias("s"))
+    got = found.select("id", "s.*").collect()
     got.sort(key=lambda r: (r["id"], bytes(r["ids"]), bytes(r["counts"])))
     return fit([(np.frombuffer(r["ids"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.int64), r["y"]) for r in got])
 

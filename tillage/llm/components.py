@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import scratch, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) pairs of ids in, (node, component) out for every id in an edge between different ids; the component is
     its least id. Null ids are left out; an empty list gives an empty table. Each round is a table in the shared folder."""
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, seen = written(now, "components"), None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if tuple(mark) == seen or not mark["n"]:
-            break
-        now, seen = written(_stars(now), "components"), tuple(mark)
+    with scratch("components"):
+        now, seen = written(now, "round"), None
+        while True:
+            mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+            if tuple(mark) == seen or not mark["n"]:
+                break
+            now, seen = written(_stars(now), "round"), tuple(mark)
+        now = written(now, "components")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

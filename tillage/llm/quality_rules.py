@@ -1,8 +1,9 @@
 """Quality rules [native]: a threshold table compiled into one Spark projection, without user functions.
 
 Words are runs of characters other than ASCII white space. Null texts count as empty: no words, all counts 0,
-rejected for length. Every row gives one row; other columns of the input stay as they are, and a column of the
-input that bears a name of a result is replaced.
+rejected for length. Every row gives one row, repeated rows too, and an empty table none; a very long text costs its
+length. judge() gives the columns of the input and its results, which take the place of columns that bear their names;
+keep() gives the rows as they were, whatever their columns are called.
 """
 
 from __future__ import annotations
@@ -68,11 +69,10 @@ def failed(rules: tuple[Rule, ...]) -> Column:
 
 
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_stop_words, n_twin_words, n_lines, n_dup_lines, n_bullet_lines,
-    n_ellipsis_lines and n_repeat_words (all long): one narrow projection over each row, no shuffle."""
+    """Each row as the struct `_row`, with n_words, word_chars, n_symbols, n_stop_words, n_twin_words, n_lines, n_dup_lines,
+    n_bullet_lines, n_ellipsis_lines and n_repeat_words (all long): one narrow projection over each row, no shuffle."""
     own = ["_words", "_lines", "_marks", "_sorted", "_text"]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_text", whole)
+    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     out = out.withColumns(
         {
             "_words": F.array_remove(F.split("_text", BLANKS), ""),
@@ -122,16 +122,23 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop(*own)
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the metrics, base_failed and kept (neither a base rule nor one of `rules` rejects).
+def _judged(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """Each row as the struct `_row`, with the metrics, base_failed and kept.
 
     A filter on these columns stays above the metrics: n_words counts as not deterministic, since it names the row's
     number (times zero). Otherwise the optimizer would write each metric out in the filter again for each of its uses,
-    one within the other, and evaluate it so often for each row."""
+    one within the other, and evaluate it so often for each row. Filters on the columns of docs belong before this."""
     held = metrics(docs, text).withColumn("n_words", F.col("n_words") + F.lit(0) * F.monotonically_increasing_id())
     return held.withColumn("base_failed", failed(BASE_RULES)).withColumn("kept", ~F.col("base_failed") & ~failed(rules))
 
 
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the metrics, base_failed and kept (neither a base rule nor one of `rules` rejects)."""
+    judged = _judged(docs, text, rules)
+    results = judged.columns[1:]
+    return judged.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in results], *results)
+
+
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    return judge(docs, text, rules).filter("kept").select(docs.columns)
+    return _judged(docs, text, rules).filter("kept").select("_row.*")

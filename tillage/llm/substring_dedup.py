@@ -11,7 +11,9 @@ holds it more often), in one packed row for each part of the digests' range, and
 that a third of the documents hold is one digest for each block, and no pair of documents is ever formed.
 
 Null and empty texts have no words and keep none. Every row gives one row, repeated ids and null ids too; texts with
-fewer words than a window keep all. Very long texts are part of one block; memory follows the longest text.
+fewer words than a window keep all, and an empty table gives none. Very long texts are part of one block; memory follows
+the longest text. Only the id and the text are read, so other columns can't clash. All that is written on the way is
+removed at the end, an error or not; the result is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, remove_folder, written
+from .shared import new_folder, scratch, written
 from .texts import PLAIN_WORD, ragged, run_digests, slices, word_digests, word_spans
 
 WINDOW = 35
 #: Bytes of text in a block, about, and for each packed row at least: beyond 160 GB blocks grow with the root of the size,
 #: or there would be more packed rows (blocks times parts) than digests worth packing.
 BLOCK_BYTES, ROW_BYTES = 8 << 20, 400
+#: Bytes of text in a bucket of the written table, about, and so of a task.
+BUCKET_BYTES = 128 << 20
 #: Perfect difference sets: every difference modulo the period occurs between two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
@@ -175,12 +179,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(n, min(size // block_bytes, math.isqrt(size // ROW_BYTES)))
-    name, folder = f"tillage_blocks_{uuid.uuid4().hex}", new_folder(spark, "substring-blocks")
+    buckets = max(n, -(-size // BUCKET_BYTES))
+    name = f"tillage_blocks_{uuid.uuid4().hex}"
     rows = source.withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).repartition(n, "block")
-    rows.write.bucketBy(n, "block").option("path", folder).format("parquet").saveAsTable(name)
-    blocks = spark.read.table(name)
-    narrow = blocks.select("block", "row", "text")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).repartition(buckets, "block")
 
     def first_pass(table: pa.Table) -> pa.Table:
         table = _in_order(table)
@@ -227,15 +229,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text:
         return pa.table(columns)
 
     with_bits = lambda table, bits: table.groupBy("block").cogroup(bits.groupBy("block"))
-    anchors = _sent(narrow.groupBy("block").applyInArrow(first_pass, PACKED), 1)
-    shared = written(anchors.withColumn("step", F.lit(1)), "substring-anchors")
-    windows = _sent(with_bits(narrow, shared).applyInArrow(second_pass, PACKED), 2)
-    repeated = written(windows.withColumn("step", F.lit(2)), "substring-windows")
-    result = with_bits(blocks, shared.unionByName(repeated)).applyInArrow(third_pass, out)
-    result = written(result, "substring-dedup")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    remove_folder(spark, folder)
-    return result
+    with scratch("substring-dedup"):
+        try:
+            rows.write.bucketBy(buckets, "block").option("path", new_folder(spark, "substring-blocks")).format("parquet").saveAsTable(name)
+            blocks = spark.read.table(name)
+            narrow = blocks.select("block", "row", "text")
+            anchors = _sent(narrow.groupBy("block").applyInArrow(first_pass, PACKED), 1)
+            shared = written(anchors.withColumn("step", F.lit(1)), "substring-anchors")
+            windows = _sent(with_bits(narrow, shared).applyInArrow(second_pass, PACKED), 2)
+            repeated = written(windows.withColumn("step", F.lit(2)), "substring-windows")
+            return written(with_bits(blocks, shared.unionByName(repeated)).applyInArrow(third_pass, out), "substring-dedup")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
