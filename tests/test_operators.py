@@ -134,6 +134,29 @@ def test_laggards_and_missing(spark):
     assert [r[2] for r in rows(sets.select("i", parts["missing"], parts["state"]))] == ["pending", "in_progress", "completed", "completed"]
 
 
+@pytest.mark.parametrize("cells", [(0.5, 2.0, 8.0, 30.0), (30.0,), ()])
+def test_nearest_place(spark, cells):
+    """Against all pairs: near and far places, over the date line and at a pole, ties, groups without places."""
+    import math
+
+    rng = random.Random(3)
+    at = lambda: (rng.choice((rng.uniform(-89, 89), 37.0 + rng.random(), 89.5)), rng.choice((rng.uniform(-180, 180), 179.9, -179.9, 127.0 + rng.random())))
+    points = [(rng.choice("ab"), i, *at()) for i in range(60)] + [("c", 60, 1.0, 1.0)]
+    places = [(rng.choice("ab"), i, *at()) for i in range(40)]
+    places += [(k, i + 100, la, lo) for k, i, la, lo in places[:5]]
+    got = S.nearest_place(frame(spark, points, "k string, i int, lat double, lon double"), frame(spark, places, "k string, j int, lat double, lon double"), ["k"], "i", "j", cells)
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return round(2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h))), 1)
+
+    want = {i: min((metres(la, lo, c, d), j) for g, j, c, d in places if g == k) for k, i, la, lo in points if k != "c"}
+    found = {r["i"]: r for r in got.collect()}
+    assert found.keys() == want.keys()
+    for i, (m, _) in want.items():
+        assert abs(found[i]["metres"] - m) < 0.2
+
+
 @pytest.mark.parametrize("most", [1, 3, 100])
 def test_nearest_in_blocks(spark, most):
     rng = random.Random(5)

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import DIMENSION_ROWS, small
+
 
 def payments(work: DataFrame, rates: DataFrame, owner: str, code: str, area: str, name: str) -> DataFrame:
     """Money by owner: the rate of a code, or of the first keyword in its name, per hectare. rates: code, keyword, rate, and
-    prio (order of the keywords); it is a dimension of fixed size. Areas are square metres, rounded to 4 digits of a
+    prio (order of the keywords); more than DIMENSION_ROWS keywords are an error, more codes are joined by size. Areas are square metres, rounded to 4 digits of a
     hectare; each amount is rounded half to even."""
     by_code = rates.filter("code is not null").select(F.col("code").alias(code), F.col("rate").alias("_by_code"))
-    words = [(r["keyword"], r["rate"]) for r in rates.filter("keyword is not null").orderBy("prio").collect()]
+    words = [(r["keyword"], r["rate"]) for r in rates.filter("keyword is not null").orderBy("prio").limit(DIMENSION_ROWS + 1).collect()]
+    if len(words) > DIMENSION_ROWS:
+        raise ValueError(f"more than {DIMENSION_ROWS} keywords")
     fallback: Column = F.lit(None).cast("double")
     for keyword, rate in reversed(words):
         fallback = F.when(F.contains(F.col(name), F.lit(keyword)), F.lit(float(rate))).otherwise(fallback)
-    priced = work.join(F.broadcast(by_code), code, "left").withColumn("rate", F.coalesce("_by_code", fallback))
+    priced = work.join(small(by_code), code, "left").withColumn("rate", F.coalesce("_by_code", fallback))
     hectares = F.bround(F.col(area) / F.lit(10000.0), 4)
     items = priced.filter("rate is not null").withColumn("amount", F.bround(F.col("rate") * 1000 * hectares).cast("long"))
     return items.groupBy(owner).agg(F.count("*").alias("n_items"), F.sum("amount").alias("total"))

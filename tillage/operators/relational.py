@@ -14,6 +14,23 @@ def conjunction(**wanted: object) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+#: Rows that a table may have to count as a dimension.
+DIMENSION_ROWS = 10_000
+
+
+def dimension(df: DataFrame, column: str, most: int = DIMENSION_ROWS) -> list:
+    """The values of a small dimension, in order; a larger one is an error, never a list on the driver."""
+    rows = df.select(column).filter(F.col(column).isNotNull()).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(r[0] for r in rows)
+
+
+def small(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
+    """df to be broadcast, if it has at most so many rows; else as it is, so that Spark chooses another join."""
+    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
+
+
 def labelled(*columns: str) -> Column:
     """The first of the columns that isn't null or blank."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,23 +25,67 @@ def fetch_size(limit: int, wide: bool) -> int:
     return min(30, max(cap * (3 if wide else 2), cap + 6))
 
 
+def _directions(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column as rows of length 1, and the places of those that have one: whole, of this width, not zero."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    at = np.flatnonzero(sizes == width)
+    rows = flat[(starts[at][:, None] + np.arange(width))] if width else np.zeros((len(at), 0))
+    length = np.sqrt((rows * rows).sum(axis=1))
+    good = np.isfinite(length) & (length > 0)
+    return rows[good] / length[good][:, None], at[good]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, embedding: str, most: int = 4096) -> DataFrame:
-    """The k nearest vectors of every query, exactly: a stated set of queries against all rows. The queries are counted, and
-    go out in blocks of about `most` (a hash of the id chooses the block), so that no broadcast grows with the data: more
-    queries mean more blocks. Each task keeps its own best k of a query before the ranking."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("_q"))
+    """The k nearest vectors of every query by cosine distance (6 digits), exactly: a stated set of queries against all rows.
+    The queries are counted, and go out in blocks of about `most` (a hash of the id chooses the block), so that nothing sent
+    grows with the data: more queries mean more blocks. Each task multiplies its vectors with the block and keeps its own best
+    k of each query. Vectors that are null, zero or of another width are nobody's neighbours."""
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("v"))
     blocks = -(-q.count() // most) or 1
+    id_type = vectors.schema[vector_id].dataType.simpleString()
+    query_type = queries.schema[query_id].dataType.simpleString()
     parts = []
     for b in range(blocks):
-        some = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        far = vectors.join(F.broadcast(some)).withColumn("distance", F.round(cosine_distance(F.col(embedding), F.col("_q")), 6))
-        part = far.filter("distance is not null").select("query_id", F.col(vector_id).alias("id"), "distance")
-        part = part.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-        for keys in (["query_id", "_salt"], ["query_id"]):
-            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))
-            part = part.withColumn("rank", rank).filter(F.col("rank") <= k)
-        parts.append(part.drop("_salt"))
-    return reduce(DataFrame.unionByName, parts)
+        some = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+        sent = q.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            table = sent.value
+            own = table.column("v").combine_chunks() if table.num_rows else None
+            own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+            width = int(pc.max(pc.list_value_length(own)).as_py() or 0) if own is not None else 0
+            if not width:
+                return
+            wanted, place = _directions(own, width)
+            names = table.column("query_id").combine_chunks()
+            best_id: pa.Array | None = None
+            best = np.zeros((len(wanted), 0))
+            held = np.zeros((len(wanted), 0), np.int64)
+            for batch in batches:
+                rows, at = _directions(batch.column(1), width)
+                if not len(rows):
+                    continue
+                ids = batch.column(0).take(pa.array(at))
+                far = np.round(1 - wanted @ rows.T, 6) + 0.0
+                known = 0 if best_id is None else len(best_id)
+                best_id = ids if best_id is None else pa.concat_arrays([best_id, ids])
+                order_of = pc.sort_indices(best_id).to_numpy()
+                rank = np.empty(len(order_of), np.int64)
+                rank[order_of] = np.arange(len(order_of))
+                far = np.concatenate([best, far], axis=1)
+                every = np.concatenate([held, np.broadcast_to(known + np.arange(len(rows)), (len(wanted), len(rows)))], axis=1)
+                chosen = np.lexsort([rank[every], far], axis=1)[:, :k]
+                best, every = np.take_along_axis(far, chosen, 1), np.take_along_axis(every, chosen, 1)
+                kept, held = np.unique(every, return_inverse=True)
+                best_id, held = best_id.take(pa.array(kept)), held.reshape(every.shape)
+            if best_id is not None:
+                yield pa.record_batch([names.take(pa.array(np.repeat(place, best.shape[1]))), best_id.take(pa.array(held.ravel())), pa.array(best.ravel())], names=["query_id", "id", "distance"])
+
+        parts.append(vectors.select(vector_id, embedding).mapInArrow(run, f"query_id {query_type}, id {id_type}, distance double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def score(distance: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,37 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_METRES) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+#: Degrees of the cells in which the nearest place is looked for, one size after the other.
+CELLS = (0.5, 2.0, 8.0, 30.0)
+
+
+def nearest_place(points: DataFrame, places: DataFrame, keys: list[str], point: str, place: str, cells: tuple[float, ...] = CELLS) -> DataFrame:
+    """For each of points (keys, point, lat, lon) the nearest of places (keys, place, lat, lon) with the same keys: point, nearest,
+    metres (1 digit; equally far ones count by the least id). A point looks into its cell and the eight around it; what it finds
+    there is the nearest, if it is nearer than the edge of these cells. The others look into larger cells, and those that still
+    have none or too far ones at last at all places of their keys. Points without a place of their keys are left out."""
+    world = places.select(*keys, F.col(place).alias("_place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    here = lambda c, d: F.floor(F.col(c) / d).cast("int")
+
+    def best(met: DataFrame) -> DataFrame:
+        far = met.withColumn("_m", F.round(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 1))
+        return far.groupBy(*keys, point, "lat", "lon").agg(F.min(F.struct("_m", "_place")).alias("_best"))
+
+    done, left = [], points.select(*keys, point, "lat", "lon")
+    for d in cells:
+        around = F.expr("explode(transform(sequence(0, 8), i -> struct(CAST(i DIV 3 AS INT) - 1 AS a, i % 3 - 1 AS b)))")
+        turns = int(360 / d)
+        looking = left.withColumn("_to", around).select(*keys, point, "lat", "lon", (here("lat", d) + F.col("_to.a")).alias("_i"), F.pmod(here("lon", d) + F.col("_to.b"), F.lit(turns)).cast("int").alias("_j"))
+        standing = world.withColumns({"_i": here("_lat", d), "_j": F.pmod(here("_lon", d), F.lit(turns)).cast("int")})
+        found = best(looking.join(standing, [*keys, "_i", "_j"]))
+        edge = F.lit(EARTH_METRES) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(d))))
+        sure = found.filter(F.col("_best._m") + 0.1 < edge)
+        done.append(sure.select(point, F.col("_best._place").alias("nearest"), F.col("_best._m").alias("metres")))
+        left = left.join(sure.select(point), point, "left_anti")
+    last = best(left.join(world, keys))
+    return reduce(DataFrame.unionByName, [*done, last.select(point, F.col("_best._place").alias("nearest"), F.col("_best._m").alias("metres"))])
+
+
 #: The conformal grid of the forecast (kilometres, degrees, origin cell).
 GRID = {"re": 6371.00877, "cell": 5.0, "slat1": 30.0, "slat2": 60.0, "olon": 126.0, "olat": 38.0, "xo": 43, "yo": 136}
 

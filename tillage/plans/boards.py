@@ -128,18 +128,18 @@ def f16_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("short"))
 
 
-@query("SELECT s_suppkey, s_name FROM supplier ORDER BY coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END, s_nationkey * 100.0) DESC, s_suppkey LIMIT 30")
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END, s_nationkey * 100.0) DESC, s_suppkey")
 def t4_fallback_order(spark, sf_dir):
     at = F.coalesce(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")), F.col("s_nationkey") * 100.0)
-    return table(spark, sf_dir, "supplier").orderBy(at.desc(), "s_suppkey").limit(30).select("s_suppkey", "s_name")
+    return table(spark, sf_dir, "supplier").orderBy(at.desc(), "s_suppkey").select("s_suppkey", "s_name")
 
 
 _RANK = {"error": 0, "purchase": 1, "signup": 2}
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 9 END, event_id LIMIT 120")
+@query("SELECT event_id, event_type FROM events ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 9 END, event_id")
 def t9_urgency(spark, sf_dir):
-    return table(spark, sf_dir, "events").orderBy(L.mapped("event_type", _RANK, 9), "event_id").limit(120).select("event_id", "event_type")
+    return table(spark, sf_dir, "events").orderBy(L.mapped("event_type", _RANK, 9), "event_id").select("event_id", "event_type")
 
 
 @query("""SELECT o_orderpriority, n_open, due FROM (SELECT o_orderpriority, count(*) FILTER (o_orderstatus <> 'F') AS n_open, CAST(min(o_orderdate) FILTER (o_orderstatus = 'O') AS DATE) AS due FROM orders GROUP BY 1)

@@ -141,11 +141,11 @@ def d14_clean_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("page_id", F.array_join(parts, " > ").alias("path"))
 
 
-@query(r"SELECT doc_id, '[' || coalesce(source, '') || ' > ' || coalesce(lang, '') || ']' || chr(10) || substr(text, 1, 60) AS prefixed, substr(text, 1, 60) AS body FROM documents")
+@query(r"SELECT doc_id, '[' || coalesce(source, '') || ' > ' || coalesce(lang, '') || ']' || chr(10) || text AS prefixed, text AS body FROM documents")
 def d15_context_prefix(spark, sf_dir):
     """A line of context before the text, and the text with it taken off again."""
     head = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit(" > "), F.coalesce("lang", F.lit("")), F.lit("]\n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.substring("text", 1, 60)).alias("prefixed"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text")).alias("prefixed"))
     return d.select("doc_id", "prefixed", F.regexp_replace("prefixed", r"^\[[^\]\n]*\]\n", "").alias("body"))
 
 
@@ -167,10 +167,10 @@ def d17_slug(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat(slug, F.lit("-"), short).alias("slug"))
 
 
-@query("SELECT conv_id, turn, coalesce(h, last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn)) AS heading FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN substr(text, 1, 30) END AS h FROM conversations)")
+@query("SELECT conv_id, turn, coalesce(h, last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn)) AS heading FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS h FROM conversations)")
 def n8_heading_fill(spark, sf_dir):
     """The last heading, carried to the rows below it."""
-    h = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 30)).alias("heading"))
+    h = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("heading"))
     return R.carried_forward(h, ["conv_id"], "turn", "heading").drop("is_extrapolated")
 
 

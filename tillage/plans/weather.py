@@ -113,8 +113,7 @@ def x8_haversine(spark, sf_dir):
 d AS (SELECT c_custkey, s_suppkey, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(slat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2))), 1) AS metres FROM p JOIN s ON c_nationkey = s_nationkey)
 SELECT c_custkey, arg_min(s_suppkey, (metres, s_suppkey)) AS nearest, min(metres) AS metres FROM d GROUP BY 1""")
 def j22_nearest(spark, sf_dir):
-    """The nearest supplier of the same village."""
-    p = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (33.0 + (F.col("c_custkey") % 50) / 10.0).alias("lat"), (125.0 + (F.col("c_custkey") % 70) / 12.0).alias("lon"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (33.0 + (F.col("s_suppkey") % 45) / 9.0).alias("slat"), (125.0 + (F.col("s_suppkey") % 60) / 10.0).alias("slon"))
-    far = p.join(s, F.col("c_nationkey") == F.col("s_nationkey")).withColumn("metres", F.round(S.haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 1))
-    return far.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct("metres", "s_suppkey")).alias("nearest"), F.min("metres").alias("metres"))
+    """The nearest supplier of the same village, looked for in cells of growing size, never among all pairs."""
+    p = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("village"), (33.0 + (F.col("c_custkey") % 50) / 10.0).alias("lat"), (125.0 + (F.col("c_custkey") % 70) / 12.0).alias("lon"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("village"), (33.0 + (F.col("s_suppkey") % 45) / 9.0).alias("lat"), (125.0 + (F.col("s_suppkey") % 60) / 10.0).alias("lon"))
+    return S.nearest_place(p, s, ["village"], "c_custkey", "s_suppkey")

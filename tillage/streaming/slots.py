@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,30 +11,53 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.relational import upsert
 
 
-def upsert_stream(rows: DataFrame, target: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces the slots that it has rows for; a batch that comes again gives the same table. The
-    table is written as a new version, target/v=<batch>, so that readers never see half a batch."""
+BUCKETS = 64
+
+
+def upsert_stream(rows: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each micro-batch replaces the slots that it has rows for; a batch that comes again gives the same table. Slots are in
+    buckets by a hash of their key, and a batch writes the buckets that it touches anew, as target/v=<batch>/bucket=<k>;
+    the others stay as they are. A version counts once it is whole, so readers never see half a batch. Of a bucket the
+    newest version and the one before it stay, older ones go."""
 
     def apply(batch: DataFrame, nth: int) -> None:
         spark = batch.sparkSession
-        base = current(spark, target, before=nth)
-        fresh = batch if base is None else upsert(base, batch, keys, F.desc(order))
-        if base is None:
-            fresh = upsert(batch.limit(0), batch, keys, F.desc(order))
-        fresh.write.mode("overwrite").parquet(f"{target}/v={nth}")
+        at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch = batch.withColumn("bucket", at).persist()
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most `buckets`
+        if touched:
+            base = current(spark, target, before=nth, only=touched)
+            fresh = upsert(batch.limit(0) if base is None else base.withColumn("bucket", at), batch, keys, F.desc(order))
+            fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={nth}")
+            files, versions = _versions(spark, target)
+            for bucket in touched:
+                for v in sorted((v for v, own in versions.items() if bucket in own and v <= nth), reverse=True)[2:]:
+                    files.delete(versions[v][bucket], True)
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the table, or the newest before a batch."""
+def _versions(spark: SparkSession, target: str) -> tuple:
+    """The file system of a table, and for each whole version its buckets' folders."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return None
-    found = [int(s.getPath().getName()[2:]) for s in files.listStatus(path) if s.getPath().getName().startswith("v=")]
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{target}/v={max(found)}") if found else None
+    found = {}
+    if files.exists(path):
+        for s in files.listStatus(path):
+            inner = {f.getPath().getName(): f.getPath() for f in files.listStatus(s.getPath())} if s.isDirectory() and s.getPath().getName().startswith("v=") else {}
+            if "_SUCCESS" in inner:
+                found[int(s.getPath().getName()[2:])] = {int(n[7:]): p for n, p in inner.items() if n.startswith("bucket=")}
+    return files, found
+
+
+def current(spark: SparkSession, target: str, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+    """The table with the newest version of each bucket, or the newest before a batch; of some buckets only, if so asked."""
+    _, versions = _versions(spark, target)
+    newest: dict[int, str] = {}
+    for v in sorted(v for v in versions if before is None or v < before):
+        newest |= {k: p.toString() for k, p in versions[v].items() if only is None or k in only}
+    return reduce(DataFrame.unionByName, [spark.read.parquet(p) for _, p in sorted(newest.items())]) if newest else None
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
