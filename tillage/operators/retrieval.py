@@ -19,10 +19,22 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def fetch_size(limit: int, wide: bool) -> int:
+def clamped(asked: int, most: int) -> int:
+    """A number of rows asked for, one at least."""
+    return max(1, min(asked, most))
+
+
+def fetch_size(limit: Column, wide: Column) -> Column:
     """How many neighbours to fetch for `limit` results: more where boosts will reorder them."""
-    cap = max(1, min(limit, 12))
-    return min(30, max(cap * (3 if wide else 2), cap + 6))
+    cap = F.greatest(F.lit(1), F.least(limit, F.lit(12)))
+    return F.least(F.lit(30), F.greatest(cap * F.when(wide, 3).otherwise(2), cap + 6))
+
+
+def first_answering(backends: list[DataFrame], key: str) -> DataFrame:
+    """For each key the rows of the first backend that has any, with its number; keys that none answers are left out."""
+    every = reduce(DataFrame.unionByName, [b.withColumn("backend", F.lit(k + 1)) for k, b in enumerate(backends)])
+    first = every.groupBy(key).agg(F.min("backend").alias("backend"))
+    return every.join(first, [key, "backend"])
 
 
 def _directions(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
