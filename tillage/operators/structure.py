@@ -243,7 +243,7 @@ def tables(cells: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [[(str(t or ""), max(1, int(w)), max(1, int(h)), bool(c)) for t, w, h, c in zip(g["text"], g["col_span"], g["row_span"], g["coloured"])] for _, g in pdf.sort_values(["row", "col"]).groupby("row")]
         lines = table_lines(rows)
-        return pd.DataFrame({"table_id": [pdf["table_id"].iloc[0]] * len(lines), "nth": range(len(lines)), "content": lines})
+        return pd.DataFrame({"table_id": pd.Series([pdf["table_id"].iloc[0]] * len(lines), dtype="int64"), "nth": pd.Series(range(len(lines)), dtype="int32"), "content": pd.Series(lines, dtype=object)})
 
     return cells.groupBy("table_id").applyInPandas(one, "table_id long, nth int, content string")
 
