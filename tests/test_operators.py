@@ -52,9 +52,9 @@ def test_split_table():
 
 
 def test_pack_blocks_and_merge_context():
-    assert C.pack_blocks([("a", "1"), ("a", "2"), ("b", "3"), ("b", " ")]) == ["1\n2", "3"]
-    assert C.pack_blocks([("a", "x" * 500), ("a", "y" * 500)]) == ["x" * 500, "y" * 500]
-    assert C.merge_context([("A", "1"), ("A > B", "2"), ("AB", "3"), ("AB", "z" * 779)]) == ["1\n\n2", "3", "z" * 779]
+    assert list(C.pack_blocks(iter([("a", "1"), ("a", "2"), ("b", "3"), ("b", " ")]))) == ["1\n2", "3"]
+    assert list(C.pack_blocks(iter([("a", "x" * 500), ("a", "y" * 500)]))) == ["x" * 500, "y" * 500]
+    assert list(C.merge_context(iter([("A", "1"), ("A > B", "2"), ("AB", "3"), ("AB", "z" * 779)]))) == ["1\n\n2", "3", "z" * 779]
 
 
 def test_likeness():

@@ -1,4 +1,5 @@
-"""Chunks of documents: packing, overlapping splits, absorption of labels, runs. Each document is worked on alone."""
+"""Chunks of documents: packing, overlapping splits, absorption of labels, runs. Each document is worked on alone; where it is
+several rows, they are sorted within a task and pass as a stream, of which the open chunk is held."""
 
 from __future__ import annotations
 
@@ -9,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sizes in characters of paragraphs packed, pieces that overlap, pieces cut at marks, blocks and contexts, and
+#: what a table may have in rows and characters.
+PACKED, SPLIT, RECURSIVE, BLOCK, CONTEXT, TABLE = (700, 20), (800, 40), (800, 120), 800, 780, (4, 1600)
+
 CHUNKS = "doc_id long, chunk int, content string"
 
 
-def pack_paragraphs(text: str, most: int = 700, least: int = 20) -> list[str]:
+def pack_paragraphs(text: str, most: int = PACKED[0], least: int = PACKED[1]) -> list[str]:
     """Paragraphs packed greedily up to a size; longer ones are cut, shorter results dropped."""
     out: list[str] = []
     now = ""
@@ -29,7 +34,7 @@ def pack_paragraphs(text: str, most: int = 700, least: int = 20) -> list[str]:
     return [c for c in [*out, now] if len(c) >= least]
 
 
-def split_overlapping(text: str, most: int = 800, overlap: int = 40) -> list[str]:
+def split_overlapping(text: str, most: int = SPLIT[0], overlap: int = SPLIT[1]) -> list[str]:
     """Pieces of at most `most` characters that end at a sentence, else at white space, else anywhere, each beginning
     `overlap` characters before the end of the last."""
     out, at = [], 0
@@ -55,31 +60,80 @@ def _each(docs: DataFrame, split) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, CHUNKS)
 
 
-def packed(docs: DataFrame, most: int = 700, least: int = 20) -> DataFrame:
+def packed(docs: DataFrame, most: int = PACKED[0], least: int = PACKED[1]) -> DataFrame:
     """Every document's paragraphs packed into chunks; no shuffle."""
     return _each(docs, lambda t: pack_paragraphs(t, most, least))
 
 
-def overlapping(docs: DataFrame, most: int = 800, overlap: int = 40) -> DataFrame:
+def overlapping(docs: DataFrame, most: int = SPLIT[0], overlap: int = SPLIT[1]) -> DataFrame:
     """Every document split into overlapping pieces; no shuffle."""
     return _each(docs, lambda t: split_overlapping(t, most, overlap))
 
 
-def absorb_labels(chunks: DataFrame, most: int = 16) -> DataFrame:
-    """Within each document, a chunk of at most `most` characters joins the next one, if that is longer."""
+def by_document(rows: Iterator[dict], key: str = "doc_id") -> Iterator[tuple[object, Iterator[dict]]]:
+    """Sorted rows as documents: the key and the rows of each, which are to be read before the next document."""
+    ahead = [r for r in [next(rows, None)] if r is not None]
+
+    def own(first: dict) -> Iterator[dict]:
+        yield first
+        for r in rows:
+            if r[key] != first[key]:
+                ahead.append(r)
+                return
+            yield r
+
+    while ahead:
+        first = ahead.pop()
+        yield first[key], own(first)
+
+
+def streamed(rows: DataFrame, order: list[str], pack, columns: list[str], schema: str, at_once: int = 2000) -> DataFrame:
+    """The rows of each document (doc_id), in order, through `pack`, which takes an iterator of rows and gives tuples."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = (dict(zip(batch.columns, r)) for batch in batches for r in batch.itertuples(index=False, name=None))
+        out = []
+        for doc, own in by_document(every):
+            for made in pack(own):
+                out.append((doc, *made))
+                if len(out) >= at_once:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInPandas(run, schema)
+
+
+def absorbed(texts: Iterator[str], most: int) -> Iterator[str]:
+    held: str | None = None
+    for text in texts:
+        if held is not None and len(text) > most:
+            yield f"{held}\n{text}"
+            held = None
+            continue
+        if held is not None:
+            yield held
+            held = None
+        if len(text) <= most:
+            held = text
+        else:
+            yield text
+    if held is not None:
+        yield held
+
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, out, k = pdf.sort_values("chunk")["content"].tolist(), [], 0
-        while k < len(texts):
-            if len(texts[k]) <= most and k + 1 < len(texts) and len(texts[k + 1]) > most:
-                out.append(f"{texts[k]}\n{texts[k + 1]}")
-                k += 2
-            else:
-                out.append(texts[k])
-                k += 1
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk": range(len(out)), "content": out})
+def _numbered(texts: Iterator[str]) -> Iterator[tuple[int, str]]:
+    return enumerate(texts)
 
-    return chunks.groupBy("doc_id").applyInPandas(join, CHUNKS)
+
+_COLUMNS = ["doc_id", "chunk", "content"]
+
+
+def absorb_labels(chunks: DataFrame, most: int = 16) -> DataFrame:
+    """Within each document, a chunk of at most `most` characters joins the next one, if that is longer."""
+    rows = chunks.select("doc_id", "chunk", F.coalesce("content", F.lit("")).alias("content"))
+    return streamed(rows, ["chunk", "content"], lambda own: _numbered(absorbed((r["content"] for r in own), most)), _COLUMNS, CHUNKS)
 
 
 def worthwhile(chunks: DataFrame, least: int = 30) -> DataFrame:
@@ -88,7 +142,7 @@ def worthwhile(chunks: DataFrame, least: int = 30) -> DataFrame:
     return kept.groupBy("doc_id", "content").agg(F.min("chunk").alias("chunk"))
 
 
-def split_recursive(text: str, most: int = 800, overlap: int = 120, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+def split_recursive(text: str, most: int = RECURSIVE[0], overlap: int = RECURSIVE[1], marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
     """Pieces of at most `most` characters, cut at the first of the marks that occurs; parts that are still too long are cut
     at the next marks, and at last anywhere. Neighbours share whole parts of up to `overlap` characters."""
     if len(text) <= most:
@@ -120,12 +174,12 @@ def split_recursive(text: str, most: int = 800, overlap: int = 120, marks: tuple
     return out
 
 
-def recursive(docs: DataFrame, most: int = 800, overlap: int = 120) -> DataFrame:
+def recursive(docs: DataFrame, most: int = RECURSIVE[0], overlap: int = RECURSIVE[1]) -> DataFrame:
     """Every document split recursively; no shuffle."""
     return _each(docs, lambda t: split_recursive(t, most, overlap))
 
 
-def split_table(text: str, most_rows: int = 4, most: int = 1600) -> list[str]:
+def split_table(text: str, most_rows: int = TABLE[0], most: int = TABLE[1]) -> list[str]:
     """A Markdown table as tables of a few rows, each with the header; a table without one gets c1, c2 and so on. Texts
     without rows stay whole."""
     lines = [x.strip() for x in text.splitlines() if x.strip()]
@@ -146,58 +200,58 @@ def split_table(text: str, most_rows: int = 4, most: int = 1600) -> list[str]:
     return ["\n".join(head + g) for g in groups]
 
 
-def table_rows(tables: DataFrame, most_rows: int = 4, most: int = 1600) -> DataFrame:
+def table_rows(tables: DataFrame, most_rows: int = TABLE[0], most: int = TABLE[1]) -> DataFrame:
     """Every table split by rows; no shuffle."""
     return _each(tables, lambda t: split_table(t, most_rows, most))
 
 
-def pack_blocks(blocks: list[tuple[str, str]], most: int = 800) -> list[str]:
+def pack_blocks(blocks: Iterator[tuple[str, str]], most: int = BLOCK) -> Iterator[str]:
     """(title, text) blocks packed in order; a new title or a chunk that would grow too long begins a new one. A block that
     is too long alone is a chunk of its own."""
-    out: list[list[str]] = []
+    held: list[str] = []
     title, size = "", 0
     for head, body in blocks:
         if not body.strip():
             continue
-        if not out or (head and head != title) or size + len(head) + len(body) + 3 > most:
-            out.append([])
+        if held and ((head and head != title) or size + len(head) + len(body) + 3 > most):
+            yield "\n".join(held)
+            held = []
+        if not held:
             title, size = head, 0
-        out[-1].append(body.strip())
+        held.append(body.strip())
         size += len(body) + 1
-    return ["\n".join(c) for c in out]
+    if held:
+        yield "\n".join(held)
 
 
-def merge_context(blocks: list[tuple[str, str]], most: int = 780) -> list[str]:
+def merge_context(blocks: Iterator[tuple[str, str]], most: int = CONTEXT) -> Iterator[str]:
     """(heading path, text) blocks merged while the heading stays the same or goes below it, up to a size."""
-    out: list[str] = []
-    above = None
+    held, above = "", ""
     for head, body in blocks:
         body = body.strip()
         if not body:
             continue
-        below = above is not None and (head == above or bool(above) and head.startswith(f"{above} > "))
-        if below and len(out[-1]) + 2 + len(body) <= most:
-            out[-1] += f"\n\n{body}"
-        else:
-            out.append(body)
-            above = head
-    return out
+        below = bool(held) and (head == above or (bool(above) and head.startswith(f"{above} > ")))
+        if below and len(held) + 2 + len(body) <= most:
+            held += f"\n\n{body}"
+            continue
+        if held:
+            yield held
+        held, above = body, head
+    if held:
+        yield held
 
 
 def _ordered(blocks: DataFrame, pack) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["at", "title", "content"]).fillna("")
-        out = pack(list(zip(rows["title"], rows["content"])))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk": range(len(out)), "content": out})
-
-    return blocks.groupBy("doc_id").applyInPandas(run, CHUNKS)
+    rows = blocks.select("doc_id", "at", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "content")])
+    return streamed(rows, ["at", "title", "content"], lambda own: _numbered(pack((r["title"], r["content"]) for r in own)), _COLUMNS, CHUNKS)
 
 
-def packed_blocks(blocks: DataFrame, most: int = 800) -> DataFrame:
+def packed_blocks(blocks: DataFrame, most: int = BLOCK) -> DataFrame:
     """Blocks (doc_id, at, title, content) of every document packed by title and size."""
     return _ordered(blocks, lambda b: pack_blocks(b, most))
 
 
-def merged_context(blocks: DataFrame, most: int = 780) -> DataFrame:
+def merged_context(blocks: DataFrame, most: int = CONTEXT) -> DataFrame:
     """Blocks (doc_id, at, title, content) of every document merged by heading and size."""
     return _ordered(blocks, lambda b: merge_context(b, most))

@@ -85,17 +85,23 @@ def without_echo(df: DataFrame, keys: list[str], order: str, kind: str, text: st
     return marked.filter(~F.coalesce(echo, F.lit(False))).drop("_flat", "_next", "_kind")
 
 
+#: The weights of what two names have in common.
+LIKENESS = {"blocks": 0.72, "words": 0.28, "inside": 0.12}
+
+
 def likeness(a: str, b: str) -> float:
-    """0.72 of the matching-blocks ratio of the texts without white space, 0.28 of the Jaccard index of their words, and 0.12
-    where one contains the other; at most 1, and 0 for empty texts."""
-    left, right = (re.sub(r"\s+", "", x or "").lower() for x in (a, b))
-    if not left or not right:
+    """The weighted sum of the matching-blocks ratio of the texts without white space, the Jaccard index of their words, and
+    whether one contains the other; at most 1, which equal texts have, and 0 for empty ones."""
+    flat = ["".join((x or "").lower().split()) for x in (a, b)]
+    if not all(flat):
         return 0.0
-    if left == right:
-        return 1.0
-    x, y = set((a or "").lower().split()), set((b or "").lower().split())
-    inside = 0.12 if left in right or right in left else 0.0
-    return min(1.0, 0.72 * SequenceMatcher(None, left, right).ratio() + 0.28 * len(x & y) / max(1, len(x | y)) + inside)
+    words = [set((x or "").lower().split()) for x in (a, b)]
+    shares = {
+        "blocks": SequenceMatcher(None, *flat).ratio(),
+        "words": len(set.intersection(*words)) / max(1, len(set.union(*words))),
+        "inside": any(x in y for x, y in (flat, flat[::-1])),
+    }
+    return 1.0 if flat[0] == flat[1] else min(1.0, sum(LIKENESS[k] * v for k, v in shares.items()))
 
 
 def best_match(names: DataFrame, column: str, choices: list[str], least: float = 0.46) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import streamed
+
 #: What the marks of headings look like; {} stands for the letters that a rule allows.
 MARKS = {
     "korean_letter_dot": "[{}]",
@@ -344,23 +346,8 @@ def heading_aware(parts: DataFrame) -> DataFrame:
         F.coalesce("titles", F.array().cast("array<string>")).alias("titles"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("structure", "primary")], F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("header", F.lit("")).alias("header"),
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for batch in batches for r in batch.to_dict("records"))
-        held: list[dict] = []
-
-        def document() -> Iterator[dict]:
-            """Rows up to the first of the next document, which is kept for then."""
-            own = held.pop()
-            yield own
-            for r in rows:
-                if r["doc_id"] != own["doc_id"]:
-                    held.append(r)
-                    return
-                yield r
-
-        held += [r for r in [next(rows, None)] if r is not None]
-        while held:
-            out = [(c[0]["doc_id"], n, c[0]["at"], c[-1]["at"], "\n".join(s["content"] for s in c).strip()) for n, c in enumerate(build_chunks(document()))]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk", "first_at", "last_at", "content"])
-
-    return ready.repartition("doc_id").sortWithinPartitions("doc_id", "at", "content").mapInPandas(run, "doc_id long, chunk int, first_at long, last_at long, content string")
+    def pack(rows: Iterator[dict]) -> Iterator[tuple]:
+        for n, chunk in enumerate(build_chunks(rows)):
+            yield n, chunk[0]["at"], chunk[-1]["at"], "\n".join(r["content"] for r in chunk).strip()
+
+    return streamed(ready, ["at", "content"], pack, ["doc_id", "chunk", "first_at", "last_at", "content"], "doc_id long, chunk int, first_at long, last_at long, content string")
