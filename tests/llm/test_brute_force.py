@@ -53,6 +53,8 @@ ODD = [
     (20, f"{thue_morse('ba')} " + " ".join(f"k{i}" for i in range(34))),
     (21, " ".join(thue_morse("ab"))),
     (22, " ".join(thue_morse("ba"))),
+    # Longer than a slice.
+    (23, " ".join(f"w{k * k % 5003} is the t{k % 77}" for k in range(90_000))),
 ]
 
 
@@ -385,3 +387,49 @@ def test_bit_packing():
         docs = [ids[:0], ids[:7], ids[7:900], ids[900:]]
         file = TokenFile(to_file([3, 1, 2, 9], docs, bits, block=64))
         assert all((file.document(k) == d).all() for k, d in enumerate(docs)) and file.doc_ids.tolist() == [3, 1, 2, 9]
+
+
+def test_warc_records(spark, tmp_path):
+    """Revisits name their response by its record id, address and date; equal long rows come back as often as written; an archive with
+    a segment missing is an error."""
+    import gzip
+
+    from tillage.llm import warc
+
+    long, odd = "0123456789" * 20_000, "x" * 70_000
+    rows = [(1, "http://a/", long), (2, "http://b/", long), (2, "http://b/", long), (3, "http://c/", "short"), (4, "http://d/", odd), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files = warc.write(df, folder=f"file://{tmp_path}/w")
+    got = rows_of(warc.read(spark, files).select("page_id", "url", "payload_bytes", "record_type", "refers_to"))
+    assert got == sorted([(1, "http://a/", 200_000, "revisit", 2), (2, "http://b/", 200_000, "response", None), (2, "http://b/", 200_000, "response", None), (3, "http://c/", 5, "response", None), (4, "http://d/", 70_000, "response", None), (None, "", 0, "response", None)], key=repr)
+    found = []
+    for path in (tmp_path / "w").glob("*.warc.gz"):
+        with gzip.open(path) as f:
+            found += list(warc.parse(f))
+    ids = {h["x-page-id"]: h["warc-record-id"] for h, _ in found if "x-page-id" in h}
+    revisit = next(h for h, _ in found if h["warc-type"] == "revisit")
+    assert revisit["warc-refers-to"] == ids["2"] and revisit["warc-refers-to-target-uri"] == "http://b/" and revisit["warc-refers-to-date"] == revisit["warc-date"]
+    again = warc.write(df, folder=f"file://{tmp_path}/v")
+    assert again.count() and {h["warc-record-id"] for p in (tmp_path / "v").glob("*.warc.gz") for h, _ in warc.parse(gzip.open(p))} == {h["warc-record-id"] for h, _ in found}
+    broken = tmp_path / "broken.warc"
+    broken.write_bytes(b"".join(warc.record([(k.title() if k != "warc-type" else "WARC-Type", v) for k, v in h.items() if k != "content-length"], block) for h, block in found if h.get("warc-segment-number") != "2"))
+    with pytest.raises(Exception, match="segments are missing"):
+        warc.read(spark, spark.createDataFrame([(f"file://{broken}",)], "path string")).collect()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_warc_framing(seed):
+    import random
+
+    from tillage.llm import warc
+
+    rng = random.Random(seed)
+    for _ in range(200):
+        payload = bytes(rng.choices(b"\r\n0aF;", k=rng.randrange(50)))
+        assert warc.unchunked(warc.chunked(payload, rng.randrange(1, 9))) == payload
+        parts = [{"segment": k + 1, "block": payload[i : i + 7]} for k, i in enumerate(range(0, len(payload), 7))]
+        rng.shuffle(parts)
+        if parts:
+            assert warc.joined(parts * 2, len(payload), "x") == (payload, 2)
+            with pytest.raises(ValueError, match="segments"):
+                warc.joined(parts, len(payload) + 1, "x")

@@ -6,11 +6,12 @@ import base64
 import re
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tillage.llm import pii, quality_rules
 
-from .test_brute_force import docs_of, plain_contamination, plain_words, table
+from .test_brute_force import docs_of, folder, plain_contamination, plain_words, table  # noqa: F401
 from .test_near_copies import least_ids
 
 
@@ -40,13 +41,13 @@ def plain_kept(text):
     )
 
 
-def test_pipeline(spark, sf_dir):
+def expected_of(spark, at):
     import tiktoken
 
-    docs = [(i, t) for i, t in docs_of(spark, sf_dir) if plain_kept(t)]
-    staying = set(least_ids(docs))
-    docs = [(i, t) for i, t in docs if i in staying]
-    hit = {r[0] for r in plain_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")) if r[-1]}
+    docs = [(i, t) for i, t in dict.fromkeys(docs_of(spark, at)) if plain_kept(t)]
+    staying = set(least_ids([(i, t) for i, t in docs if i is not None]))
+    docs = [(i, t) for i, t in docs if i is None or i in staying]
+    hit = {r[0] for r in plain_contamination(docs, table(spark, at, "benchmark", "item_id", "text")) if r[5]}
     docs = [(i, t) for i, t in docs if i not in hit]
     model, limits = pii.trained()
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
@@ -57,6 +58,32 @@ def test_pipeline(spark, sf_dir):
         base = pii.base_spans(t)
         clean = pii.redacted(t, base + pii.added_spans([t], [base], model, limits)[0])
         expected[i] = own.encode_ordinary(clean)
-    got = corpus_pipeline.run(spark, sf_dir).collect()
+    return expected
+
+
+def test_pipeline(spark, folder):  # noqa: F811
+    """Over the small tables, odd rows with columns that clash, and empty tables."""
+    expected = expected_of(spark, folder)
+    got = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"]: [int.from_bytes(r["ids"][k : k + 4], "little") for k in range(0, len(r["ids"]), 4)] for r in got} == expected
     assert len(got) == len(expected)
+
+
+def test_columns(spark, tmp_path):
+    """Whatever the other columns are called, the stages don't change what they hold; n_chars follows the text, where there is one."""
+    good = " ".join(f"the word{k} of my text is here" for k in range(30)) + " mail me at some.one@example.org"
+    names = ["n_words", "kept", "base_failed", "_text", "_words", "_row", "row", "id", "text2", "node", "component", "nth", "_id", "_nth", "doc_id2", "c0", "word_chars", "hits", "spans", "block", "point", "rep", "fp", "n", "label", "_n", "_key"]
+    docs = spark.createDataFrame([(1, good, *["mine"] * len(names)), (2, good, *["other"] * len(names)), (None, f"{good} once more", *["third"] * len(names))], ", ".join(["doc_id long, text string", *[f"{c} string" for c in names]]))
+    bench = tmp_path / "benchmark.parquet"
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(str(bench))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = sorted(out.collect(), key=repr)
+        assert {tuple(set(r[2:])) for r in rows} == {("mine",), ("third",)} if stage is not corpus_pipeline.quality else {("mine",), ("other",), ("third",)}
+        docs = spark.createDataFrame(rows, docs.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert [c for c in last.columns if c not in ("n_tokens", "ids", "token_bytes")] == [c for c in docs.columns if c != "text"]
+    assert {r["_text"] for r in last.collect()} == {"mine", "third"}
+    clean = corpus_pipeline.personal_data(spark, docs.withColumn("n_chars", F.lit(7).cast("long")), "").collect()
+    assert all(r["n_chars"] == len(r["text"]) and "<EMAIL>" in r["text"] for r in clean)

@@ -3,15 +3,18 @@
 Writing: a response record per row, its payload in chunked transfer framing behind HTTP headers, in segments where the
 block is long (the first is the response, the others are continuations that name it as their origin, the last states
 the total length). Of rows with equal payloads of some size, the one with the largest id is the response and the others
-are revisits without a payload. Each record is a gzip member; a task writes files of a bounded size under names of its
-own, and only the files that successful tasks report are read, so that a task run again does no harm.
+are revisits without a payload, which name it by its record id, address and date. A record's id follows from its page,
+address and payload, so a task that runs again gives the same ids. Each record is a gzip member; a task writes files of
+a bounded size under names of its own, and only the files that successful tasks report are read.
 
 Reading: any WARC/1.0 or 1.1 file, plain or gzip. Continuations meet their origin in a grouping by its identifier, are
 put in the order of their segment numbers, and must be all there and have the stated total length. The payload is the
 block of a response behind its HTTP headers, chunked framing decoded. A malformed archive is an error.
 
-Null payloads count as empty, null urls as "". Every row gives one record. Rows without an id are responses, or revisit
-the response of equal payload that has one. Rows of equal id and payload are all responses or all revisits.
+Null payloads count as empty, null urls as "". Every row gives one record; an empty table gives no files. Rows without an
+id are responses, or revisit the response of equal payload that has one. Rows of equal id and payload are all responses
+or all revisits; equal rows share a record id and come back as often as they were written. A very long payload is many
+segments, with memory in proportion to it. Only id, url and payload are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -81,9 +84,14 @@ def segments(headers: list[tuple[str, str]], block: bytes, own: str, most: int =
         yield record([("WARC-Type", "continuation"), *shared, ("WARC-Record-ID", name), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *total], part)
 
 
-def page_records(page_id: int | None, url: str, payload: bytes, response: int | None, own: str, date: str, most: int) -> Iterator[bytes]:
-    """The records of one page: `response` is the page that it revisits, or None."""
+def record_id(page_id: int | None, url: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>"
+
+
+def page_records(page_id: int | None, url: str, payload: bytes, response: tuple[int, str] | None, date: str, most: int) -> Iterator[bytes]:
+    """The records of one page: `response` is the page that it revisits, id and url, or None."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    own = record_id(page_id, url, digest)
     headers = [("WARC-Type", "response" if response is None else "revisit"), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
         headers.append(("X-Page-ID", str(page_id)))
@@ -91,16 +99,21 @@ def page_records(page_id: int | None, url: str, payload: bytes, response: int |
     if response is None:
         yield from segments(headers, http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload), own, most)
     else:
-        headers += [("WARC-Profile", SAME_PAYLOAD), ("X-Refers-To-Page-ID", str(response))]
+        headers += [("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", record_id(*response, digest)), ("WARC-Refers-To-Target-URI", response[1]), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(response[0]))]
         yield record([*headers, ("WARC-Record-ID", own)], http + b"Content-Length: %d\r\n\r\n" % len(payload))
 
 
 def _origins(pages: DataFrame, least: int) -> DataFrame:
-    """pages with `_response`: the largest id among rows of equal payload, where the payload is long enough."""
-    sized = pages.withColumn("_key", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
+    """pages with `_response`: id and url of the row of the largest id (then url) among those of equal payload, where the payload
+    is long enough. Shorter ones pass around the join."""
+    long = F.octet_length("payload") >= least
+    sized = pages.filter(long).withColumn("_key", F.unhex(F.sha2("payload", 256)))
     # One row for each payload, from what each task has summed up; a payload of a third of all rows is one row here.
-    most = sized.filter("_key is not null").groupBy("_key").agg(F.max("page_id").alias("_response"), F.count("*").alias("_n"))
-    return sized.join(most.filter("_n > 1").drop("_n"), "_key", "left").drop("_key")
+    known = sized.filter("page_id is not null")
+    most = known.groupBy("_key").agg(F.max(F.struct("page_id", "url")).alias("_response"))
+    several = sized.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
+    met = sized.join(most.join(several, "_key", "left_semi"), "_key", "left").drop("_key")
+    return met.unionByName(pages.filter(~long).withColumn("_response", F.lit(None).cast(most.schema["_response"].dataType)))
 
 
 def write(
@@ -117,7 +130,8 @@ def write(
     """Write every row as a record in a folder that all executors share (a new one by default); the list of files: path, n_records."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = _origins(source, least).select("page_id", "url", "payload", "_response")
+    rows = _origins(source, least).select("page_id", "url", "payload", F.col("_response.page_id"), F.col("_response.url").alias("response_url"))
+    rows = rows.toDF("page_id", "url", "payload", "response", "response_url")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = fs.FileSystem.from_uri(folder)
@@ -125,14 +139,12 @@ def write(
         attempt = uuid.uuid4()
         name, out, size, n, nth = "", None, 0, 0, 0
         for batch in batches:
-            for page_id, address, payload, response in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for page_id, address, payload, response, at in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if out is None:
                     name = f"pages-{attempt.hex}-{nth:05d}.warc.gz"
                     out, size, n, nth = files.open_output_stream(f"{where}/{name}", compression=None), 0, 0, nth + 1
-                own = f"<urn:uuid:{uuid.uuid5(attempt, f'{nth}/{n}')}>"
-                if response is not None and response == page_id:
-                    response = None
-                for one in page_records(page_id, address, payload, response, own, date, segment_bytes):
+                origin = None if response is None or response == page_id else (response, at)
+                for one in page_records(page_id, address, payload, origin, date, segment_bytes):
                     size += out.write(member := gzip.compress(one, 4, mtime=0)) or len(member)
                 n += 1
                 if size >= file_bytes:
@@ -220,23 +232,29 @@ class _Joined(io.RawIOBase):
 
 
 def reassembled(parts: DataFrame) -> DataFrame:
-    """Whole records: those without segments as they are, segments grouped by their origin, ordered and verified."""
+    """Records as a whole: `block` of those without segments, and the segments of the others, grouped by their origin, as
+    `parts` with the stated `total`. A group is one record: as large as the record's block, times as often as it was written."""
     names = [c for c in parts.columns if c not in ("origin", "segment", "total_length")]
-    whole = parts.filter("segment is null").select(names)
-    cut = parts.filter("segment is not null")
+    piece = "array<struct<segment:int,block:binary>>"
+    whole = parts.filter("segment is null").select(*names, F.lit(None).cast(piece).alias("parts"), F.lit(None).cast("long").alias("total"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
-    # A group is one record: it is as large as the record's block, never as a class of records.
-    groups = cut.groupBy("origin").agg(
-        *[first(c) for c in names if c != "block"],
-        F.max("total_length").alias("_total"),
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("_parts"),
+    groups = parts.filter("segment is not null").groupBy("origin").agg(
+        *[first(c) for c in names if c != "block"], F.lit(None).cast("binary").alias("block"), F.collect_list(F.struct("segment", "block")).alias("parts"), F.max("total_length").alias("total")
     )
-    block = F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    numbers = F.transform("_parts", lambda p: p["segment"])
-    fine = (numbers == F.sequence(F.lit(1), F.size("_parts"))) & (F.octet_length("block") == F.col("_total"))
-    joined = groups.withColumn("block", block)
-    checked = joined.withColumn("block", F.when(F.coalesce(fine, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing or too long: "), F.col("origin"))).cast("binary")))
-    return whole.unionByName(checked.select(names))
+    return whole.unionByName(groups.select(*names, "parts", "total"))
+
+
+def joined(parts: list[dict], total: int | None, origin: str) -> tuple[bytes, int]:
+    """The block of a record from its segments in any order, and how often it is there; missing, unlike or too long ones are an error."""
+    by_number: dict[int, list[bytes]] = {}
+    for p in parts:
+        by_number.setdefault(p["segment"], []).append(p["block"])
+    numbers = sorted(by_number)
+    copies = len(by_number.get(1, ()))
+    block = b"".join(by_number[k][0] for k in numbers)
+    if numbers != list(range(1, len(numbers) + 1)) or len(block) != total or any(len(own) != copies or any(x != own[0] for x in own) for own in by_number.values()):
+        raise ValueError(f"segments are missing or too long: {origin}")
+    return block, copies
 
 
 PAGES = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -256,22 +274,23 @@ def pages(whole: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                headers, body = _http(r["block"])
+                block, copies = (r["block"], 1) if r["parts"] is None else joined(r["parts"], r["total"], r["record_id"])
+                headers, body = _http(block)
                 stated = base64.b32decode((r["payload_digest"] or "").partition(":")[2]).hex() or None
                 if r["record_type"] == "revisit":
-                    rows.append((r["page_id"], r["url"], int(headers.get(b"content-length", b"0")), stated, "revisit", r["refers_to"], None))
+                    rows += [(r["page_id"], r["url"], int(headers.get(b"content-length", b"0")), stated, "revisit", r["refers_to"], None)] * copies
                     continue
                 payload = unchunked(body) if headers.get(b"transfer-encoding", b"").lower() == b"chunked" else body
                 digest = hashlib.sha1(payload).hexdigest()
                 if stated not in (None, digest):
                     raise ValueError(f"the payload of {r['record_id']} doesn't have the digest stated")
-                rows.append((r["page_id"], r["url"], len(payload), digest, "response", None, payload if with_payload else None))
+                rows += [(r["page_id"], r["url"], len(payload), digest, "response", None, payload if with_payload else None)] * copies
             columns = zip(*rows) if rows else [[]] * 7
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split(" ")[0] for c in PAGES.split(", ")])
 
     kept = whole.filter(F.col("record_type").isin("response", "revisit"))
-    return kept.select("record_id", "record_type", "url", "payload_digest", "page_id", "refers_to", "block").mapInArrow(run, PAGES)
+    return kept.select("record_id", "record_type", "url", "payload_digest", "page_id", "refers_to", "block", "parts", "total").mapInArrow(run, PAGES)
 
 
 def read(spark: SparkSession, files: DataFrame, with_payload: bool = True) -> DataFrame:
