@@ -6,6 +6,9 @@ import json
 import zipfile
 
 from tillage.sources.documents import segments
+from tillage.operators.records import conflicts, save_vectors
+from tillage.operators.structure import Heading
+from tillage.sources import documents, tables
 from tillage.sources.tables import chunk_files
 from tillage.streaming.slots import current, upsert_stream
 
@@ -19,10 +22,60 @@ def test_documents(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}{row}</w:body></w:document>")
     got = sorted((r["path"][-6:], r["source_order"], r["heading_path"], r["content"]) for r in segments(spark, str(tmp_path)).collect())
-    assert [g[1:] for g in got if g[0].endswith(".md")] == [(0, "One", "text"), (1, "One > Two", "more"), (2, "Three", "last")]
+    assert [g[1:] for g in got if g[0].endswith(".md")] == [(0, "One", "text"), (1, "One > Two", "more \ufffd"), (2, "Three", "last")]
     assert [g[1:] for g in got if g[0] == "b.docx"] == [(0, "Top", "body"), (1, "Top", "a | b")]
 
 
+def test_documents_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "MOST_BYTES", 1000)
+    (tmp_path / "large.md").write_text("x" * 2000)
+    (tmp_path / "other.xyz").write_text("x")
+    (tmp_path / "broken.docx").write_text("no zip")
+    (tmp_path / "korean.txt").write_bytes("1. 제목\n논물".encode("cp949"))
+    (tmp_path / "bad.md").write_bytes(b"a\xff\xffb")
+    got = {r["path"].rpartition("/")[2]: (r["source_order"], r["heading_path"], r["content"], r["problem"]) for r in segments(spark, str(tmp_path), [Heading("numeric_dot", 1, notation="1.")]).collect()}
+    assert got["large.md"] == (-1, None, None, "too large") and got["other.xyz"] == (-1, None, None, "another kind of file")
+    assert got["broken.docx"][3].startswith("broken") and got["bad.md"][3] == "bytes that are no text"
+    assert got["korean.txt"] == (0, "1. 제목", "논물", None)
+
+
+def test_hwpx_spans(spark, tmp_path):
+    """Sections in the order of their numbers; a cell that spans rows stands in each of them."""
+    t = lambda x: f"<hp:p><hp:run><hp:t>{x}</hp:t></hp:run></hp:p>"
+    cell = lambda x, w=1, h=1: f'<hp:tc>{t(x)}<hp:cellSpan colSpan="{w}" rowSpan="{h}"/></hp:tc>'
+    table = f"<hp:tbl><hp:tr>{cell('k', 1, 2)}{cell('a')}{cell('b')}</hp:tr><hp:tr>{cell('c', 2)}</hp:tr></hp:tbl>"
+    with zipfile.ZipFile(tmp_path / "a.hwpx", "w") as z:
+        for n, body in ((10, t("last")), (0, f"{t('first')}<hp:p><hp:run>{table}</hp:run></hp:p>")):
+            z.writestr(f"Contents/section{n}.xml", f'<hs:sec xmlns:hs="s" xmlns:hp="p">{body}</hs:sec>')
+    assert [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()] == ["first", "k | a | b", "k | c | ", "last"]
+
+
+def test_tables_written(spark, tmp_path):
+    kind = "k int, v string"
+    (tmp_path / "in").mkdir()
+    for n, text in enumerate(('{"k": 1, "v": "a"}', '{"k": 2, "v": "b"}', "{ no json")):
+        (tmp_path / "in" / f"{n}.json").write_text(text)
+    assert [(r["file"].rpartition("/")[2], r["problem"]) for r in tables.rejected_files(spark, str(tmp_path / "in"), kind).collect()] == [("2.json", "{ no json")]
+    tables.json_upsert(spark.createDataFrame([(2, "c"), (3, "d")], kind), str(tmp_path / "in"), kind, ["k"], str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in spark.read.schema(kind).json(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    at = str(tmp_path / "vectors")
+    rows = spark.createDataFrame([(1, [0.5], (3, ["x"], None))], "id int, v array<double>, m struct<a:int,b:array<string>,c:string>")
+    for reset in (True, False, True):
+        save_vectors(rows, at, "m", reset)
+    assert [r["m"] for r in spark.read.parquet(at).collect()] == ['{"a":"3","b":"[\\"x\\"]"}']
+    assert tables.emptied(spark, at) == 1 and spark.read.parquet(at).count() == 0
+    parts = str(tmp_path / "parts")
+    tables.replace_partitions(spark.createDataFrame([(1, "a"), (2, "a")], kind), parts, ["k"])
+    tables.replace_partitions(spark.createDataFrame([(2, "b")], kind), parts, ["k"])
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(parts).collect()) == [(1, "a"), (2, "b")]
+    log = spark.createDataFrame([("m", "f", "x", "OK", 1, 2, 3, None)], "model string, file string, expected string, status string, latency_ms int, prompt_tokens int, completion_tokens int, error string")
+    for _ in range(2):
+        tables.append_evaluations(log, str(tmp_path / "log"))
+    assert [r["status"] for r in tables.evaluation_rows(spark, str(tmp_path / "log")).collect()] == ["OK", "OK"]
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], kind), spark.createDataFrame([(2, "z")], kind)
+    assert [tuple(r) for r in conflicts(a, b, ["k"]).collect()] == [(2, "y")]
+
+
 def test_chunk_files(spark, tmp_path):
     chunk = lambda i, t: {"chunk_id": i, "title": "t", "section": "s", "text": t}
     (tmp_path / "a.json").write_text(json.dumps({"source_file": "x", "chunks": [chunk("1", "long enough to be kept"), chunk("2", "short")]}))
@@ -37,3 +90,16 @@ def test_upsert_stream(spark, tmp_path):
         stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
         upsert_stream(stream, str(tmp_path / "out"), ["k"], "at", str(tmp_path / "check")).awaitTermination()
     assert sorted(tuple(r) for r in current(spark, str(tmp_path / "out")).collect()) == [(1, 2, "c"), (2, 3, "d")]
+
+
+def test_upsert_stream_rewrites_what_it_touches(spark, tmp_path):
+    """Only buckets with new rows are written again, and of each the newest two versions stay."""
+    kind, out = "k long, at long, v string", tmp_path / "out"
+    for n, rows in enumerate(([(k, 1, "a") for k in range(100)], [(5, 2, "b")], [(5, 3, "c")], [(5, 4, "d")], [])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        upsert_stream(stream, str(out), ["k"], "at", str(tmp_path / "check")).awaitTermination()
+        if n == 1:
+            assert len(list((out / "v=1").glob("bucket=*"))) == 1
+    assert sorted(tuple(r) for r in current(spark, str(out)).collect()) == [(k, 4, "d") if k == 5 else (k, 1, "a") for k in range(100)]
+    assert sorted(p.parent.name for p in out.glob("v=*/bucket=*") if p.name == next((out / "v=3").glob("bucket=*")).name) == ["v=2", "v=3"]

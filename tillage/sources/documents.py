@@ -1,4 +1,7 @@
-"""Document files: Markdown, DOCX and HWPX (zip and XML), as segments in their order, where Spark reads the bytes."""
+"""Document files: Markdown, DOCX and HWPX (zip and XML), as segments in their order, where Spark reads the bytes.
+
+What can't be read isn't passed over: segments() gives a row for it with the problem in place of content: a file that is too
+large, of another kind, broken, or whose bytes are no UTF-8 (its text is there, with marks for the bad bytes)."""
 
 from __future__ import annotations
 
@@ -12,14 +15,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Larger files are left out.
+from ..operators.structure import Cell, Heading, grid, heading_pattern
+
+#: Larger files are not read.
 MOST_BYTES = 30 << 20
-SEGMENTS = "path string, source_order int, heading_path string, content string"
+SEGMENTS = "path string, source_order int, heading_path string, content string, problem string"
 _HEADING = re.compile(r"(#{1,6})\s+(.+)")
 
 
 def _decoded(data: bytes) -> str:
-    return data.decode("utf-8", "ignore")
+    """UTF-8, with or without a mark; else the Korean code page if that fits; else UTF-8 with marks for the bad bytes."""
+    for encoding in ("utf-8-sig", "cp949"):
+        try:
+            return data.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return data.decode("utf-8", "replace")
 
 
 def _nested(lines: Iterator[tuple[int, str]]) -> Iterator[tuple[str, str]]:
@@ -32,10 +43,13 @@ def _nested(lines: Iterator[tuple[int, str]]) -> Iterator[tuple[str, str]]:
             yield " > ".join(t for _, t in path), text
 
 
-def markdown_lines(data: bytes) -> Iterator[tuple[int, str]]:
+def markdown_lines(data: bytes, rules: list[Heading] | None = None) -> Iterator[tuple[int, str]]:
+    """Lines with their depth: by # marks, else by the first of the rules that a line fits."""
+    patterns = [(re.compile(heading_pattern(r)), r.depth) for r in rules or []]
     for line in _decoded(data).splitlines():
         m = _HEADING.match(line)
-        yield (len(m[1]), m[2].strip()) if m else (0, line.strip())
+        depth = len(m[1]) if m else next((d for p, d in patterns if p.search(line)), 0)
+        yield depth, (m[2] if m else line).strip()
 
 
 def _local(tag: str) -> str:
@@ -46,19 +60,33 @@ def _own_text(node: ElementTree.Element) -> str:
     return "".join(x.text or "" for x in node.iter() if _local(x.tag) == "t").strip()
 
 
+def _span(cell: ElementTree.Element, *names: str) -> int:
+    """How many columns or rows a cell spans: the first of these attributes that it or its properties have; 1 without."""
+    own = {_local(k): v for x in [cell, *(y for y in cell.iter() if _local(y.tag) in ("cellSpan", "gridSpan"))] for k, v in x.attrib.items() if x is cell or _local(k) in names or _local(x.tag) == "gridSpan"}
+    return max(1, next((int(own[n]) for n in names if str(own.get(n, "")).isdigit()), 1))
+
+
+def _cells(row: ElementTree.Element) -> list[Cell]:
+    return [(_own_text(c), _span(c, "colSpan", "val"), _span(c, "rowSpan"), False) for c in row if _local(c.tag) == "tc"]
+
+
+def _table(table: ElementTree.Element) -> Iterator[tuple[int, str]]:
+    """The rows of a table, a cell that spans rows in each of them; cells are joined by " | "."""
+    for row in grid([_cells(r) for r in table.iter() if _local(r.tag) == "tr"]):
+        yield 0, " | ".join(t for t, _ in row)
+
+
 def _blocks(node: ElementTree.Element, style_depth) -> Iterator[tuple[int, str]]:
-    """Paragraphs and table rows of a document body; cells are joined by " | "."""
+    """Paragraphs and table rows of a document body."""
     for child in node:
         kind = _local(child.tag)
         if kind == "tbl":
-            for row in (x for x in child.iter() if _local(x.tag) == "tr"):
-                yield 0, " | ".join(_own_text(c) for c in row if _local(c.tag) == "tc")
+            yield from _table(child)
         elif kind == "p":
             tables = [x for x in child.iter() if _local(x.tag) == "tbl"]
             if tables:
                 for own in tables:
-                    for row in (x for x in own.iter() if _local(x.tag) == "tr"):
-                        yield 0, " | ".join(_own_text(c) for c in row if _local(c.tag) == "tc")
+                    yield from _table(own)
             else:
                 yield style_depth(child), _own_text(child)
         else:
@@ -82,16 +110,26 @@ def zipped_lines(data: bytes) -> Iterator[tuple[int, str]]:
             yield from _blocks(ElementTree.fromstring(z.read(name)), _docx_depth)
 
 
-def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """The segments of all .md, .txt, .docx and .hwpx files below a folder; larger files and other kinds are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= MOST_BYTES)
-    chosen = files.filter(F.lower("path").rlike(r"\.(md|txt|docx|hwpx)$")).select("path", "content")
+def segments(spark: SparkSession, folder: str, rules: list[Heading] | None = None) -> DataFrame:
+    """The segments of all .md, .txt, .docx and .hwpx files below a folder, and a row with the `problem` for each file that can't be
+    read (source_order -1) or is read with losses. Of files that are too large only the name and length are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    known = F.lower("path").rlike(r"\.(md|txt|docx|hwpx)$")
+    refused = files.filter(~known | (F.col("length") > MOST_BYTES)).select(
+        "path", F.lit(-1).alias("source_order"), F.lit(None).cast("string").alias("heading_path"), F.lit(None).cast("string").alias("content"), F.when(~known, "another kind of file").otherwise("too large").alias("problem")
+    )
+    chosen = files.filter(known & (F.col("length") <= MOST_BYTES)).select("path", "content")
+
+    def rows_of(path: str, data: bytes) -> list[tuple]:
+        try:
+            lines = zipped_lines(data) if path.lower().endswith(("docx", "hwpx")) else markdown_lines(data, rules)
+            return [(path, i, p, t, "bytes that are no text" if "\ufffd" in t else None) for i, (p, t) in enumerate(_nested(lines))]
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+            return [(path, -1, None, None, f"broken: {error}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
-                lines = zipped_lines(data) if path.lower().endswith(("docx", "hwpx")) else markdown_lines(data)
-                rows = [(path, i, p, t) for i, (p, t) in enumerate(_nested(lines))]
-                yield pd.DataFrame(rows, columns=["path", "source_order", "heading_path", "content"])
+                yield pd.DataFrame(rows_of(path, data), columns=["path", "source_order", "heading_path", "content", "problem"])
 
-    return chosen.mapInPandas(run, SEGMENTS)
+    return chosen.mapInPandas(run, SEGMENTS).unionByName(refused)

@@ -12,11 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON files; what is no JSON goes to _corrupt_record and is dropped there."""
+    """The rows of JSON files; what is no JSON goes to _corrupt_record and is dropped there. rejected_files() has it."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", True).json(path)
     return rows.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
+def rejected_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The files that hold what is no JSON: file, problem (their text)."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("problem"))
+    parsed = F.from_json("problem", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    return texts.filter(parsed["_corrupt_record"].isNotNull())
+
+
+def json_upsert(rows: DataFrame, path: str, schema: str, keys: list[str], folder: str) -> None:
+    """JSON files with the rows of a batch in place of those of the same keys, written to another folder."""
+    old = json_rows(rows.sparkSession, path, schema)
+    replaced = old.join(rows.select(*keys).distinct(), keys, "left_anti").select(rows.columns)
+    replaced.unionByName(rows).write.mode("overwrite").json(folder)
+
+
 def chunk_files(spark: SparkSession, folder: str, least: int = 20) -> DataFrame:
     """The chunks of JSON files in a folder, one row each, without texts of fewer than `least` characters."""
     kind = "source_file string, chunks array<struct<chunk_id:string,title:string,section:string,text:string>>"
@@ -29,6 +43,19 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def emptied(spark: SparkSession, path: str) -> int:
+    """Empty a Parquet table and say how many rows it had."""
+    rows = spark.read.parquet(path)
+    schema, before = rows.schema, rows.count()
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return before
+
+
+def append_evaluations(rows: DataFrame, path: str) -> None:
+    """Add evaluation results to a folder of CSV files with headers."""
+    rows.write.mode("append").csv(path, header=True)
+
+
 def evaluation_rows(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation results from CSV files with a header."""
     kind = "model string, file string, expected string, status string, latency_ms int, prompt_tokens int, completion_tokens int, error string"
