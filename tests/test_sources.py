@@ -10,7 +10,7 @@ from tillage.operators.records import conflicts, save_vectors
 from tillage.operators.structure import Heading
 from tillage.sources import documents, tables
 from tillage.sources.tables import chunk_files
-from tillage.streaming.slots import current, upsert_stream
+from tillage.streaming.slots import current, rescheduled, upsert_stream
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -103,3 +103,16 @@ def test_upsert_stream_rewrites_what_it_touches(spark, tmp_path):
             assert len(list((out / "v=1").glob("bucket=*"))) == 1
     assert sorted(tuple(r) for r in current(spark, str(out)).collect()) == [(k, 4, "d") if k == 5 else (k, 1, "a") for k in range(100)]
     assert sorted(p.parent.name for p in out.glob("v=*/bucket=*") if p.name == next((out / "v=3").glob("bucket=*")).name) == ["v=2", "v=3"]
+
+
+def test_reschedule_stream(spark, tmp_path):
+    import datetime as dt
+
+    kind, day = "owner int, job string, at long, done_day date", dt.date
+    rules = spark.createDataFrame([("sow", "water", 2, 4), ("sow", "weed", 10, 20)], "ref_job string, job string, days_min int, days_max int")
+    for rows in ([(1, "sow", 1, day(2024, 2, 27)), (1, "weed", 2, day(2024, 3, 1))], [(1, "sow", 5, day(2024, 3, 1)), (1, "sow", 3, day(2024, 2, 1))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        new = rescheduled(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), rules)
+        upsert_stream(new, str(tmp_path / "out"), ["owner", "job"], "at", str(tmp_path / "check")).awaitTermination()
+    got = sorted(tuple(r) for r in current(spark, str(tmp_path / "out")).collect())
+    assert got == [(1, "water", 5, day(2024, 3, 3), day(2024, 3, 5)), (1, "weed", 5, day(2024, 3, 11), day(2024, 3, 21))]

@@ -9,6 +9,7 @@ from ..operators import records as D
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..sources.tables import table
+from ..streaming.slots import rescheduled
 from .registry import query
 
 AS_OF = "1998-06-15"
@@ -177,3 +178,17 @@ def z21_suggestions(spark, sf_dir):
     """Activities named in rows: by how many rows name them, by header rows beside these, by score; the first twelve."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("heading"), (F.col("p_type") == "PROMO").alias("is_header"), F.col("p_size").alias("score"), F.split(F.lower("p_name"), " ").alias("names"))
     return D.suggestions(p, 12)
+
+
+#: Which work hangs on which, and how many days after it.
+FOLLOWS = [("click", "view", 1, 3), ("click", "signup", 7, 10), ("signup", "purchase", 0, 14)]
+
+
+@query("""WITH a AS (SELECT user_id AS owner, event_type, event_id AS "at", CAST(ts AS DATE) AS day FROM events), r AS (SELECT * FROM (VALUES ('click', 'view', 1, 3), ('click', 'signup', 7, 10), ('signup', 'purchase', 0, 14)) t(ref_job, job, lo, hi)),
+m AS (SELECT owner, job, "at", day + lo AS start_day, day + hi AS end_day, row_number() OVER (PARTITION BY owner, job ORDER BY "at" DESC) AS n FROM a JOIN r ON event_type = ref_job)
+SELECT owner, job, "at", CAST(start_day AS DATE) AS start_day, CAST(end_day AS DATE) AS end_day FROM m WHERE n = 1""")
+def m3_rescheduled(spark, sf_dir):
+    """The dates of the work that hangs on each household's last done work of a kind; the same rows that the stream writes."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("job"), F.col("event_id").alias("at"), F.to_date("ts").alias("done_day"))
+    new = rescheduled(e, R.small(spark.createDataFrame(FOLLOWS, "ref_job string, job string, days_min int, days_max int")))
+    return R.upsert(new.limit(0), new, ["owner", "job"], F.desc("at"))

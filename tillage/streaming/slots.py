@@ -74,3 +74,12 @@ def settled(requests: DataFrame, evidence: DataFrame, keys: list[str], at: str)
     """Requests that a later row of evidence with the same keys supersedes."""
     last = evidence.groupBy(*keys).agg(F.max(at).alias("_last"))
     return requests.join(last, keys).filter(F.col("_last") > F.col(at)).drop("_last")
+
+
+def rescheduled(anchors: DataFrame, rules: DataFrame) -> DataFrame:
+    """The work that hangs on done work (owner, job, at, done_day), with new dates: a row for each rule (ref_job, job, days_min,
+    days_max; a dimension) of the job done. For streams too: goes to upsert_stream with owner and job as keys and `at` as order,
+    so that of several anchors the latest counts."""
+    dim = rules.select(F.col("ref_job").alias("job"), F.col("job").alias("_next"), "days_min", "days_max")
+    met = anchors.join(dim, "job")
+    return met.select("owner", F.col("_next").alias("job"), "at", F.date_add("done_day", F.col("days_min")).alias("start_day"), F.date_add("done_day", F.col("days_max")).alias("end_day"))
