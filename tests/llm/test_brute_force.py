@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tillage.llm import decontamination, queries
+from tillage.llm import decontamination, queries, substring_dedup, url_filter
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -139,6 +139,54 @@ def test_url_filter(spark, folder):
     assert rows_of(got) == sorted(expected, key=repr)
 
 
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("b.org", "/fr/x", "block"), ("", "/x", "block")]
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_url_filter_both_ways(spark, most_bytes):
+    """The array and, for rule tables beyond the bound, the join: the same rows, with columns that clash and odd urls."""
+    urls = ["http://EXAMPLE.net/en/x?q", "https://a.Example.net/fr", None, "", "no mark", "http://", "://net/", "a://b://net/x", "http://b.org/fr/xy#z", "http://a.b.org/fr/x/", "http://org/fr", "http://x.example.com/de/?/", "http://ne\nt/", "http://net./", "http://..net/a" + "/b" * 300, "HTTP://É.NET/"]
+    df = spark.createDataFrame([(k, u, "u", "r", "c", "row") for k, u in enumerate([*urls, urls[0]])], "id long, url string, _u string, _r string, host string, row string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    expected = []
+    for k, u in enumerate([*urls, urls[0]]):
+        _, mark, rest = (u or "").partition("://")
+        rest = re.split("[?#]", rest)[0] if mark else ""
+        host, slash, path = rest.partition("/")
+        host, path = re.sub("[A-Z]", lambda c: c[0].lower(), host), slash + path
+        fits = [(len(h + p), h + p, v) for h, p, v in RULES if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        expected.append((k, "u", "row", host, path, best[1], best[2]))
+    got = url_filter.judge(df, rules, ["id", "_u", "host", "row"], most_bytes=most_bytes)
+    assert got.columns == ["id", "_u", "row", "host", "path", "rule", "verdict"]
+    assert rows_of(got) == sorted(expected, key=repr)
+    none = url_filter.judge(df, rules.limit(0), ["id"], most_bytes=most_bytes - 1)
+    assert {r["verdict"] for r in none.collect()} == {"allow"} and none.count() == len(expected)
+    kept = url_filter.keep_allowed(df, rules)
+    assert kept.columns == df.columns and sorted(r["id"] for r in kept.collect()) == [r[0] for r in expected if r[-1] == "allow"]
+    assert {r["host"] for r in kept.collect()} == {"c"}
+    with pytest.raises(ValueError, match="different verdicts"):
+        url_filter.judge(df, rules.union(rules.selectExpr("host", "path", "'allow'")), ["id"])
+
+
+def test_digest_collisions(tmp_path):
+    """Rules whose digests are the same are told apart by their texts."""
+    import numpy as np
+
+    from tillage.llm.url_filter import DigestArray, build
+
+    path = tmp_path / "rules.bin"
+    data = bytearray(build([(f"h{k}", "/", "block" if k % 2 else "allow") for k in range(6)]))
+    data[24 + 8 : 24 + 8 + 48] = np.full(6, np.array(7, np.uint64)).tobytes()
+    path.write_bytes(bytes(data))
+    array = DigestArray(str(path))
+    import unittest.mock
+
+    with unittest.mock.patch("xxhash.xxh64_intdigest", lambda _: 7):
+        found = array.find(["h3/", "h9/", "h0/"])
+    assert [array.rule(k)[0] if k >= 0 else None for k in found.tolist()] == ["h3/", None, "h0/"]
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -301,6 +349,20 @@ def test_substring_dedup(spark, folder):
     assert rows_of(queries.op8_substring_dedup(spark, folder)) == sorted(expected, key=repr)
 
 
+def test_repeats_removed(spark, folder):
+    """remove_repeats gives the rows with their own columns; texts that lose nothing stay as they are."""
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = [(i, t, plain_words(t)) for i, t in docs_of(spark, folder)]
+    many = Counter(tuple(w[k : k + 35]) for *_, w in docs for k in range(len(w) - 34))
+    expected = []
+    for i, t, w in docs:
+        gone = {x for k in range(len(w) - 34) if many[tuple(w[k : k + 35])] > 1 for x in range(k, k + 35)}
+        expected.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t))
+    out = substring_dedup.remove_repeats(df)
+    assert out.columns == df.columns
+    assert rows_of(out.select("doc_id", "text")) == sorted(expected, key=repr)
+
+
 def test_quality_classifier(spark, folder):
     docs = docs_of(spark, folder)
     got = {}
@@ -323,6 +385,21 @@ def test_quality_classifier_accuracy(spark, sf_dir):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in got) > 0.85 * len(got)
 
 
+def test_quality_classifier_learns_from_labels_only(spark, sf_dir):
+    """With labels that say nothing about the texts there is nothing to learn; repeated ids don't change what is learned."""
+    from tillage.llm import classifier
+
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{name}.parquet") for name in ("documents", "labels"))
+    shuffled = labels.withColumn("quality", (F.crc32(F.concat(F.lit("x"), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = [r for r in classifier.classify(docs, shuffled).collect() if r["held_out"] and r["doc_id"] in truth]
+    good, bad = ([r["score"] for r in got if truth[r["doc_id"]] == y] for y in (1, 0))
+    above = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert 0.15 < above < 0.85
+    once, twice = classifier.train(docs, labels), classifier.train(docs.union(docs), labels)
+    assert (once.weights == twice.weights).all() and once.bias == twice.bias
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
 

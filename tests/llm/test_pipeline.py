@@ -41,6 +41,14 @@ def plain_kept(text):
     )
 
 
+def test_quality_verdicts(spark, folder):  # noqa: F811
+    """The method's own rules, too."""
+    from tillage.llm import queries
+
+    expected = sorted(((i, plain_kept(t)) for i, t in docs_of(spark, folder)), key=repr)
+    assert sorted((tuple(r) for r in queries.op4_quality_rules(spark, folder).select("doc_id", "kept").collect()), key=repr) == expected
+
+
 def expected_of(spark, at):
     import tiktoken
 

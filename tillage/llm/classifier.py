@@ -7,6 +7,9 @@ the workers keep the sum of each word they have met.
 
 Null and empty texts have the mean vector zero, and so the score of the bias. Every row gives one row. Labels for which
 there is no document, null labels and null ids are not used; without labels of both kinds the score is 0.5 throughout.
+Of several labels of an id the larger counts, of several documents of an id the one of the least features. An empty
+table gives no rows; a very long text is scored by itself, with memory in proportion to it. Of the documents only the id
+and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -3,30 +3,32 @@ against the stored strings.
 
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: then up to "?", "#" or the end. A
 null url, or one without "://", has an empty host and path. A rule fits its host and all subdomains where the url's
-path starts with the rule's; the longest rule wins, and equal rules must agree. Where none fits, the verdict is the
-default. Every row gives one row; repeated urls give repeated results; an empty rule table gives the default for all.
-
-The array is built on the driver and sent as a file to each executor, where the workers of all tasks map one copy; a
-lost executor's successor gets it again. It is bounded: rule tables of over MOST_BYTES of text go another way, a join
-of each url's candidates (its host's suffixes with its path's prefixes) with the rules.
+path starts with the rule's; the longest rule wins. Two rules of one host and path with different verdicts are an error,
+so there are no ties. Where none fits, the verdict is the default. Every row gives one row; repeated urls give repeated
+results; an empty rule table gives the default for all, an empty url table no rows. A very long url costs its parts
+times the lengths of paths that rules have. The results take the place of columns that bear their names; other columns
+that are kept stay, whatever they are called.
+
+The array is written to the shared folder and goes from there to each executor, where the workers of all tasks map one
+copy; a lost executor's successor gets it again. It is bounded: rule tables of over MOST_BYTES of text go another way, a
+join of each url's candidates (its host's suffixes with its path's prefixes) with the rules.
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import new_folder, written
+
 MOST_BYTES = 64 << 20
 KINDS = ("allow", "block")
 
@@ -116,17 +118,18 @@ OUT = "host string, path string, rule string, verdict string"
 
 
 def _probe(urls: DataFrame, rules: list[tuple[str, str, str]], keep: list[str], url: str, default: str) -> DataFrame:
-    folder = tempfile.mkdtemp(prefix="spark-rules-")
-    atexit.register(shutil.rmtree, folder, True)
     data = build(rules)
     name = f"rules-{xxhash.xxh64_hexdigest(data)}.bin"
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(data)
     context = urls.sparkSession.sparkContext
     if not any(x.endswith(f"/{name}") for x in context.listFiles):
-        context.addFile(os.path.join(folder, name))
-    source = urls.select(F.col(url).cast("string").alias("_url"), *keep)
-    out = source.drop("_url").schema
+        folder = new_folder(urls.sparkSession, "rules")
+        files, where = fs.FileSystem.from_uri(folder)
+        files.create_dir(where, recursive=True)
+        with files.open_output_stream(f"{where}/{name}") as f:
+            f.write(data)
+        context.addFile(f"{folder}/{name}")
+    source = urls.select(F.col(url).cast("string").alias("url"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)])
+    out = urls.select(*keep).schema
     for column in OUT.split(", "):
         out = out.add(*column.split(" "))
 
@@ -161,33 +164,33 @@ def _probe(urls: DataFrame, rules: list[tuple[str, str, str]], keep: list[str],
 
 def _join(urls: DataFrame, rules: DataFrame, keep: list[str], url: str, default: str) -> DataFrame:
     """The same for rule tables of any size: each url's candidates meet the rules in a join, the longest comes back."""
+    lengths = sorted(r["n"] for r in rules.select(F.char_length("path").alias("n")).distinct().collect())  # the longest path at most
     whole = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    there = F.instr(whole, "://") > 0
-    rest = F.when(there, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise("")
-    own = urls.withColumn("_u", whole).withColumn("_r", rest).withColumn("_id", F.monotonically_increasing_id())
-    own = own.withColumn("host", F.translate(F.regexp_extract("_r", r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    own = own.withColumn("path", F.regexp_extract("_r", r"^[^/?#]*([^?#]*)", 1)).select("_id", *keep, "host", "path")
-    from .shared import written
-
+    rest = F.when(F.instr(whole, "://") > 0, F.substring_index(whole, "://", 1)).otherwise(whole)
+    rest = F.when(F.instr(whole, "://") > 0, F.substring(whole, F.char_length(rest) + 4, F.char_length(whole))).otherwise("")
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = urls.select(F.struct(*keep).alias("row"), host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.monotonically_increasing_id().alias("id"))
     own = written(own, "url-filter")
-    lengths = rules.select(F.char_length("path").alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("ns"))
     labels = F.split("host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = own.crossJoin(F.broadcast(lengths)).select("_id", "path", "ns", F.explode(names).alias("h")).filter("h != ''")
-    asked = asked.select("_id", "path", "h", F.explode(F.filter("ns", lambda n: n <= F.char_length("path"))).alias("n"))
-    asked = asked.select("_id", F.concat("h", F.expr("substring(path, 1, n)")).alias("rule"))
+    asked = own.select("id", "path", F.explode(names).alias("h")).filter("h != ''")
+    asked = asked.select("id", "path", "h", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).filter(F.col("n") <= F.char_length("path"))
+    asked = asked.select("id", F.concat("h", F.substring("path", F.lit(1), F.col("n"))).alias("rule"))
     best = (
         asked.join(rules.select(F.concat("host", "path").alias("rule"), "verdict").distinct(), "rule")
-        .groupBy("_id")
+        .groupBy("id")
         .agg(F.max_by(F.struct("rule", "verdict"), F.char_length("rule")).alias("b"))
     )
-    out = own.join(best, "_id", "left")
-    return out.select(*keep, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    out = own.join(best, "id", "left")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, keep: list[str], url: str = "url", default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The columns `keep` of urls with host, path, rule (null where none fits) and verdict. rules: host, path, verdict."""
     keep = [c for c in keep if c not in ("host", "path", "rule", "verdict")]
+    unlike = rules.groupBy("host", "path").agg(F.min("verdict").alias("a"), F.max("verdict").alias("b")).filter("a != b").first()
+    if unlike is not None:
+        raise ValueError(f"rules with different verdicts for {unlike['host']}{unlike['path']}")
     size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 40), F.lit(0))).first()[0]
     if size > most_bytes:
         return _join(urls, rules, keep, url, default)
@@ -196,8 +199,5 @@ def judge(urls: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
 
 def keep_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """The rows of urls whose verdict is allow, with the columns of urls."""
-    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    if own == urls.columns:
-        return judge(urls, rules, own, url, default).filter("verdict = 'allow'").select(urls.columns)
-    boxed = urls.select(F.struct(*urls.columns).alias("_row"), F.col(url).alias("_url_"))
-    return judge(boxed, rules, ["_row"], "_url_", default).filter("verdict = 'allow'").select("_row.*")
+    boxed = urls.select(F.struct("*").alias("row"), F.col(url).alias("address"))
+    return judge(boxed, rules, ["row"], "address", default).filter("verdict = 'allow'").select("row.*")
