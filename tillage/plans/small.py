@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import relational as R
 from ..operators import seasons as S
 from ..sources.tables import table
 from .registry import query
@@ -60,3 +61,70 @@ def z17_last_seen_default(spark, sf_dir):
     seen = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("seen"))
     since = F.coalesce("seen", F.lit("2024-01-24 00:00:00").cast("timestamp_ntz" if dict(e.dtypes)["ts"] == "timestamp_ntz" else "timestamp"))
     return e.join(seen, "user_id").groupBy("user_id").agg(F.count(F.when(F.col("ts") >= since, 1)).alias("n_new"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def s1_scan(spark, sf_dir):
+    """A selection and a projection; both reach the scan."""
+    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT event_type, count(*) FILTER (value < 10) AS n_updated, count(*) FILTER (value > 90) AS n_deleted, count(*) AS n FROM events GROUP BY 1")
+def s2_affected(spark, sf_dir):
+    """How many rows a batch of statements touches."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.when(F.col("value") < 10, 1)).alias("n_updated"), F.count(F.when(F.col("value") > 90, 1)).alias("n_deleted"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_orderpriority = '1-URGENT'")
+def f1_conjunction(spark, sf_dir):
+    """The conditions that are given, and none for those that aren't."""
+    return table(spark, sf_dir, "orders").filter(R.conjunction(o_orderstatus=["P", "O"], o_orderpriority="1-URGENT", o_custkey=None)).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1998-06-15' - 7")
+def f6_recent(spark, sf_dir):
+    """Not older than seven days at a given day."""
+    o = table(spark, sf_dir, "orders")
+    return o.filter(F.col("o_orderdate") >= F.date_sub(F.lit("1998-06-15").cast("date"), 7).cast(o.schema["o_orderdate"].dataType)).select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'")
+def f7_between(spark, sf_dir):
+    """Days within two others, both included."""
+    day = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").filter(day.between(F.lit("1995-03-01").cast("date"), F.lit("1995-03-31").cast("date"))).select("o_orderkey", day.alias("day"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = first_id THEN 'Y' ELSE 'N' END AS is_leader FROM customer JOIN (SELECT c_nationkey, min(c_custkey) AS first_id FROM customer GROUP BY 1) USING (c_nationkey)")
+def f11_leader(spark, sf_dir):
+    """Who leads each group: its first member."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    first = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("first_id"))
+    return c.join(first, "c_nationkey").select("c_custkey", F.when(F.col("c_custkey") == F.col("first_id"), "Y").otherwise("N").alias("is_leader"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus <> 'F', o_orderkey")
+def t2_condition_key(spark, sf_dir):
+    """Done work first: a condition as a sort key."""
+    return table(spark, sf_dir, "orders").orderBy(F.col("o_orderstatus") != "F", "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' ORDER BY p_partkey FETCH FIRST 20 ROWS ONLY")
+def t6_first_rows(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter("p_type = 'PROMO'").orderBy("p_partkey").limit(20).select("p_partkey", "p_name")
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY n DESC, total DESC, o_custkey LIMIT 12")
+def t8_top_by_two(spark, sf_dir):
+    """The twelve by two keys, both downwards."""
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return n.orderBy(F.desc("n"), F.desc("total"), "o_custkey").limit(12)
+
+
+@query("""SELECT o_orderkey, o_orderpriority, CASE WHEN s <= e THEN mmdd BETWEEN s AND e ELSE mmdd >= s OR mmdd <= e END AS in_season FROM (SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%m%d') AS mmdd FROM orders)
+JOIN (VALUES ('1-URGENT', '1101', '0228'), ('2-HIGH', '0401', '0610'), ('3-MEDIUM', '0701', '0701')) t(p, s, e) ON p = o_orderpriority""")
+def x3_in_season(spark, sf_dir):
+    """Whether each work lies in the season of its kind, which may run over the turn of the year."""
+    seasons = spark.createDataFrame([("1-URGENT", "1101", "0228"), ("2-HIGH", "0401", "0610"), ("3-MEDIUM", "0701", "0701")], "o_orderpriority string, s string, e string")
+    o = table(spark, sf_dir, "orders").join(R.small(seasons), "o_orderpriority")
+    return o.select("o_orderkey", "o_orderpriority", S.in_season(F.col("o_orderdate"), "s", "e").alias("in_season"))
