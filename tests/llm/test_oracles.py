@@ -12,7 +12,8 @@ from tillage.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sf_dir, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    for name_ in ("pages", "documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
