@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PieceIds
-from .texts import slices
+from .texts import slices, tidy
 
 # Classes of codepoints.
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = range(6)
@@ -37,7 +37,7 @@ OVER, LETTERS, NUMBERS, OTHERS, BLANKS, AFTER_SPACE, ONE_LEFT, TWO_LEFT = range(
 STATES = 8
 
 #: Pieces in each of the two generations of the cache.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 #: Pieces longer than this are merged with a heap.
 LONG_PIECE = 48
 
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
                 rest = batch.slice(low, high - low).columns[1:]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(split), pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(back, pa.binary())], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidy(run), out)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -293,4 +293,4 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             back = [own.decode(np.frombuffer(x or b"", np.uint32)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidy(run), out)

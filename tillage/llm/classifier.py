@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import slices, span_digests
+from .texts import slices, span_digests, tidy
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     head = rows.schema["_id"].dataType.simpleString()
     # One row of each id, so that what comes to the driver is bounded by the sample.
-    found = rows.mapInArrow(run, f"id {head}, y int, ids binary, counts binary").groupBy("id").agg(F.min(F.struct("y", "ids", "counts")).alias("s"))
+    found = rows.mapInArrow(tidy(run), f"id {head}, y int, ids binary, counts binary").groupBy("id").agg(F.min(F.struct("y", "ids", "counts")).alias("s"))
     got = found.select("id", "s.*").collect()
     got.sort(key=lambda r: (r["id"], bytes(r["ids"]), bytes(r["counts"])))
     return fit([(np.frombuffer(r["ids"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.int64), r["y"]) for r in got])
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             yield pa.record_batch([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     head = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {head}, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"doc_id {head}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_folder
-from .texts import SLICE_BYTES, byte_class, ragged, run_digests, slices, word_digests, word_spans
+from .texts import SLICE_BYTES, byte_class, ragged, run_digests, slices, tidy, word_digests, word_spans
 
 WINDOW = 10
 #: Bytes of benchmark text in a block; blocks that a worker holds; shards are larger where there are more blocks than that.
@@ -352,7 +352,7 @@ def stored(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id",
             yield flush()
 
     parts = max(1, -(-size // block_bytes))
-    return Benchmark(sorted(r["path"] for r in source.repartition(parts).mapInArrow(save, "path string").collect()), window)
+    return Benchmark(sorted(r["path"] for r in source.repartition(parts).mapInArrow(tidy(save), "path string").collect()), window)
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_item_word long, longest_doc_word long"
@@ -402,7 +402,7 @@ def contamination(
                     names=[c.split(" ")[0] for c in REPORT.split(", ")],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(search, REPORT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(search), REPORT)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -420,4 +420,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                         clean[found.row] = False
                 yield batch.slice(low, high - low).filter(pa.array(clean))
 
-    return docs.mapInArrow(search, docs.schema)
+    return docs.mapInArrow(tidy(search), docs.schema)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .texts import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -383,7 +384,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
             )
 
-    return source.mapInArrow(run, f"doc_id {head}, {FOUND}")
+    return source.mapInArrow(tidy(run), f"doc_id {head}, {FOUND}")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -400,4 +401,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = [None if gone else redacted(t, own + extra) if own or extra else t for t, own, extra, gone in zip(texts, base, more, missing)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import scratch, written
-from .texts import slices
+from .texts import slices, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
                 found += [fingerprint(data[a:b], shingle) for a, b in zip(at, at[1:])]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _point(fp: Column, width: int) -> Column:

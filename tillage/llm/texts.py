@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +20,21 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXERS = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task, which gives what it no longer needs back to the system at its end: Spark keeps its workers, and what
+    their allocators hold on to counts against the executor."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def text_rows(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """The bytes of a string column and the n + 1 row offsets into them; null counts as empty."""
     if column.null_count:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bpe import whole
 from .pieces import PieceIds
 from .shared import new_folder, written
-from .texts import PLAIN_WORD, byte_class, ragged, slices
+from .texts import PLAIN_WORD, byte_class, ragged, slices, tidy
 
 MARK = b"IDPACK01"
 BLOCK = 4096
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int], id_co
                 part = part_of(keys[low:high], digests, edges)
                 yield pa.record_batch([pa.array(part), batch.column(0).slice(low, high - low), pa.array(digests.view(np.int64)), pa.array(packed, pa.binary())], names=["part", "doc_id", "digest", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, digest long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "part int, doc_id long, digest long, ids binary")
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, block: int = BLOCK) -> tuple[str, DataFrame]:
@@ -306,7 +306,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
         if own:
             yield flush()
 
-    files = written(dealt.mapInArrow(save, "file string, part int, nth int, n_docs long, n_ids long"), "token-ids-list")
+    files = written(dealt.mapInArrow(tidy(save), "file string, part int, nth int, n_docs long, n_ids long"), "token-ids-list")
     # The start of each part from the parts' sums (one row a part), then of each file within its part.
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -334,5 +334,5 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string, nth_in_file int")
     loaded = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder).select("path", "content")
-    docs = loaded.mapInArrow(load, "file string, nth_in_file int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    docs = loaded.mapInArrow(tidy(load), "file string, nth_in_file int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return docs.join(files.select("file", "start"), "file").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file", "nth_in_file")
