@@ -139,6 +139,22 @@ def test_url_filter(spark, folder):
     assert rows_of(got) == sorted(expected, key=repr)
 
 
+def test_bpe_offsets(spark, folder):
+    """The byte lengths kept with the ids cut each text into its tokens, and the ids decode to the text."""
+    import numpy as np
+
+    from tillage.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = {rank: token for token, rank in bpe.read_ranks(path).items()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", F.col("text").alias("kept"))
+    for r in bpe.decode(bpe.encode(docs, path), path).collect():
+        data = (r["kept"] or "").encode()
+        ids, ends = np.frombuffer(r["ids"], "<u4").tolist(), np.cumsum(np.frombuffer(r["token_bytes"], "<u4")).tolist()
+        assert bytes(r["decoded"]) == data and len(ids) == r["n_tokens"] == len(ends)
+        assert all(data[a:b] == tokens[i] for i, a, b in zip(ids, [0, *ends], ends))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("b.org", "/fr/x", "block"), ("", "/x", "block")]
 
 

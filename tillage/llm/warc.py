@@ -109,10 +109,9 @@ def _origins(pages: DataFrame, least: int) -> DataFrame:
     long = F.octet_length("payload") >= least
     sized = pages.filter(long).withColumn("_key", F.unhex(F.sha2("payload", 256)))
     # One row for each payload, from what each task has summed up; a payload of a third of all rows is one row here.
-    known = sized.filter("page_id is not null")
-    most = known.groupBy("_key").agg(F.max(F.struct("page_id", "url")).alias("_response"))
-    several = sized.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
-    met = sized.join(most.join(several, "_key", "left_semi"), "_key", "left").drop("_key")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    most = sized.groupBy("_key").agg(F.max(known).alias("_response"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    met = sized.join(most, "_key", "left").drop("_key")
     return met.unionByName(pages.filter(~long).withColumn("_response", F.lit(None).cast(most.schema["_response"].dataType)))
 
 
