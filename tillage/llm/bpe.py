@@ -285,7 +285,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     sent = tokens.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     source = tokens.drop("decoded")
     at = source.columns.index(ids)
-    out = source.schema.add("decoded", "binary")
+    out = tokens.drop("decoded").schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(vocabulary, sent.value)
