@@ -12,7 +12,7 @@ from tillage.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sf_dir, name):
     duck = duckdb.connect()
-    for name_ in ("pages", "documents", "benchmark"):
+    for name_ in ("pages", "documents", "benchmark", "labels"):
         duck.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     found = duck.execute(ORACLES[name])

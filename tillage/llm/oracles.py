@@ -44,4 +44,31 @@ runs AS (SELECT r, item, min(p) AS p, min(q) AS q, count(*) + 9 AS n FROM (SELEC
 best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, p, item, q) = 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(best.n, 0) AS longest_words, best.item AS longest_item, best.q - 1 AS longest_item_word, best.p - 1 AS longest_doc_word
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+own AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(term) AS v FROM groups LEFT JOIN kept USING (lang) GROUP BY lang, source QUALIFY row_number() OVER (PARTITION BY lang) = 1),
+cells AS (SELECT g.lang, g.source, k.term, CAST(coalesce(n, 0) AS HUGEINT) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN own USING (lang, source, term)),
+langs AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY 1, 2),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS HUGEINT) AS p FROM cells JOIN v USING (lang)),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS HUGEINT) AS q FROM langs JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op13_filter_interaction": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [('A', len(w) < 200), ('B', 100 * len(list_distinct(w)) < 50 * len(w)), ('C', 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t)),
+('D', regexp_matches(t, '[#$%&*|]')), ('E', coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false))] AS f FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, list_transform(list_filter(f, lambda x: x[2]), lambda x: x[1]) AS fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o), z AS (SELECT *, filter_order[step] AS f, len(list_filter(fails, lambda y: instr(filter_order, y) < step)) > 0 AS earlier FROM s, c),
+r AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT earlier AND NOT list_contains(fails, f)) AS kept, sum(n) FILTER (NOT earlier AND list_contains(fails, f)) AS removed, sum(n) FILTER (earlier AND list_contains(fails, f)) AS redundant,
+sum(n) FILTER (fails = [f]) AS unique_fails, sum(good) FILTER (NOT earlier AND list_contains(fails, f)) AS good_lost, sum(toxic) FILTER (NOT earlier AND list_contains(fails, f)) AS toxic_lost FROM z GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM r""",
 }

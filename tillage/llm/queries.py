@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontamination, pii, quality_rules, simhash, substring_dedup, token_files, url_filter, warc
+from . import bpe, classifier, decontamination, divergence, interaction, mixing, pii, quality_rules, simhash, substring_dedup, token_files, url_filter, warc
 from .shared import table
 
 
@@ -66,6 +66,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it."""
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each lang are from each other, and the terms that set each apart."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of each order, by lang."""
+    return interaction.audit(interaction.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
@@ -77,4 +92,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_mixing": op11_mixing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_interaction": op13_filter_interaction,
 }
