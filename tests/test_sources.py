@@ -6,6 +6,7 @@ import json
 import zipfile
 
 from tillage.sources.documents import segments
+from tillage.operators import structure
 from tillage.operators.records import conflicts, save_vectors
 from tillage.operators.structure import Heading
 from tillage.sources import documents, tables
@@ -39,15 +40,82 @@ def test_documents_that_cannot_be_read(spark, tmp_path, monkeypatch):
     assert got["korean.txt"] == (0, "1. 제목", "논물", None)
 
 
-def test_hwpx_spans(spark, tmp_path):
-    """Sections in the order of their numbers; a cell that spans rows stands in each of them."""
-    t = lambda x: f"<hp:p><hp:run><hp:t>{x}</hp:t></hp:run></hp:p>"
-    cell = lambda x, w=1, h=1: f'<hp:tc>{t(x)}<hp:cellSpan colSpan="{w}" rowSpan="{h}"/></hp:tc>'
-    table = f"<hp:tbl><hp:tr>{cell('k', 1, 2)}{cell('a')}{cell('b')}</hp:tr><hp:tr>{cell('c', 2)}</hp:tr></hp:tbl>"
-    with zipfile.ZipFile(tmp_path / "a.hwpx", "w") as z:
-        for n, body in ((10, t("last")), (0, f"{t('first')}<hp:p><hp:run>{table}</hp:run></hp:p>")):
+def hwpx(path, *sections, colours=("2", "#DDEEFF")):
+    """An archive of sections, with one border that is filled."""
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("Contents/header.xml", f'<hh:head xmlns:hh="h"><hh:borderFill id="1"><hh:winBrush faceColor="none"/></hh:borderFill><hh:borderFill id="{colours[0]}"><hh:winBrush faceColor="{colours[1]}"/></hh:borderFill></hh:head>')
+        for n, body in sections:
             z.writestr(f"Contents/section{n}.xml", f'<hs:sec xmlns:hs="s" xmlns:hp="p">{body}</hs:sec>')
-    assert [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()] == ["first", "k | a | b", "k | c | ", "last"]
+
+
+def _t(x):
+    return f"<hp:p><hp:run><hp:t>{x}</hp:t></hp:run></hp:p>"
+
+
+def _cell(x, w=1, h=1, fill="1", inner=""):
+    return f'<hp:tc borderFillIDRef="{fill}">{_t(x)}{inner}<hp:cellSpan colSpan="{w}" rowSpan="{h}"/></hp:tc>'
+
+
+def _table(*rows):
+    return "<hp:tbl>" + "".join(f"<hp:tr>{''.join(r)}</hp:tr>" for r in rows) + "</hp:tbl>"
+
+
+def test_hwpx_spans(spark, tmp_path):
+    """Sections in the order of their numbers; a cell that spans rows stands in each of them; values under their headers."""
+    table = _table([_cell("kind", fill="2"), _cell("a", fill="2"), _cell("b", fill="2")], [_cell("k", 1, 2), _cell("1"), _cell("2")], [_cell("c", 2)])
+    hwpx(tmp_path / "a.hwpx", (10, _t("last")), (0, f"{_t('first')}<hp:p><hp:run>{table}</hp:run></hp:p>"))
+    assert [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()] == ["first", "kind: k\na: 1\nb: 2", "kind: k\na: c", "last"]
+
+
+def test_hwpx_tables(spark, tmp_path):
+    """Text beside a table stays, in order; a table within a cell comes once; pairs by their colours; boxes in their line."""
+    inner = f"<hp:p><hp:run>{_table([_cell('in 1'), _cell('in 2')], [_cell('in 3'), _cell('in 4')])}</hp:run></hp:p>"
+    pairs = _table([_cell("name", fill="2"), _cell("Kim"), _cell("age", fill="2"), _cell("44")], [_cell("town", fill="2"), _cell("here", inner=inner), _cell("job", fill="2"), _cell("none")])
+    box = _table([_cell("new")])
+    groups = _table([_cell("rates", fill="2"), _cell("rice", fill="2"), _cell("5"), _cell("hay", fill="2"), _cell("3")], [_cell("x", fill="2"), _cell("y")])
+    body = f"<hp:p><hp:run><hp:t>before</hp:t></hp:run><hp:run>{pairs}</hp:run><hp:run><hp:t>after</hp:t></hp:run></hp:p>"
+    hwpx(tmp_path / "a.hwpx", (0, f"{body}<hp:p><hp:run><hp:t>line</hp:t>{box}</hp:run></hp:p>{_t('신청 가능')}<hp:p><hp:run>{groups}</hp:run></hp:p>"))
+    got = [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()]
+    assert got == ["before", "name: Kim\nage: 44", "town: here\nin 1 | in 2\nin 3 | in 4\njob: none", "after", "line (new)", "rates: rice : 5, hay : 3", "x: y"]
+
+
+def test_docx_tables(spark, tmp_path):
+    cell = lambda x: f"<w:tc><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>"
+    inner = f"<w:tbl><w:tr>{cell('i')}</w:tr></w:tbl>"
+    body = f"<w:p><w:r><w:t>one</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p>{inner}</w:tc>{cell('b')}</w:tr></w:tbl><w:p><w:r><w:t>two</w:t></w:r><w:r>{inner}</w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+    assert [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()] == ["one", "a i | b", "two (i)"]
+
+
+def test_documents_to_chunks(spark, tmp_path):
+    """From the stored schema and the archive to chunks: sectors, paths, tables with captions, titles once."""
+    schema = {"levels": [{"depth": 1, "rule_type": "roman", "notation": "Ⅰ."}, {"depth": 2, "rule_type": "korean_letter_dot", "notation": "가.", "rule_options": {"letter_range": "가나다"}}, {"rule_type": "unknown"}, {"depth": 3, "rule_type": "x", "pattern": "^case [0-9]+"}]}
+    extra = json.dumps({"levels": [{"depth": 1, "rule_type": "appendix_title_table", "location": "table", "rule_options": {"keywords": ["Annex"]}}]})
+    head, rows = [_cell("crop", fill="2"), _cell("rate", fill="2")], [[_cell("rice"), _cell("5")], [_cell("hay"), _cell("3")]]
+    long = " ".join(f"Sentence {k} has some words." for k in range(80))
+    body = _t("Ⅰ. Rules") + _t("가. Rates") + _t("라. no heading") + _t("&lt;Rates of crops&gt;") + f"<hp:p><hp:run>{_table(head, *rows)}</hp:run></hp:p>" + _t("case 7 x") + _t(long) + f"<hp:p><hp:run>{_table([_cell('Annex 1'), _cell('Forms')])}</hp:run></hp:p>" + _t("to fill in") + _t("Ⅱ. Ends") + _t("done")
+    hwpx(tmp_path / "a.hwpx", (0, body))
+    (tmp_path / "b.md").write_text("# Top\n## Sub\nbody\n")
+    main, appendix = structure.rules_of(schema), structure.rules_of(extra, "appendix")
+    assert [(r.kind, r.depth, r.options.get("letters")) for r in main] == [("roman", 1, None), ("korean_letter_dot", 2, "가나다"), ("pattern", 3, None)]
+    found = documents.document_chunks(spark, str(tmp_path), main, appendix).orderBy("doc_id", "chunk").collect()
+    md = [r for r in found if r["doc_id"].endswith("md")]
+    assert [(r["path"], r["content"], r["block"]) for r in md] == [("Top > Sub", "Top\nSub\nbody", "paragraph")]
+    own = [r for r in found if r["doc_id"].endswith("hwpx")]
+    assert [(r["sector"], r["block"], r["path"]) for r in own if r["part"] == 0] == [
+        ("main", "heading-line", "Ⅰ. Rules"),
+        ("main", "paragraph", "Ⅰ. Rules > 가. Rates"),
+        ("main", "table-row", "Ⅰ. Rules > 가. Rates > 📋 <Rates of crops>"),
+        ("main", "paragraph", "Ⅰ. Rules > 가. Rates > case 7 x"),
+        ("appendix", "heading-line", "Annex 1 Forms"),
+        ("appendix", "paragraph", "Annex 1 Forms"),
+        ("main", "heading-line", "Ⅱ. Ends"),
+        ("main", "paragraph", "Ⅱ. Ends"),
+    ]
+    assert own[1]["content"] == "가. Rates\n라. no heading" and own[2]["content"] == "<Rates of crops>\ncrop: rice\nrate: 5\n---\ncrop: hay\nrate: 3"
+    parts = [r for r in own if r["path"].endswith("case 7 x")]
+    assert len(parts) == 3 and all(r["parts"] == 3 and len(r["content"]) <= 1000 + 30 for r in parts) and parts[0]["content"].startswith("case 7 x\nSentence 0 ")
 
 
 def test_tables_written(spark, tmp_path):
