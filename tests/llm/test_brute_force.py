@@ -526,3 +526,44 @@ def test_warc_framing(seed):
             assert warc.joined(parts * 2, len(payload), "x") == (payload, 2)
             with pytest.raises(ValueError, match="segments"):
                 warc.joined(parts, len(payload) + 1, "x")
+
+
+def test_warc_equal_rows(spark, tmp_path):
+    """Many equal long rows, with an id and without one: hardly any record shares its id with another, and all come back."""
+    from tillage.llm import warc
+
+    long_page = "<p>" + "0123456789" * 9000
+    rows = [(None, "u", long_page)] * 150 + [(3, "u", long_page)] * 100 + [(4, "v", "short")] * 20
+    files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    found = warc.records(spark, files).filter("segment = 1 or segment is null").groupBy("record_id").count()
+    assert found.count() > 200 and found.agg(F.max("count")).first()[0] <= 4
+    back = warc.read(spark, files, with_payload=False).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert {tuple(r) for r in back} == {(None, "revisit", 3, 150), (3, "response", None, 100), (4, "response", None, 20)}
+
+
+def test_warc_hot_payloads(spark, folder, monkeypatch):
+    """Payloads that are dealt with apart give the same."""
+    from tillage.llm import warc
+
+    expected = rows_of(queries.op7_warc(spark, folder))
+    monkeypatch.setattr(warc, "HOT", 20)
+    assert rows_of(queries.op7_warc(spark, folder)) == expected
+
+
+def test_ids_of_other_types(spark):
+    """Decontamination takes ids of any type; where ids are compared, another id than a whole number is an error."""
+    docs = spark.createDataFrame([("a", PASSAGE), ("b", "clean words")], "doc_id string, text string")
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["contaminated"]) for r in decontamination.contamination(docs, bench).collect()) == [("a", True), ("b", False)]
+    from tillage.llm import near_copies
+
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        near_copies.deduplicate(docs).collect()
+
+
+def test_sample_bytes(spark, sf_dir):
+    """A bound on the bytes of the sample gives a smaller sample, not a failure."""
+    from tillage.llm import classifier
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    assert classifier.train(docs, labels, sample_bytes=60_000) is not None

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .texts import slices, span_digests, tidy
@@ -29,6 +29,8 @@ DIMENSIONS = 16
 GRAMS = (3, 4)
 #: Labelled rows of each label that are learned from, at most: those of the least hash of their id.
 SAMPLE = 1500
+#: Bytes of features that come to the driver for it, at most.
+SAMPLE_BYTES = 256 << 20
 EPOCHS, RATE, SEED = 6, 0.5, 11
 #: Words that a worker remembers.
 CACHE_WORDS = 500_000
@@ -114,8 +116,8 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` rows of each label that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most `sample` rows of each label that are not held out, and at most half of `sample_bytes` of their features."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
     ranked = known.withColumn("_h", F.xxhash64("_id"))
     chosen = None
@@ -137,7 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     head = rows.schema["_id"].dataType.simpleString()
     # One row of each id, so that what comes to the driver is bounded by the sample.
     found = rows.mapInArrow(tidy(run), f"id {head}, y int, ids binary, counts binary").groupBy("id").agg(F.min(F.struct("y", "ids", "counts")).alias("s"))
-    got = found.select("id", "s.*").collect()
+    # Of each label, in the order of the sample, what fits the driver.
+    own = F.octet_length("s.ids") + F.octet_length("s.counts")
+    before = F.sum(own).over(Window.partitionBy("s.y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    got = found.withColumn("_bytes", before).filter(F.col("_bytes") <= sample_bytes // 2).select("id", "s.*").collect()
     got.sort(key=lambda r: (r["id"], bytes(r["ids"]), bytes(r["counts"])))
     return fit([(np.frombuffer(r["ids"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.int64), r["y"]) for r in got])
 

@@ -355,7 +355,7 @@ def stored(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id",
     return Benchmark(sorted(r["path"] for r in source.repartition(parts).mapInArrow(tidy(save), "path string").collect()), window)
 
 
-REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_item_word long, longest_doc_word long"
+REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_item_word long, longest_doc_word long"
 
 
 def contamination(
@@ -364,7 +364,8 @@ def contamination(
     """One row per document: n_words, n_hit (words inside an occurrence of a test window), n_items (items with one), items_sha256
     (of those ids as text, sorted, comma-joined), contaminated (n_hit > 0), and the longest verbatim match of a test suffix: its
     words, its item, and where it begins in the item and in the document (word numbers from 0; 0 words and nulls without a match).
-    Of equally long matches the first in the document counts, and there the one of the least item id (as text) and place in it."""
+    Of equally long matches the first in the document counts, and there the one of the least item id (as text) and place in it.
+    Ids may be of any type."""
     tests = stored(benchmark, window, item_id, item_text, block_bytes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,10 +400,11 @@ def contamination(
                         pa.array([m[2] for m in matches], pa.int64()),
                         pa.array([m[3] for m in matches], pa.int64()),
                     ],
-                    names=[c.split(" ")[0] for c in REPORT.split(", ")],
+                    names=["doc_id", *(c.split(" ")[0] for c in REPORT.split(", "))],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(search), REPORT)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(search), f"doc_id {kind}, {REPORT}")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

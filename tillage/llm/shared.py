@@ -23,9 +23,11 @@ _made: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("made", de
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This process's folder in spark.checkpoint.dir, which driver and executors share, removed when the process ends; only a
-    session without that setting (tests) gets a temporary one."""
+    """This process's folder in spark.checkpoint.dir, which driver and executors share, removed when the process ends; only in local
+    mode that setting may be missing (tests), and the folder is a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ""
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if root not in _own:
         base = root.rstrip("/") or f"file://{tempfile.mkdtemp(prefix='spark-tillage-')}"
         _own[root] = f"{base}/tillage-{uuid.uuid4().hex}"

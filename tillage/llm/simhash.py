@@ -17,7 +17,8 @@ the least of them do. Each step is exact, and no fingerprint is left out at any
 
 Documents without an id get a fingerprint and no component. Repeated ids count as one document with several texts. An
 empty table gives no rows; very long texts are worked on alone. Only the id and the text are read, so other columns
-can't clash.
+can't clash. Ids are whole numbers, or texts of such; another id is an
+error.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Writing: a response record per row, its payload in chunked transfer framing behi
 block is long (the first is the response, the others are continuations that name it as their origin, the last states
 the total length). Of rows with equal payloads of some size, the one with the largest id is the response and the others
 are revisits without a payload, which name it by its record id, address and date. A record's id follows from its page,
-address and payload, so a task that runs again gives the same ids. Each record is a gzip member; a task writes files of
+address and payload, and where a task has such a record already or the page has no id, from its place in the task, so a
+task that runs again gives the same ids and no id is that of more records than there are tasks. Each record is a gzip member; a task writes files of
 a bounded size under names of its own, and only the files that successful tasks report are read.
 
 Reading: any WARC/1.0 or 1.1 file, plain or gzip. Continuations meet their origin in a grouping by its identifier, are
@@ -13,7 +14,7 @@ block of a response behind its HTTP headers, chunked framing decoded. A malforme
 
 Null payloads count as empty, null urls as "". Every row gives one record; an empty table gives no files. Rows without an
 id are responses, or revisit the response of equal payload that has one. Rows of equal id and payload are all responses
-or all revisits; equal rows share a record id and come back as often as they were written. A very long payload is many
+or all revisits; equal rows come back as often as they were written. A page id that is no whole number is an error. A very long payload is many
 segments, with memory in proportion to it. Only id, url and payload are read, so other columns can't clash.
 """
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import hashlib
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ REVISIT_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
 FILE_BYTES = 32 << 20
 CHUNK_BYTES = 8 << 10
+#: Payloads of more than one row in so many are dealt with apart.
+HOT = 10_000
 #: What a revisit record's profile is called.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -84,14 +88,18 @@ def segments(headers: list[tuple[str, str]], block: bytes, own: str, most: int =
         yield record([("WARC-Type", "continuation"), *shared, ("WARC-Record-ID", name), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *total], part)
 
 
-def record_id(page_id: int | None, url: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>"
+def record_id(page_id: int | None, url: str, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}{place}')}>"
 
 
-def page_records(page_id: int | None, url: str, payload: bytes, response: tuple[int, str] | None, date: str, most: int) -> Iterator[bytes]:
-    """The records of one page: `response` is the page that it revisits, id and url, or None."""
+def page_records(page_id: int | None, url: str, payload: bytes, response: tuple[int, str] | None, date: str, most: int, known: set[str], place: str) -> Iterator[bytes]:
+    """The records of one page: `response` is the page that it revisits, id and url, or None; `known` are the ids that the task has
+    given already, `place` is where in the task it is."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     own = record_id(page_id, url, digest)
+    if page_id is None or own in known:
+        own = record_id(page_id, url, digest, f" {place}")
+    known.add(own)
     headers = [("WARC-Type", "response" if response is None else "revisit"), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
         headers.append(("X-Page-ID", str(page_id)))
@@ -110,8 +118,16 @@ def _origins(pages: DataFrame, least: int) -> DataFrame:
     sized = pages.filter(long).withColumn("_key", F.unhex(F.sha2("payload", 256)))
     # One row for each payload, from what each task has summed up; a payload of a third of all rows is one row here.
     known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
-    most = sized.groupBy("_key").agg(F.max(known).alias("_response"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    met = sized.join(most, "_key", "left").drop("_key")
+    most = written(sized.groupBy("_key").agg(F.max(known).alias("_response"), F.count("*").alias("_n")), "warc-payloads")
+    # Payloads of more than one row in HOT, which HOT at most can be, meet their rows where these are; the rows go on by a key
+    # of their own, so that no task of the join has all of them.
+    total = most.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    several = most.filter("_n > 1")
+    hot = several.filter(F.col("_n") * HOT > total).select("_key", F.col("_response").alias("_hot"), F.lit(True).alias("_is_hot"))
+    met = sized.join(F.broadcast(hot), "_key", "left")
+    alone = F.unhex(F.sha2(F.concat_ws(" ", F.coalesce("page_id", F.monotonically_increasing_id()).cast("string"), "url"), 256))
+    met = met.withColumn("_key", F.when(F.col("_is_hot"), alone).otherwise(F.col("_key"))).join(several.drop("_n"), "_key", "left")
+    met = met.withColumn("_response", F.when(F.col("_is_hot"), F.col("_hot")).otherwise(F.col("_response"))).drop("_key", "_hot", "_is_hot")
     return met.unionByName(pages.filter(~long).withColumn("_response", F.lit(None).cast(most.schema["_response"].dataType)))
 
 
@@ -135,15 +151,17 @@ def write(
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = fs.FileSystem.from_uri(folder)
         files.create_dir(where, recursive=True)
-        attempt = uuid.uuid4()
-        name, out, size, n, nth = "", None, 0, 0, 0
+        attempt, task = uuid.uuid4(), TaskContext.get().partitionId()
+        name, out, size, n, nth, row = "", None, 0, 0, 0, 0
+        known: set[str] = set()
         for batch in batches:
             for page_id, address, payload, response, at in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if out is None:
                     name = f"pages-{attempt.hex}-{nth:05d}.warc.gz"
                     out, size, n, nth = files.open_output_stream(f"{where}/{name}", compression=None), 0, 0, nth + 1
                 origin = None if response is None or response == page_id else (response, at)
-                for one in page_records(page_id, address, payload, origin, date, segment_bytes):
+                row += 1
+                for one in page_records(page_id, address, payload, origin, date, segment_bytes, known, f"{task}.{row}"):
                     size += out.write(member := gzip.compress(one, 4, mtime=0)) or len(member)
                 n += 1
                 if size >= file_bytes:
@@ -232,7 +250,8 @@ class _Joined(io.RawIOBase):
 
 def reassembled(parts: DataFrame) -> DataFrame:
     """Records as a whole: `block` of those without segments, and the segments of the others, grouped by their origin, as
-    `parts` with the stated `total`. A group is one record: as large as the record's block, times as often as it was written."""
+    `parts` with the stated `total`. A group is one record: as large as the record's block, times the archives' copies of it, of
+    which there is one for each task at most in those written here."""
     names = [c for c in parts.columns if c not in ("origin", "segment", "total_length")]
     piece = "array<struct<segment:int,block:binary>>"
     whole = parts.filter("segment is null").select(*names, F.lit(None).cast(piece).alias("parts"), F.lit(None).cast("long").alias("total"))
