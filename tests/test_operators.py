@@ -67,12 +67,6 @@ def test_best_match(spark):
     assert [(g[0], g[1]) for g in got] == [("iron rods", "iron rod"), ("zzz", None), (None, None)]
 
 
-def test_encoding(spark):
-    texts = ["논물", "논물".encode("cp949").decode("latin-1"), "논물".encode().decode("latin-1"), "café", "", None]
-    df = frame(spark, [(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.encoding_repaired("t"))
-    assert [r[1] for r in rows(df)] == ["논물", "논물", "논물", "café", "", None]
-
-
 def test_heading_path(spark):
     h = frame(spark, [(1, 0, None, "x"), (1, 1, 1, "A"), (1, 2, 2, "B"), (1, 3, None, "x"), (1, 4, 1, "C"), (1, 5, 3, "D"), (2, 0, 2, "E")], "doc int, at int, depth int, title string")
     got = X.with_heading_path(h, ["doc"], "at", "depth", "title", 3)
@@ -134,7 +128,7 @@ def test_laggards_and_missing(spark):
     assert [r[2] for r in rows(sets.select("i", parts["missing"], parts["state"]))] == ["pending", "in_progress", "completed", "completed"]
 
 
-@pytest.mark.parametrize("cells", [(0.5, 2.0, 8.0, 30.0), (30.0,), ()])
+@pytest.mark.parametrize("cells", [0.01, 4, 1000])
 def test_nearest_place(spark, cells):
     """Against all pairs: near and far places, over the date line and at a pole, ties, groups without places."""
     import math
@@ -157,6 +151,92 @@ def test_nearest_place(spark, cells):
         assert abs(found[i]["metres"] - m) < 0.2
 
 
+def vectors(n, width=12, groups=9, seed=1):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(groups)]
+    return [(i, [c + rng.gauss(0, 0.4) for c in centres[i % groups]]) for i in range(n)]
+
+
+def test_index(spark, tmp_path):
+    """Every row with a direction is in the index; recall against all rows; exact with all cells."""
+    own = vectors(3000) + [(9001, None), (9002, [0.0] * 12), (9003, [1.0]), (9004, [])]
+    df, path = frame(spark, own, "id long, e array<double>"), str(tmp_path / "index")
+    V.build_index(df, path, "id", "e")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{path}/rows").collect()) == list(range(3000))
+    asked = df.filter("id % 100 = 0")
+    exact = {(r["query_id"], r["id"]): r["distance"] for r in V.nearest(asked, df, 10, "id", "id", "e").collect()}
+    few = {(r["query_id"], r["id"]): r["distance"] for r in V.probe_index(asked, path, 10, "id", "e", probes=10).collect()}
+    assert len(exact) == 300 and len(few) == 300 and all(few[k] == exact[k] for k in few if k in exact)
+    assert len(few.keys() & exact.keys()) >= 0.9 * len(exact)
+    every = V.probe_index(asked, path, 10, "id", "e", probes=10_000, most=7).collect()
+    assert {(r["query_id"], r["id"]): r["distance"] for r in every} == exact
+    told = spark.read.parquet(f"{path}/probes").first()
+    by_itself = {(r["query_id"], r["id"]) for r in V.probe_index(asked, path, 10, "id", "e").collect()}
+    assert told["recall"] >= 0.95 and told["probes"] < 54 and len(by_itself & exact.keys()) >= 0.9 * len(exact)
+    V.build_index(df.limit(0), path, "id", "e")
+    assert V.probe_index(asked, path, 10, "id", "e").count() == 0
+
+
+def test_index_recall(spark, sf_dir):
+    from tillage.plans import documents
+
+    exact = {(r["query_id"], r["id"]) for r in documents.v1_knn(spark, sf_dir).collect()}
+    found = {(r["query_id"], r["id"]) for r in documents.v1_indexed(spark, sf_dir).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_cascade(spark):
+    """Later backends get what is open only, and aren't started when nothing is."""
+    asked = frame(spark, [(k,) for k in range(6)], "q int")
+    seen = []
+
+    def backend(some):
+        def run(left):
+            seen.append(sorted(r["q"] for r in left.collect()))
+            return left.filter(F.col("q").isin(some)).select("q", F.lit(7).alias("id"))
+
+        return run
+
+    def never(left):
+        raise AssertionError
+
+    assert rows(V.answered(asked, "q", [backend([1, 2]), backend([]), backend([0, 1, 4])])) == [(0, 7, 3), (1, 7, 1), (2, 7, 1), (4, 7, 3)]
+    assert seen == [[0, 1, 2, 3, 4, 5], [0, 3, 4, 5], [0, 3, 4, 5]]
+    assert len(rows(V.answered(asked, "q", [backend(list(range(6))), never]))) == 6
+
+
+def test_lexical_hits(spark):
+    texts = [(1, "The rice field", "a"), (2, "rice", "b"), (3, "prices of rice fields", "a"), (4, None, "p"), (5, "field of hay", "p"), (6, "nothing", "p"), (7, "rice rice", None), (8, "rice field", "a")]
+    asked = frame(spark, [(1, ["rice", "field"]), (2, ["hay"]), (3, []), (4, None), (5, ["x", ""])], "query_id int, words array<string>")
+    df = frame(spark, texts, "id int, text string, source string")
+    got = rows(V.lexical_hits(asked, df, 3, F.col("source") == "p", most=2))
+    # 1 and 8 have both words, 3 one word and the other within a word; the preferred one takes the last place.
+    assert got == [(1, 1, 8, 1), (1, 5, 4, 3), (1, 8, 8, 2), (2, 5, 4, 1)]
+    assert rows(V.lexical_hits(asked, df.limit(0), 3, F.col("source") == "p")) == []
+
+
+def test_nearest_holds_little(spark):
+    """A block of many queries against many vectors, in one worker."""
+    import resource
+
+    import numpy as np
+    import pyarrow as pa
+
+    dice = np.random.default_rng(2)
+    wanted, rows_ = dice.normal(size=(2000, 32)), dice.normal(size=(6000, 32))
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    sent = pa.table({"query_id": pa.array(range(2000)), "v": lists(wanted)})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    [out] = V._search(iter([pa.record_batch([pa.array(range(6000)), lists(rows_)], names=["id", "v"])]), sent, 10, False)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 300
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    best = np.argsort(1 - unit(wanted) @ unit(rows_).T, axis=1)[:, :10]
+    got = {}
+    for q, i in zip(out["query_id"].to_pylist(), out["id"].to_pylist()):
+        got.setdefault(q, set()).add(i)
+    assert got == {q: set(b.tolist()) for q, b in enumerate(best)}
+
+
 @pytest.mark.parametrize("most", [1, 3, 100])
 def test_nearest_in_blocks(spark, most):
     rng = random.Random(5)
@@ -198,3 +278,91 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 def test_settled(spark):
     asked = frame(spark, [(1, 1), (1, 5), (2, 1)], "k int, at int")
     assert rows(settled(asked, frame(spark, [(1, 3), (None, 9)], "k int, at int"), ["k"], "at")) == [(1, 1)]
+
+
+def test_diary_with_conflicts(spark, tmp_path):
+    """Numbers that others take in between are given out again, alone; journal and bridge agree; a second conflict is an error."""
+    from tillage.operators import records as D
+
+    journal, bridge = str(tmp_path / "j"), str(tmp_path / "b")
+    kind = "who string, id int, no int"
+    frame(spark, [("a", 1, 1), ("a", 2, 2)], kind).write.parquet(journal)
+    frame(spark, [], f"{kind}, prj int").write.parquet(bridge)
+    new = frame(spark, [("a", 10, 7), ("a", 11, None), ("a", 12, 8), ("b", 13, 9)], "who string, id int, prj int")
+    calls = []
+
+    def others(every_time):
+        def write():
+            if every_time or not calls:
+                there = max(r["no"] for r in spark.read.parquet(journal).collect())
+                frame(spark, [("a", 100 + len(calls), there + 1)], kind).write.mode("append").parquet(journal)
+            calls.append(1)
+
+        return write
+
+    given = D.write_diary(new, journal, bridge, ["who"], "no", "prj", F.asc("id"), meanwhile=others(False))
+    want = {("a", 10, 6), ("a", 11, 4), ("a", 12, 5), ("b", 13, 1)}
+    assert {(r["who"], r["id"], r["no"]) for r in given.collect()} == want and len(calls) == 2
+    assert {tuple(r) for r in spark.read.parquet(journal).collect()} == {("a", 1, 1), ("a", 2, 2), ("a", 100, 3)} | want
+    assert {tuple(r) for r in spark.read.parquet(bridge).collect()} == {("a", 10, 6, 7), ("a", 12, 5, 8), ("b", 13, 1, 9)}
+    with pytest.raises(D.NumbersTaken):
+        D.write_diary(new.filter("id = 10"), journal, bridge, ["who"], "no", "prj", F.asc("id"), meanwhile=others(True))
+
+
+def test_suggestions(spark):
+    """Against all pairs of rows and names."""
+    from tillage.operators import records as D
+
+    rng = random.Random(5)
+    names = ["sow", "mow", "dig", "hay", ""]
+    data = [(i, i, rng.choice("pqrst"), rng.random() < 0.2, rng.randrange(9), rng.choices(names, k=rng.randrange(3)), f"row {i}", rng.choice([None, i * 10])) for i in range(60)]
+    got = rows(D.suggestions(frame(spark, data, "id int, at int, heading string, is_header boolean, score int, names array<string>, content string, price int"), 9))
+    want = []
+    for name in names[:-1]:
+        seeds = [r for r in data if name in r[5]]
+        if not seeds:
+            continue
+        near = [r for r in data if any(r[2] == s[2] or abs(r[1] - s[1]) <= 2 for s in seeds)]
+        best = max(near, key=lambda r: (r[4], -r[0]))
+        prices = [s[7] for s in seeds if s[7] is not None]
+        own = best[7] if name in best[5] else None
+        heads = sum(r[3] for r in near)
+        want.append((name, len(seeds), heads, sum(s[4] for s in seeds) + 5 * heads, best[0], best[6], own if own is not None else max(prices, default=None)))
+    assert got == sorted(want)
+
+
+def test_evidence_rules(spark):
+    from tillage.operators import records as D
+
+    data = [
+        (1, '{"count": "0", "method": " photo ", "basis": "b"}', None),
+        (2, '{"method": ""}', "(증빙방법) : a report"),
+        (3, '{"count": "x", "method": "m", "basis": "b"}', "line"),
+        (4, '{"count": "3"}', " "),
+        (5, "{}", ""),
+        (6, "no json", None),
+        (7, None, "증빙방법 photos"),
+    ]
+    got = D.normal_evidence(frame(spark, data, "i int, rule string, line string"), "rule", "line").select("i", "evidence_count", "evidence_method", "evidence_basis")
+    assert rows(got) == [(1, 1, "photo", "b"), (2, 1, "a report", "(증빙방법) : a report"), (3, 1, "m", "line"), (4, 3, "", ""), (5, None, None, None), (6, None, None, None), (7, 1, "photos", "증빙방법 photos")]
+
+
+def test_encodings(spark):
+    from tillage.operators import extraction as X
+
+    good = ["논물 관리", "plain", "", None, "caf\u00e9", "벼"]
+    texts = good + [t.encode(page).decode("latin-1") for t in ("논물 관리", "벼") for page in ("utf-8", "cp949")]
+    got = X.encoding_repaired(frame(spark, list(enumerate(texts)), "i int, t string"), "t")
+    assert [r["t"] for r in got.orderBy("i").collect()] == [*good, "논물 관리", "논물 관리", "벼", "벼"]
+    kana = X.encoding_repaired(frame(spark, [(1, "かな".encode("shift_jis").decode("latin-1"))], "i int, t string"), "t", ("shift_jis",), "[\u3040-\u30ff]")
+    assert [r["t"] for r in kana.collect()] == ["かな"]
+
+
+def test_aliases(spark):
+    from tillage.operators import extraction as X
+
+    places = frame(spark, [("p2", "Field", 2), ("p1", "rice field", 1), ("p3", "hay", 2), ("p4", "", 0)], "place string, alias string, prio int")
+    texts = frame(spark, [(1, "The Rice FIELD"), (2, "a field of hay"), (3, "hay"), (4, "none"), (5, None)], "i int, t string")
+    assert rows(texts.select("i", X.first_alias(texts, "t", places).alias("p"))) == [(1, "p1"), (2, "p2"), (3, "p3"), (4, None), (5, None)]
+    with pytest.raises(ValueError):
+        X.first_alias(texts, "t", places, most=2)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .relational import dimension
+
 #: Words of a forecast text, in the order in which they are tried, and their codes.
 RAIN_WORDS = [("2", ["비/눈", "진눈깨비"]), ("1", ["비"]), ("3", ["눈"]), ("4", ["소나기"])]
 SKY_WORDS = [("4", ["흐림", "흐리고"]), ("3", ["구름많"])]
@@ -120,21 +122,41 @@ def best_match(names: DataFrame, column: str, choices: list[str], least: float =
     return names.select(column).distinct().withColumn("_m", pick(column)).select(column, "_m.choice", "_m.score")
 
 
-def _decoded(text: str | None) -> str | None:
-    hangul = lambda t: any("가" <= c <= "힣" for c in t)
-    if not text or hangul(text) or not any(0x80 <= ord(c) <= 0xFF for c in text):
+#: The code pages that garbled texts were written in, in the order in which they are tried, and the letters that
+#: show that one fits.
+CODE_PAGES, LETTERS = ("cp949", "utf-8", "shift_jis", "gb18030"), "[가-힣]"
+
+
+def decoded(text: str | None, pages: tuple[str, ...] = CODE_PAGES, letters: str = LETTERS) -> str | None:
+    """A text whose bytes were read as Latin-1, read by the first code page that gives such letters; others stay as they are."""
+    if not text or re.search(letters, text) or not re.search("[\x80-\xff]", text):
         return text
-    for encoding in ("cp949", "utf-8"):
+    for page in pages:
         try:
-            fixed = text.encode("latin-1").decode(encoding)
+            fixed = text.encode("latin-1").decode(page)
         except UnicodeError:
             continue
-        if hangul(fixed):
+        if re.search(letters, fixed):
             return fixed
     return text
 
 
-@F.pandas_udf(StringType())
-def encoding_repaired(texts: pd.Series) -> pd.Series:
-    """Hangul texts whose bytes were read as Latin-1; other texts stay as they are."""
-    return texts.map(_decoded)
+def encoding_repaired(df: DataFrame, column: str, pages: tuple[str, ...] = CODE_PAGES, letters: str = LETTERS) -> DataFrame:
+    """df with garbled texts of a column put right: only distinct texts with bytes beyond ASCII go through Python."""
+
+    @F.pandas_udf(StringType())
+    def fixed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: decoded(t, pages, letters))
+
+    odd = df.select(column).filter(F.col(column).rlike("[\\x80-\\xff]")).distinct()
+    known = odd.withColumn("_fixed", fixed(column))
+    return df.join(known, column, "left").withColumn(column, F.coalesce("_fixed", column)).select(df.columns)
+
+
+def first_alias(texts: DataFrame, text: str, places: DataFrame, most: int = 10_000) -> Column:
+    """The place of the first alias (by prio, then place) that a text has, of a dimension (place, alias, prio) of at most so many
+    aliases; null without."""
+    own = F.struct("prio", "place", F.lower("alias").alias("alias"))
+    known = dimension(places.filter("alias <> ''").select(own.alias("a")), "a", most)
+    every = F.array(*[F.struct(F.lit(r["place"]).alias("place"), F.lit(r["alias"]).alias("alias")) for r in known]) if known else F.array().cast("array<struct<place: string, alias: string>>")
+    return F.get(F.filter(every, lambda a: F.contains(F.lower(F.col(text)), a["alias"])), F.lit(0))["place"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import held
 from .relational import numbered_after, small
 
 #: Holidays of the solar calendar by month and day, others by their dates.
@@ -38,15 +42,40 @@ def replaced(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def diary(new: DataFrame, old: DataFrame, keys: list[str], number: str, project: str, *order: Column) -> DataFrame:
-    """The rows to be written for new entries: each with a number on from the largest of its keys in old, once for the
-    journal and, where it belongs to a project, once for the bridge. Numbers that are taken in the meantime are no
-    longer largest when the entries are numbered again, so a second try gives others."""
+    """The rows to be written for new entries: each with a number on from the largest of its keys in old, once for the journal
+    and, where it belongs to a project, once for the bridge."""
     numbered = numbered_after(new, old, keys, number, *order)
     journal = numbered.select(F.lit("journal").alias("target"), *keys, number, F.lit(None).cast(new.schema[project].dataType).alias(project))
     bridge = numbered.filter(F.col(project).isNotNull()).select(F.lit("bridge").alias("target"), *keys, number, project)
     return journal.unionByName(bridge)
 
 
+class NumbersTaken(Exception):
+    """Entries that could not be written, since others took their numbers at each try."""
+
+
+def write_diary(new: DataFrame, journal: str, bridge: str, keys: list[str], number: str, project: str, *order: Column, tries: int = 2, meanwhile: Callable[[], None] | None = None) -> DataFrame:
+    """Write new entries to the tables of the journal and of the bridge (Parquet, with the columns of new, the number and, in the
+    bridge, the project), and give them with their numbers. They are numbered on from the largest number of their keys; those whose
+    numbers others have written by the time of the write are numbered again, alone, and after `tries` that is an error. The
+    bridge is written from the rows that the journal took, so the two agree. `meanwhile` runs between numbering and writing."""
+    spark = new.sparkSession
+    left, done = held(new), []
+    for _ in range(tries):
+        numbered = held(numbered_after(left, spark.read.parquet(journal), keys, number, *order))
+        if meanwhile is not None:
+            meanwhile()
+        taken = spark.read.parquet(journal).select(*keys, number)
+        free = held(numbered.join(taken, [*keys, number], "left_anti"))
+        free.select(spark.read.parquet(journal).columns).write.mode("append").parquet(journal)
+        free.filter(F.col(project).isNotNull()).select(spark.read.parquet(bridge).columns).write.mode("append").parquet(bridge)
+        done.append(free)
+        left = held(conflicts(numbered, taken, [*keys, number]).drop(number))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    raise NumbersTaken(f"{left.count()} entries")
+
+
 def conflicts(rows: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys are taken already, to be numbered again."""
     return rows.join(there.select(*keys), keys, "left_semi")
@@ -77,13 +106,49 @@ def normal_rules(rows: DataFrame, rule: str, default: str) -> DataFrame:
     )
 
 
-def suggestions(rows: DataFrame, most: int) -> DataFrame:
-    """Of rows (id, heading, is_header, score, names) the names: how many rows bear each (n_exact), how many header rows stand
-    under a heading with one that does (n_headers), the scores of the rows and five for each such header, and the best
-    row (top). The first by these three and the name. Headings are summed up before names meet them."""
+#: The label of a line that says how work is proved, and what stands around it.
+METHOD_LABEL, AROUND = r"\(?증빙방법\)?", " :"
+
+
+def normal_evidence(rows: DataFrame, rule: str, basis: str) -> DataFrame:
+    """rows with the parts of an evidence rule in JSON (count, method, basis): a line that gives the basis wins over the rule's own and
+    stands for a missing method, without its label; at least one piece where there is a method or basis; nothing else is nulls."""
+    own = F.from_json(rule, "map<string,string>")
+    part = lambda k: F.trim(F.coalesce(F.try_element_at(own, F.lit(k)), F.lit("")))
+    line = F.trim(F.coalesce(basis, F.lit("")))
+    known = rows.withColumns({"_basis": F.coalesce(F.nullif(line, F.lit("")), part("basis")), "_method": part("method"), "_count": F.greatest(F.lit(1), part("count").try_cast("int"))})
+    told = F.trim(F.regexp_replace("_basis", METHOD_LABEL, ""), F.lit(AROUND))
+    known = known.withColumn("_method", F.when((F.col("_method") == "") & (line != ""), told).otherwise(F.col("_method")))
+    says = (F.col("_method") != "") | (F.col("_basis") != "")
+    given = says | part("count").try_cast("int").isNotNull()
+    out = known.withColumns(
+        {
+            "evidence_count": F.when(given, F.when(part("count").try_cast("int").isNotNull(), F.col("_count")).otherwise(1)),
+            "evidence_method": F.when(given, F.col("_method")),
+            "evidence_basis": F.when(given, F.col("_basis")),
+        }
+    )
+    return out.drop("_basis", "_method", "_count")
+
+
+def suggestions(rows: DataFrame, most: int, near: int = 2) -> DataFrame:
+    """Of rows (id, at, heading, is_header, score, names, content, price) the names: how many rows bear each (n_exact), how many
+    header rows (n_headers) are among these, the other rows under their headings, and those at most `near` places from them;
+    the scores of the rows that bear it and five for each such header; the best of all these rows (top, excerpt) and its price,
+    if it bears the name, else the largest price of a row that does. The first by these three and the name.
+
+    Rows under a heading are summed up before names meet them, and neighbours are found by their places, so that rows of a
+    heading are never paired."""
     named = rows.withColumn("name", F.explode(F.array_distinct("names"))).filter("name <> ''")
-    exact = named.groupBy("name").agg(F.count("*").alias("n_exact"), F.sum("score").alias("_score"), F.max_by("id", F.struct("score", -F.col("id"))).alias("top"))
-    headers = rows.groupBy("heading").agg(F.count(F.when(F.col("is_header"), 1)).alias("n"))
-    beside = named.select("name", "heading").distinct().join(headers, "heading").groupBy("name").agg(F.sum("n").alias("n_headers"))
-    every = exact.join(beside, "name").select("name", "n_exact", "n_headers", (F.col("_score") + 5 * F.col("n_headers")).cast("long").alias("score"), "top")
-    return every.orderBy(F.desc("n_exact"), F.desc("n_headers"), F.desc("score"), "name").limit(most)
+    best = F.max(F.struct("score", (-F.col("id")).alias("first"), "id", "content")).alias("best")
+    headers = F.count(F.when(F.col("is_header"), 1)).alias("n")
+    exact = named.groupBy("name").agg(F.count("*").alias("n_exact"), F.sum("score").alias("_score"), F.max("price").alias("_price"))
+    under = named.select("name", "heading").distinct()
+    inside = under.join(rows.groupBy("heading").agg(headers, best), "heading").select("name", "n", "best")
+    places = named.select("name", F.explode(F.sequence(F.col("at") - near, F.col("at") + near)).alias("at")).distinct()
+    beside = places.join(rows, "at").join(under, ["name", "heading"], "left_anti").groupBy("name").agg(headers, best)
+    met = inside.unionByName(beside).groupBy("name").agg(F.sum("n").alias("n_headers"), F.max("best").alias("best"))
+    own = named.select(F.col("name").alias("_name"), F.col("id").alias("_id"), F.col("price").alias("_own"))
+    every = exact.join(met, "name").join(own, (F.col("name") == F.col("_name")) & (F.col("best.id") == F.col("_id")), "left")
+    out = every.select("name", "n_exact", "n_headers", (F.col("_score") + 5 * F.col("n_headers")).cast("long").alias("score"), F.col("best.id").alias("top"), F.col("best.content").alias("excerpt"), F.coalesce("_own", "_price").alias("price"))
+    return out.orderBy(F.desc("n_exact"), F.desc("n_headers"), F.desc("score"), "name").limit(most)

@@ -69,6 +69,11 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
+def first_n(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each key."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")
+
+
 def numbered_after(new: DataFrame, base: DataFrame, keys: list[str], number: str, *order: Column) -> DataFrame:
     """new with `number`: within each key on from the largest of base."""
     last = base.groupBy(*keys).agg(F.max(number).alias("_last"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import dimension
+
 EARTH_METRES = 6371000.0
 
 
@@ -18,9 +18,9 @@ def in_season(day: Column, start: str, end: str) -> Column:
 
 
 def season_of(df: DataFrame, day: str, options: DataFrame) -> DataFrame:
-    """df with the label of the first option (by prio) whose season holds the day; options is a table of fixed size: prio, label, start, end."""
+    """df with the label of the first option (by prio) whose season holds the day; options is a dimension: prio, label, start, end."""
     label: Column = F.lit(None).cast("string")
-    for o in sorted(options.collect(), key=lambda r: -r["prio"]):
+    for o in sorted(dimension(options.select(F.struct("prio", "label", "start", "end").alias("o")), "o"), key=lambda r: -r["prio"]):
         at = F.date_format(day, "MMdd")
         hit = at.between(o["start"], o["end"]) if o["start"] <= o["end"] else (at >= o["start"]) | (at <= o["end"])
         label = F.when(hit, o["label"]).otherwise(label)
@@ -34,35 +34,35 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_METRES) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-#: Degrees of the cells in which the nearest place is looked for, one size after the other.
-CELLS = (0.5, 2.0, 8.0, 30.0)
+#: Places that a cell of a key should have on average, and the least size of a cell in degrees.
+IN_A_CELL, LEAST_CELL = 4, 1e-3
 
 
-def nearest_place(points: DataFrame, places: DataFrame, keys: list[str], point: str, place: str, cells: tuple[float, ...] = CELLS) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, keys: list[str], point: str, place: str, in_a_cell: float = IN_A_CELL) -> DataFrame:
     """For each of points (keys, point, lat, lon) the nearest of places (keys, place, lat, lon) with the same keys: point, nearest,
-    metres (1 digit; equally far ones count by the least id). A point looks into its cell and the eight around it; what it finds
-    there is the nearest, if it is nearer than the edge of these cells. The others look into larger cells, and those that still
-    have none or too far ones at last at all places of their keys. Points without a place of their keys are left out."""
+    metres (1 digit; equally far ones count by the least id). The places of each key set the size of its cells, by their number
+    and spread, so that a cell has `in_a_cell` of them. A point looks into its cell and the eight around it; what it finds there
+    is the nearest, if it is nearer than the edge of these cells. Those that find none or one too far off, which are few, look at
+    all places of their keys. Points without a place of their keys are left out."""
     world = places.select(*keys, F.col(place).alias("_place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    here = lambda c, d: F.floor(F.col(c) / d).cast("int")
-
-    def best(met: DataFrame) -> DataFrame:
-        far = met.withColumn("_m", F.round(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 1))
-        return far.groupBy(*keys, point, "lat", "lon").agg(F.min(F.struct("_m", "_place")).alias("_best"))
-
-    done, left = [], points.select(*keys, point, "lat", "lon")
-    for d in cells:
-        around = F.expr("explode(transform(sequence(0, 8), i -> struct(CAST(i DIV 3 AS INT) - 1 AS a, i % 3 - 1 AS b)))")
-        turns = int(360 / d)
-        looking = left.withColumn("_to", around).select(*keys, point, "lat", "lon", (here("lat", d) + F.col("_to.a")).alias("_i"), F.pmod(here("lon", d) + F.col("_to.b"), F.lit(turns)).cast("int").alias("_j"))
-        standing = world.withColumns({"_i": here("_lat", d), "_j": F.pmod(here("_lon", d), F.lit(turns)).cast("int")})
-        found = best(looking.join(standing, [*keys, "_i", "_j"]))
-        edge = F.lit(EARTH_METRES) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(d))))
-        sure = found.filter(F.col("_best._m") + 0.1 < edge)
-        done.append(sure.select(point, F.col("_best._place").alias("nearest"), F.col("_best._m").alias("metres")))
-        left = left.join(sure.select(point), point, "left_anti")
-    last = best(left.join(world, keys))
-    return reduce(DataFrame.unionByName, [*done, last.select(point, F.col("_best._place").alias("nearest"), F.col("_best._m").alias("metres"))])
+    spread = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(LEAST_CELL))
+    wide = F.sqrt(spread("_lat") * spread("_lon") * in_a_cell / F.count("*"))
+    # Cells go round the world a whole number of times.
+    turns = world.groupBy(*keys).agg(F.greatest(F.lit(4), F.floor(360 / F.greatest(wide, F.lit(LEAST_CELL)))).cast("int").alias("_turns"))
+    cell = lambda c: F.floor(F.col(c) / (F.lit(360.0) / F.col("_turns"))).cast("int")
+    around = F.expr("explode(transform(sequence(0, 8), i -> struct(CAST(i DIV 3 AS INT) - 1 AS a, CAST(i % 3 - 1 AS INT) AS b)))")
+    looking = points.select(*keys, point, "lat", "lon").join(turns, keys).withColumn("_to", around)
+    looking = looking.withColumns({"_i": cell("lat") + F.col("_to.a"), "_j": F.pmod(cell("lon") + F.col("_to.b"), F.col("_turns"))}).drop("_to")
+    standing = world.join(turns, keys).withColumns({"_i": cell("_lat"), "_j": F.pmod(cell("_lon"), F.col("_turns"))}).drop("_turns")
+    metres = F.round(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 1)
+    best = F.min(F.when(F.col("_place").isNotNull(), F.struct(metres.alias("m"), F.col("_place").alias("p")))).alias("best")
+    found = looking.join(standing, [*keys, "_i", "_j"], "left").groupBy(*keys, point, "lat", "lon", "_turns").agg(best)
+    edge = F.lit(EARTH_METRES) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(360.0) / F.col("_turns"))))
+    found = found.withColumn("_far", F.coalesce(F.col("best.m") + 0.1 >= edge, F.lit(True))).drop("_turns")
+    rest = found.join(world.withColumn("_far", F.lit(True)), [*keys, "_far"], "left")
+    last = rest.groupBy(*keys, point, "lat", "lon", "_far", "best").agg(best.alias("other"))
+    chosen = F.when(F.col("_far"), F.col("other")).otherwise(F.col("best"))
+    return last.select(point, chosen["p"].alias("nearest"), chosen["m"].alias("metres"))
 
 
 #: The conformal grid of the forecast (kilometres, degrees, origin cell).

@@ -208,11 +208,16 @@ def v10_summaries(spark, sf_dir):
     return n.orderBy(F.asc_nulls_last("number"), "page_id").limit(20)
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '논물 ' || n_name ELSE n_name END AS name FROM nation")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '논물 ' || n_name WHEN 1 THEN '재배 ' || c_mktsegment ELSE coalesce(n_name, '') END AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def f15_encoding(spark, sf_dir):
-    """Names whose bytes were read in the wrong encoding, put right."""
-    bad = F.decode(F.encode(F.concat(F.lit("논물 "), F.col("n_name")), "UTF-8"), "ISO-8859-1")
-    return table(spark, sf_dir, "nation").select("n_nationkey", X.encoding_repaired(F.when(F.col("n_nationkey") % 2 == 0, bad).otherwise(F.col("n_name"))).alias("name"))
+    """Names whose bytes were read in the wrong encoding, of two code pages, put right; each distinct one once."""
+    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    read_as = lambda text, page: F.decode(F.encode(text, page), "ISO-8859-1")
+    kind = F.col("c_custkey") % 4
+    # The first two letters in CP949, since the JVM's encode() takes standard code pages only.
+    old = F.decode(F.unhex(F.lit("C0E7B9E820")), "ISO-8859-1")
+    name = F.when(kind == 0, read_as(F.concat(F.lit("논물 "), "n_name"), "UTF-8")).when(kind == 1, F.concat(old, "c_mktsegment")).otherwise(F.coalesce("n_name", F.lit("")))
+    return X.encoding_repaired(named.select("c_custkey", name.alias("name")), "name")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import seasons as S
-from ..sources.tables import table
+from ..sources.tables import Statement, execute, new_folder, table
 from .registry import query
 
 
@@ -69,10 +69,17 @@ def s1_scan(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT event_type, count(*) FILTER (value < 10) AS n_updated, count(*) FILTER (value > 90) AS n_deleted, count(*) AS n FROM events GROUP BY 1")
+@query("""SELECT event_type, count(*) FILTER (value < 10) AS n_updated, count(*) FILTER (value > 90) AS n_deleted, count(*) AS n, count(*) FILTER (value <= 90 OR value IS NULL) AS n_after, count(*) FILTER (value < 10) AS n_zero FROM events GROUP BY 1""")
 def s2_affected(spark, sf_dir):
-    """How many rows a batch of statements touches."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.when(F.col("value") < 10, 1)).alias("n_updated"), F.count(F.when(F.col("value") > 90, 1)).alias("n_deleted"), F.count("*").alias("n"))
+    """A batch of statements on a table: how many rows each touched, and what the table holds when it is read again."""
+    path = new_folder(spark, "s2")
+    table(spark, sf_dir, "events").select("event_id", "event_type", "value").write.parquet(path)
+    # The second sees what the first left; it asks for values that are there no longer, and so does the fourth.
+    value = F.col("value")
+    counts = execute(spark, path, [Statement(value < 10, {"value": F.lit(0.0)}), Statement(value.between(0.5, 9.5), {"value": F.lit(99.0)}), Statement(value > 90), Statement(value > 95)], ["event_type"])
+    after = spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n_after"), F.count(F.when(value == 0, 1)).alias("n_zero"))
+    both = counts.join(after, "event_type", "left").fillna(0, ["n_after", "n_zero"])
+    return both.select("event_type", (F.col("n_1") + F.col("n_2")).alias("n_updated"), (F.col("n_3") + F.col("n_4")).alias("n_deleted"), F.col("n_before").alias("n"), "n_after", "n_zero")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_orderpriority = '1-URGENT'")

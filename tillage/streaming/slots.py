@@ -1,63 +1,87 @@
-"""Streams: keyed slots where the latest wins, and requests that later evidence settles."""
+"""Streams: keyed slots where the latest wins, and requests that later evidence settles, in batches or as keyed state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.relational import upsert
+from ..operators.relational import first_per_key
 
+#: Bytes that a bucket of a table should have.
+BUCKET_BYTES = 256 << 20
 
-BUCKETS = 64
 
-
-def upsert_stream(rows: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Each micro-batch replaces the slots that it has rows for; a batch that comes again gives the same table. Slots are in
-    buckets by a hash of their key, and a batch writes the buckets that it touches anew, as target/v=<batch>/bucket=<k>;
-    the others stay as they are. A version counts once it is whole, so readers never see half a batch. Of a bucket the
-    newest version and the one before it stay, older ones go."""
+def upsert_stream(rows: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, bucket_bytes: int = BUCKET_BYTES) -> StreamingQuery:
+    """Each micro-batch replaces the slots that it has rows for, unless these are older (by `order`) than what is there; a batch that
+    comes again gives the same table. Slots are in
+    buckets by a hash of their key, and a batch writes the buckets that it touches anew, as target/v=<batch>.<buckets>/bucket=<k>;
+    the others stay as they are. A version counts once it is whole, so readers never see half a batch. Of a bucket the newest
+    version and the one before it stay, older ones go. Buckets are as many as the table's bytes ask for, a power of two: once it
+    has outgrown them, a batch writes all of it in more of them, so each row is written anew for that a bounded number of times."""
 
     def apply(batch: DataFrame, nth: int) -> None:
         spark = batch.sparkSession
-        at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        batch = batch.withColumn("bucket", at).persist()
-        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most `buckets`
-        if touched:
-            base = current(spark, target, before=nth, only=touched)
-            fresh = upsert(batch.limit(0) if base is None else base.withColumn("bucket", at), batch, keys, F.desc(order))
-            fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={nth}")
-            files, versions = _versions(spark, target)
-            for bucket in touched:
-                for v in sorted((v for v, own in versions.items() if bucket in own and v <= nth), reverse=True)[2:]:
-                    files.delete(versions[v][bucket], True)
-        batch.unpersist()
+        files, versions = _versions(spark, target, nth)
+        size = sum(files.getContentSummary(p).getLength() for p in _newest(versions).values())
+        known = max((n for _, n in versions), default=1)
+        wanted = max(known, 1 << max(0, -(-size // bucket_bytes) - 1).bit_length())
+        at = F.pmod(F.xxhash64(*keys), F.lit(wanted)).cast("int")
+        batch = batch.withColumn("bucket", at)
+        # At most as many as there are buckets; the batch is read once more when it is written.
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        base = current(spark, target, before=nth, only=touched if wanted == known else None)
+        both = batch.withColumn("_new", F.lit(1))
+        both = both if base is None else both.unionByName(base.withColumns({"bucket": at, "_new": F.lit(0)}))
+        fresh = first_per_key(both, keys, F.desc(order), F.desc("_new")).drop("_new")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={nth}.{wanted}")
+        files, versions = _versions(spark, target, nth + 1)
+        for (v, n), own in versions.items():
+            for bucket, path in own.items():
+                later = sum(1 for (w, m), other in versions.items() if w > v and (m > n or bucket in other))
+                if later >= 2:
+                    files.delete(path, True)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, target: str) -> tuple:
-    """The file system of a table, and for each whole version its buckets' folders."""
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> tuple:
+    """The file system of a table, and for each whole version (batch, number of buckets) its buckets' folders."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = {}
-    if files.exists(path):
-        for s in files.listStatus(path):
-            inner = {f.getPath().getName(): f.getPath() for f in files.listStatus(s.getPath())} if s.isDirectory() and s.getPath().getName().startswith("v=") else {}
-            if "_SUCCESS" in inner:
-                found[int(s.getPath().getName()[2:])] = {int(n[7:]): p for n, p in inner.items() if n.startswith("bucket=")}
+    for s in files.listStatus(path) if files.exists(path) else ():
+        name = s.getPath().getName()
+        if not (s.isDirectory() and name.startswith("v=")):
+            continue
+        batch, _, count = name[2:].partition(".")
+        inner = {f.getPath().getName(): f.getPath() for f in files.listStatus(s.getPath())}
+        if "_SUCCESS" in inner and (before is None or int(batch) < before):
+            found[int(batch), int(count)] = {int(n[7:]): p for n, p in inner.items() if n.startswith("bucket=")}
     return files, found
 
 
+def _newest(versions: dict) -> dict:
+    """The folder of each bucket in its newest version; versions of fewer buckets are outgrown."""
+    most = max((n for _, n in versions), default=0)
+    newest = {}
+    for (v, n), own in sorted(versions.items()):
+        newest |= own if n == most else {}
+    return newest
+
+
 def current(spark: SparkSession, target: str, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
     """The table with the newest version of each bucket, or the newest before a batch; of some buckets only, if so asked."""
-    _, versions = _versions(spark, target)
-    newest: dict[int, str] = {}
-    for v in sorted(v for v in versions if before is None or v < before):
-        newest |= {k: p.toString() for k, p in versions[v].items() if only is None or k in only}
-    return reduce(DataFrame.unionByName, [spark.read.parquet(p) for _, p in sorted(newest.items())]) if newest else None
+    newest = _newest(_versions(spark, target, before)[1])
+    paths = [p.toString() for k, p in sorted(newest.items()) if only is None or k in only]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -76,6 +100,51 @@ def settled(requests: DataFrame, evidence: DataFrame, keys: list[str], at: str)
     return requests.join(last, keys).filter(F.col("_last") > F.col(at)).drop("_last")
 
 
+class _Settling(StatefulProcessor):
+    """What is known of one key: the newest evidence, and the requests that wait for a newer one."""
+
+    def __init__(self, keys: list[str], at: str, request: str) -> None:
+        self.keys, self.at, self.request = keys, at, request
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "at long")
+        self.waiting = handle.getMapState("waiting", "request long, at long", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new, newest = [], self.newest.get()[0] if self.newest.exists() else None
+        for batch in rows:
+            own = batch[batch[self.request].isna()][self.at]
+            newest = max([newest, *own.tolist()] if newest is not None else own.tolist(), default=newest)
+            new += [(int(r), int(t)) for r, t in batch[batch[self.request].notna()][[self.request, self.at]].itertuples(index=False, name=None)]
+        if newest is not None:
+            self.newest.update((int(newest),))
+        out = []
+        for place in [p for p, _ in self.waiting.iterator()] if newest is not None else ():
+            if place[1] < newest:
+                out += [tuple(place)] * self.waiting.getValue(place)[0]
+                self.waiting.removeKey(place)
+        for place in new:
+            if newest is not None and place[1] < newest:
+                out.append(place)
+            else:
+                self.waiting.updateValue(place, ((self.waiting.getValue(place)[0] if self.waiting.containsKey(place) else 0) + 1,))
+        if out:
+            yield pd.DataFrame([(*key, *o) for o in out], columns=[*self.keys, self.request, self.at])
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(events: DataFrame, keys: list[str], at: str, request: str) -> DataFrame:
+    """Of a stream of requests (with an id) and pieces of evidence (without), in any order, the requests that evidence of the same
+    keys supersedes, each once, as soon as both are there: keys, request, at. What settled() gives for all rows at once. A key's
+    state is its newest evidence and the requests that none has superseded yet. Needs the RocksDB state store."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, request, at])
+    grouped = events.select(*keys, request, at).groupBy(*keys)
+    return grouped.transformWithStateInPandas(_Settling(keys, at, request), schema, "Append", "None")
+
+
 def rescheduled(anchors: DataFrame, rules: DataFrame) -> DataFrame:
     """The work that hangs on done work (owner, job, at, done_day), with new dates: a row for each rule (ref_job, job, days_min,
     days_max; a dimension) of the job done. For streams too: goes to upsert_stream with owner and job as keys and `at` as order,
