@@ -567,3 +567,43 @@ def test_sample_bytes(spark, sf_dir):
 
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     assert classifier.train(docs, labels, sample_bytes=60_000) is not None
+
+
+def test_quality_scores(spark, folder):
+    """Every score by a plain forward pass: the mean weight of the buckets of all words and their n-grams, and the bias."""
+    import math
+
+    import numpy as np
+
+    from tillage.llm import classifier, texts
+
+    m64 = (1 << 64) - 1
+
+    def bucket(s):
+        raw, power = 0, 1
+        for c in s:
+            raw, power = (raw + (ord(c) + 1) * power) & m64, power * texts.MULTIPLIERS[0] & m64
+        x = (raw + len(s) * texts.MIXERS[0]) & m64
+        for m in texts.MIXERS:
+            x = (x ^ (x >> 33)) * m & m64
+        return (x ^ (x >> 33)) % classifier.BUCKETS
+
+    weights = np.random.default_rng(3).normal(size=classifier.BUCKETS)
+    known = {}
+
+    def sums(word):
+        if word not in known:
+            marked = f"<{word}>"
+            parts = [marked, *(marked[k : k + n] for n in classifier.GRAMS if len(marked) > n for k in range(len(marked) - n + 1))]
+            known[word] = sum(weights[bucket(p)] for p in parts), len(parts)
+        return known[word]
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = sorted(((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in classifier.score(docs, classifier.Model(weights, 0.25)).collect()), key=repr)
+    expected = []
+    for i, t in docs_of(spark, folder):
+        parts = [sums(w) for w in plain_words(t)]
+        z = sum(a for a, _ in parts) / max(1, sum(n for _, n in parts)) + 0.25
+        p = 1 / (1 + math.exp(-z))
+        expected.append((i, round(p, 9), int(p >= 0.5)))
+    assert got == sorted(expected, key=repr)
