@@ -90,6 +90,39 @@ def test_docx_tables(spark, tmp_path):
     assert [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()] == ["one", "a i | b", "two (i)"]
 
 
+def test_docx_merged_cells(spark, tmp_path):
+    """A cell merged over columns and rows stands in all of them, also below a row that begins later; empty cells and rows don't show, nor does what a merged
+    cell has below its first row.
+    A table is one segment of a whole document, and one of a single row may be a heading."""
+    cell = lambda x, *props: f"<w:tc><w:tcPr>{''.join(props)}</w:tcPr><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>"
+    wide, top, on = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = [
+        [cell("area", top), cell("rates", wide)],
+        [cell("", on), cell("rice"), cell("hay")],
+        [cell("north", top), cell("5"), cell("3")],
+        [cell("lost", on), cell("6"), cell("")],
+        [cell(""), cell(""), cell("")],
+        [cell("", on), cell("7"), cell("8", on)],
+    ]
+    late = f'<w:tr><w:trPr><w:gridBefore w:val="1"/></w:trPr>{cell("x", top)}</w:tr><w:tr>{cell("a")}{cell("", on)}</w:tr>'
+    made = "<w:tbl>" + "".join(f"<w:tr>{''.join(r)}</w:tr>" for r in rows) + "</w:tbl>"
+    line = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    body = f"{line('one')}{made}<w:tbl><w:tr>{cell('Annex 1')}{cell('Forms')}</w:tr></w:tbl>{line('two')}<w:tbl>{late}</w:tbl>"
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+    want = ["area | rates | rates", "area | rice | hay", "north | 5 | 3", "north | 6", "7"]
+    got = [r["content"] for r in segments(spark, str(tmp_path)).orderBy("source_order").collect()]
+    assert got == ["one", *want, "Annex 1 | Forms", "two", "x", "a | x"]
+    rules = structure.rules_of({"levels": [{"depth": 1, "rule_type": "appendix_title_table", "location": "table", "rule_options": {"keywords": ["Annex"]}}]})
+    found = documents.document_segments(documents.lines(spark, str(tmp_path)), rules).orderBy("at").collect()
+    assert [(r["block"], r["content"], r["path"]) for r in found] == [
+        ("paragraph", "one", ""),
+        ("table", "\n".join(want), ""),
+        ("paragraph", "Annex 1 Forms\ntwo", "Annex 1 Forms"),
+        ("table", "x\na | x", "Annex 1 Forms"),
+    ]
+
+
 def test_documents_to_chunks(spark, tmp_path):
     """From the stored schema and the archive to chunks: sectors, paths, tables with captions, titles once."""
     schema = {"levels": [{"depth": 1, "rule_type": "roman", "notation": "Ⅰ."}, {"depth": 2, "rule_type": "korean_letter_dot", "notation": "가.", "rule_options": {"letter_range": "가나다"}}, {"rule_type": "unknown"}, {"depth": 3, "rule_type": "x", "pattern": "^case [0-9]+"}]}
@@ -233,6 +266,24 @@ def test_statements(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.execute(spark, path, [], ["g"]).collect()) == [("a", 1), ("b", 1)]
 
 
+def test_statement_with_many_parameters(spark, tmp_path):
+    """Parameters count one by one; the last stays; nulls in keys meet nothing, null values are set; added rows are counted apart."""
+    path, kind = str(tmp_path / "t"), "k int, g string, v int"
+    there = [(1, "a", 1), (2, "a", 2), (2, "b", 3), (None, "b", 4)]
+    given = spark.createDataFrame([(1, 1, 10), (1, 3, None), (1, 2, 12), (2, 1, 20), (7, 1, 70), (7, 2, 71), (None, 1, 9)], "k int, nth int, v int")
+    read = lambda: sorted((tuple(r) for r in spark.read.parquet(path).collect()), key=repr)
+    run = lambda p, action: sorted((tuple(r) for r in tables.execute_many(spark, path, p, ["k"], ["nth"], ["g"], action).collect()), key=repr)
+    for action, counts, rows in (
+        ("update", [("a", 4, 0, 2), ("b", 1, 0, 2)], [(1, "a", None), (2, "a", 20), (2, "b", 20), (None, "b", 4)]),
+        ("upsert", [("a", 4, 0, 2), ("b", 1, 0, 2), (None, 0, 1, 0)], [(1, "a", None), (2, "a", 20), (2, "b", 20), (7, None, 71), (None, "b", 4)]),
+        ("delete", [("a", 2, 0, 2), ("b", 1, 0, 2)], [(None, "b", 4)]),
+    ):
+        spark.createDataFrame(there, kind).write.mode("overwrite").parquet(path)
+        assert run(given, action) == counts and read() == rows and [p.name for p in tmp_path.iterdir()] == ["t"]
+    before = read()
+    assert run(given.filter("false"), "upsert") == [("b", 0, 0, 1)] and read() == before
+
+
 def test_json_upsert_in_place(spark, tmp_path):
     kind, at = "k int, v string", str(tmp_path / "in")
     spark.createDataFrame([(1, "a"), (2, "b")], kind).write.json(at)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import seasons as S
-from ..sources.tables import Statement, execute, new_folder, table
+from ..sources.tables import Statement, execute, execute_many, new_folder, table
 from .registry import query
 
 
@@ -82,6 +82,38 @@ def s2_affected(spark, sf_dir):
     return both.select("event_type", (F.col("n_1") + F.col("n_2")).alias("n_updated"), (F.col("n_3") + F.col("n_4")).alias("n_deleted"), F.col("n_before").alias("n"), "n_after", "n_zero")
 
 
+@query(
+    """
+    WITH given AS (
+        SELECT l_orderkey AS k, l_linenumber AS nth, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem WHERE l_returnflag = 'R'
+        UNION ALL SELECT DISTINCT -l_orderkey, 1, 0.0 FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'A'),
+    asked AS (SELECT k, count(*) AS times, arg_max(price, {'n': nth, 'p': price}) AS price FROM given GROUP BY k),
+    closed AS (SELECT l_orderkey AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01' GROUP BY 1),
+    done AS (
+        SELECT coalesce(o_orderkey, k) AS o_orderkey, o_orderpriority, CASE WHEN k IS NULL THEN o_totalprice ELSE price END AS total, coalesce(times, 0) AS times, o_orderkey IS NULL AS added
+        FROM orders FULL JOIN asked ON o_orderkey = k)
+    SELECT o_orderpriority, CAST(sum(CASE WHEN added THEN 0 ELSE times END) AS BIGINT) AS n_touched, count(*) FILTER (added) AS n_added,
+        count(*) FILTER (c.k IS NOT NULL) AS n_deleted, count(*) FILTER (c.k IS NULL) AS n_after, CAST(sum(CASE WHEN c.k IS NULL THEN CAST(round(total * 100) AS BIGINT) END) AS BIGINT) AS cents
+    FROM done LEFT JOIN closed c ON c.k = o_orderkey GROUP BY 1
+    """
+)
+def s2_many(spark, sf_dir):
+    """One statement for many parameters, twice on one table: prices by the last returned item, with keys that aren't there added; then
+    the keys that are closed deleted."""
+    path, item = new_folder(spark, "s2-many"), table(spark, sf_dir, "lineitem")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice")).write.parquet(path)
+    price = item.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("nth"), F.col("l_extendedprice").cast("double").alias("o_totalprice"))
+    fresh = item.filter("l_linenumber = 7 AND l_returnflag = 'A'").select((-F.col("l_orderkey")).alias("o_orderkey"), F.lit(1).alias("nth"), F.lit(0.0).alias("o_totalprice")).distinct()
+    first = execute_many(spark, path, price.unionByName(fresh), ["o_orderkey"], ["nth"], ["o_orderpriority"], "upsert")
+    closed = item.filter("l_shipdate < TIMESTAMP '1993-01-01'").select(F.col("l_orderkey").alias("o_orderkey"))
+    second = execute_many(spark, path, closed, ["o_orderkey"], [], ["o_orderpriority"], "delete")
+    after = spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n_after"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    parts = [first.select("o_orderpriority", "n_touched", "n_added"), second.select("o_orderpriority", F.col("n_touched").alias("n_deleted")), after]
+    every = parts[0].unionByName(parts[1], True).unionByName(parts[2], True).groupBy("o_orderpriority")
+    counts = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_touched", "n_added", "n_deleted", "n_after")]
+    return every.agg(*counts, F.sum("cents").alias("cents"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_orderpriority = '1-URGENT'")
 def f1_conjunction(spark, sf_dir):
     """The conditions that are given, and none for those that aren't."""

@@ -35,7 +35,7 @@ STATES = ("신청불가", "신청가능", "(신청불가)", "(신청가능)", "
 @dataclass
 class Line:
     """A line or row of a document: its text, the line that heading rules look at, the block that it is, the depth that its style
-    gives it, and of a table its number of rows, headers and caption."""
+    gives it, and of a table its number of rows, headers and caption, and the rows where they are segments of their own."""
 
     text: str
     block: str = "paragraph"
@@ -44,6 +44,7 @@ class Line:
     rows: int | None = None
     header: list[str] = field(default_factory=list)
     caption: str = ""
+    parts: list[str] = field(default_factory=list)
 
     @property
     def place(self) -> str:
@@ -67,7 +68,7 @@ def _nested(lines: Iterator[Line]) -> Iterator[tuple[str, str]]:
         if x.depth:
             path = [p for p in path if p[0] < x.depth] + [(x.depth, x.text)]
         elif x.text:
-            yield " > ".join(t for _, t in path), x.text
+            yield from ((" > ".join(t for _, t in path), t) for t in x.parts or [x.text])
 
 
 def markdown_lines(data: bytes) -> Iterator[Line]:
@@ -138,10 +139,36 @@ def _hwpx_table(table: ElementTree.Element, colours: dict[str, str]) -> Iterator
         yield Line(x.content, x.block, line=" ".join(x.content.split()) if n == 1 else "", rows=n, header=x.header, caption=x.caption)
 
 
+def _property(node: ElementTree.Element, group: str, name: str) -> ElementTree.Element | None:
+    """A property of a DOCX row or cell."""
+    return next((x for p in node if _local(p.tag) == group for x in p if _local(x.tag) == name), None)
+
+
+def _docx_rows(table: ElementTree.Element) -> list[list[str]]:
+    """The texts of each row; that of a merged cell (its first row's) in every row and column that it spans. Rows without text are left
+    out."""
+    out: list[list[str]] = []
+    above: dict[int, str] = {}
+    for row in (r for r in table if _local(r.tag) == "tr"):
+        skipped = _property(row, "trPr", "gridBefore")
+        at, own = int(_attribute(skipped, "val") or 0) if skipped is not None else 0, {}
+        for cell in (c for c in row if _local(c.tag) == "tc"):
+            merged = _property(cell, "tcPr", "vMerge")
+            goes_on = merged is not None and _attribute(merged, "val") in ("", "continue") and at in above
+            text, wide = above[at] if goes_on else _cell_text(cell), _span(cell, "val")
+            own |= dict.fromkeys(range(at, at + wide), text)
+            at += wide
+        above = own
+        out.append([t for t in own.values() if t])
+    return [texts for texts in out if texts]
+
+
 def _docx_table(table: ElementTree.Element, colours: dict[str, str]) -> Iterator[Line]:
-    """The rows of a table, cells joined by " | "."""
-    for row in grid(_rows(table, colours)):
-        yield Line(" | ".join(t.replace("\n", " ") for t in row.texts), "table-row")
+    """A table as one line, with its rows, cells joined by " | ", as parts. One of a single row may be a heading."""
+    rows = _docx_rows(table)
+    if rows:
+        parts = [" | ".join(t.replace("\n", " ") for t in row) for row in rows]
+        yield Line("\n".join(" | ".join(row) for row in rows), "table", line=" ".join(" ".join(rows[0]).split()) if len(rows) == 1 else "", rows=len(rows), parts=parts)
 
 
 def _box(table: ElementTree.Element) -> str | None:

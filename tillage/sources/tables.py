@@ -83,6 +83,35 @@ def execute(spark: SparkSession, path: str, statements: list[Statement], by: lis
     return done.groupBy(*names).agg(*[F.count(F.when(F.col(f"_hit{k}"), 1)).alias(f"n_{k}") for k in range(1, len(statements) + 1)], F.count("*").alias("n_before"))
 
 
+def execute_many(spark: SparkSession, path: str, given: DataFrame, on: list[str], order: list[str], by: list[str], action: str = "update") -> DataFrame:
+    """Run one statement on a Parquet table with many rows of parameters, in the order of the columns `order`: each changes, or with
+    action "delete" removes, the rows whose columns `on` equal its own, and "upsert" adds a row where there is none.
+
+    The other columns of `given` are the new values, null as well. A later row of parameters meets what an earlier one left, so of
+    several the last one's values stay (of equal order, the greatest), and each counts for the rows that it meets; of deletes only
+    the first meets any. Parameters that are null in `on` meet nothing and add nothing. Gives by the columns `by`, as they were
+    before, or are in what is added: n_touched, n_added, n_before. The table changes at once, at the end."""
+    if action not in ("update", "delete", "upsert"):
+        raise ValueError(f"no such action: {action}")
+    there = spark.read.parquet(path)
+    values = [c for c in there.columns if c in given.columns and c not in on]
+    # A key's parameters are one row before they meet the table, so a key with very many of them is no hot row of the join.
+    last = F.max(F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.struct(*values, F.lit(True).alias("_is")).alias("_new")))
+    asked = given.dropna(subset=on).groupBy(*on).agg(last["_new"].alias("_new"), F.count("*").alias("_times"))
+    met = there.withColumn("_there", F.lit(True)).join(asked, on, "full" if action == "upsert" else "left")
+    before, hit, added = F.col("_there").isNotNull(), F.col("_times").isNotNull(), F.col("_there").isNull()
+    groups = {f"_by{k}": F.when(before | F.lit(c in on), F.col(c)).otherwise(F.col(f"_new.{c}") if c in values else F.lit(None)) for k, c in enumerate(by)}
+    done = met.withColumns({**groups, "_touched": F.when(before & hit, F.lit(1) if action == "delete" else F.col("_times")).otherwise(0), "_added": added.cast("int")})
+    if action != "delete":
+        done = done.withColumns({c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).cast(there.schema[c].dataType) for c in values})
+    done = held(done.drop("_new"), "statements")
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    (done.filter(~hit) if action == "delete" else done).select(there.columns).write.parquet(staged)
+    replace_table(spark, staged, path)
+    names = [F.col(f"_by{k}").alias(c) for k, c in enumerate(by)]
+    return done.groupBy(*names).agg(F.sum("_touched").alias("n_touched"), F.sum("_added").cast("long").alias("n_added"), F.count("_there").alias("n_before"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
