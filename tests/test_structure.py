@@ -163,6 +163,22 @@ def test_captions(spark):
     ]
 
 
+def test_captions_in_boxes(spark):
+    """A caption in a box of its own goes to the table beside it, the next or else the last, if that is under its heading; what is
+    between ends the search; captions that tables have brought with them stay."""
+    kinds = {"p": "paragraph", "t": "table", "r": "table-row", "s": "table-single-row", "h": "heading-line"}
+    rows = [
+        ("a", "s", "<A>", ""), ("a", "p", "text", ""), ("a", "r", "one", ""), ("a", "r", "two", ""),
+        ("a", "s", "<B>", ""), ("a", "h", "stop", ""), ("a", "t", "<C>\nthree", "<C>"), ("a", "t", "four", ""),
+        ("b", "s", "<D>", ""), ("c", "t", "five", ""), ("c", "s", "<E>\nmore", ""), ("c", "s", "<F>", ""), ("c", "p", "<G>", ""), ("c", "s", "a | b", ""),
+    ]
+    df = spark.createDataFrame([(1, i, h, kinds[k], t, own) for i, (h, k, t, own) in enumerate(rows)], "d int, at int, path string, block string, content string, own string")
+    got = {r["at"]: (r["content"], r["caption"], r["caption_place"]) for r in S.with_captions(df, ["d"], "at", "path", "block", "content", "own").collect()}
+    # <A> and <B> meet at the rows between them; nothing is beside <D>, and <F> and <G> have boxes on both sides.
+    moved = {2: ("<B>\n<A>\none", "<B>", "after-table"), 9: ("<E>\nfive", "<E>", "after-table"), 10: ("more", None, None)}
+    assert got == {i: moved.get(i, (t, None, None)) for i, (_, _, t, _) in enumerate(rows) if i not in (0, 4)}
+
+
 def test_nodes(spark):
     """Open headings against a stack."""
     rng = random.Random(8)

@@ -287,9 +287,10 @@ def segments(lines: DataFrame, keys: list[str], order: str, text: str, node: str
 _CAPTION = r"(?m)^\s*([《<〈「『].+[》>〉」』])\s*$"
 
 
-def _with_targets(parts: DataFrame, keys: list[str], order: str, path: str, block: str, content: str) -> DataFrame:
+def _with_targets(parts: DataFrame, keys: list[str], order: str, path: str, block: str, content: str, own: str | None = None) -> DataFrame:
     """parts with `_captions` (the caption lines of a segment), `_target` (the first row, by order, of the run of table segments that
-    they belong to: the next under the same heading with nothing but text between, else the last before) and `_place`."""
+    they belong to: the next under the same heading with nothing but text between, else the last before) and `_place`. A table of a
+    single row may be the box of a caption; other captions don't look past it. A segment with a caption of its `own` keeps its lines."""
     w = Window.partitionBy(*keys).orderBy(order)
     family = F.when(F.col(block).isin("table", "table-row"), "table").when(F.col(block).isin(*TEXT_BLOCKS), "text").otherwise("other")
     known = parts.withColumns({"_family": family, "_path": F.coalesce(path, F.lit(""))})
@@ -301,8 +302,15 @@ def _with_targets(parts: DataFrame, keys: list[str], order: str, path: str, bloc
     starts = starts.withColumn("_table", F.when(F.col("_family") == "table", F.last("_start", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))))
     after = F.first("_table", ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing))
     before = F.last("_table", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))
-    found = starts.withColumns({"_captions": F.regexp_extract_all(content, F.lit(_CAPTION), 1), "_after": after, "_before": before})
-    bears = (F.size("_captions") > 0) & (F.col("_family") != "other")
+    # A box is a run of its own, so its tables are those of the runs beside it, if they are under its heading.
+    every = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = starts.withColumn("_beside", F.struct("_path", F.first("_table", ignorenulls=True).over(every).alias("first"), F.last("_table", ignorenulls=True).over(every).alias("last")))
+    found = starts.withColumns({"_captions": F.regexp_extract_all(content, F.lit(_CAPTION), 1), "_after": after, "_before": before, "_ahead": F.lead("_beside").over(w), "_behind": F.lag("_beside").over(w)})
+    box = F.col(block) == "table-single-row"
+    sides = {"_after": F.when(F.col("_ahead._path") == F.col("_path"), F.col("_ahead.first")), "_before": F.when(F.col("_behind._path") == F.col("_path"), F.col("_behind.last"))}
+    found = found.withColumns({c: F.when(box, v).otherwise(F.col(c)) for c, v in sides.items()}).drop("_beside", "_ahead", "_behind")
+    settled = F.coalesce(F.col(own) != "", F.lit(False)) if own else F.lit(False)
+    bears = (F.size("_captions") > 0) & ((F.col("_family") != "other") | F.coalesce(box, F.lit(False))) & ~settled
     target = F.when(bears, F.coalesce("_after", "_before"))
     place = F.when(target.isNotNull(), F.when(F.col("_after").isNotNull(), "before-table").otherwise("after-table"))
     return found.withColumns({"_target": target, "_place": place}).drop("_family", "_path", "_new", "_run", "_start", "_table", "_after", "_before")
@@ -314,10 +322,11 @@ def captions(parts: DataFrame, keys: list[str], order: str, path: str, block: st
     return found.select(*keys, order, F.col("_captions").alias("captions"), F.col("_target").alias("target"), F.col("_place").alias("place"))
 
 
-def with_captions(parts: DataFrame, keys: list[str], order: str, path: str, block: str, content: str) -> DataFrame:
+def with_captions(parts: DataFrame, keys: list[str], order: str, path: str, block: str, content: str, own: str | None = None) -> DataFrame:
     """parts with caption lines taken out of their texts and put on the first segment of their table, above its content unless that has
-    them, and as `caption` and `caption_place` (of several the last). Segments that are left without a text go."""
-    found = _with_targets(parts, keys, order, path, block, content)
+    them, and as `caption` and `caption_place` (of several the last). Segments that are left without a text go. With `own`, a column
+    with the captions that tables bring with them, these stay where they are."""
+    found = _with_targets(parts, keys, order, path, block, content, own)
     # Each segment at its own place, and once more, as a message, at the place that its captions go to.
     twice = F.array(F.struct(F.col(order).alias("at"), F.lit(False).alias("sent")), F.struct(F.col("_target").alias("at"), F.lit(True).alias("sent")))
     meeting = found.withColumn("_m", F.explode(twice)).filter("_m.at is not null")

@@ -300,7 +300,7 @@ def document_segments(found: DataFrame, main: list[Heading], appendix: list[Head
     split = F.lower("doc_id").endswith(".hwpx")
     parts = [structure.segments(own.filter(which), keys, "at", "text", "node", "block", whole_path=whole) for which, whole in ((split, False), (~split, True))]
     made = parts[0].unionByName(parts[1]).withColumn("path", structure.path_of(F.col("nodes"), F.col("content"))).withColumnRenamed("caption", "own_caption")
-    made = structure.with_captions(made, keys, "at", "path", "block", "content")
+    made = structure.with_captions(made, keys, "at", "path", "block", "content", "own_caption")
     return made.select("doc_id", "at", "sector", "block", "content", "path", "nodes", "header", F.coalesce("own_caption", "caption").alias("caption"), "caption_place")
 
 
