@@ -40,6 +40,10 @@ STATES = 8
 CACHE_PIECES = 100_000
 #: Pieces longer than this are merged with a heap.
 LONG_PIECE = 48
+#: Shorter ones are merged so many at a time, so that the arrays for them stay small.
+TOGETHER = 1 << 14
+#: The rank of a pair that doesn't merge.
+NONE = 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,12 +171,66 @@ class Merger:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.bytes_of = pa.array(self.tokens, pa.large_binary())
         self.pieces = PieceIds(self._resolve, most)
+        # Ids of the single bytes, and of what each pair of ids merges into; without all bytes, pieces are merged one by one.
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        whole = {t: r for t, r in ranks.items() if len(t) > 1}
+        pairs = [(ranks[t[:k]] * len(self.tokens) + ranks[t[k:]], r) for t, r in whole.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.pairs, self.merged = np.array(sorted(pairs) or [(-1, NONE)], np.int64).T.copy()
 
     def _resolve(self, lot: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        each = [self.merge(p) for p in lot]
+        get = self.ranks.get
+        each = [None if (r := get(p)) is None else [r] for p in lot]
+        short = [k for k, ids in enumerate(each) if ids is None and len(lot[k]) <= LONG_PIECE] if (self.single >= 0).all() else []
+        for some in (short[k : k + TOGETHER] for k in range(0, len(short), TOGETHER)):
+            for k, ids in zip(some, self._merge_lot([lot[k] for k in some])):
+                each[k] = ids
+        each = [self.merge(p) if ids is None else ids for p, ids in zip(lot, each)]
         return np.array([i for ids in each for i in ids], np.uint32), np.array(list(map(len, each)), np.int64)
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair of ids merges into, NONE where it doesn't."""
+        key = left * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], NONE)
+
+    def _merge_lot(self, lot: list[bytes]) -> list[list[int]]:
+        """The ids of many pieces at once: in each round every piece that still can merges its pair of least rank, the leftmost of
+        equals. Pieces lie end to end; the rank of a pair stands at its left id."""
+        ids = self.single[np.frombuffer(b"".join(lot), np.uint8)]
+        size = np.array(list(map(len, lot)), np.int64)
+        own, out = np.arange(len(lot)), [[] for _ in lot]
+        start = np.cumsum(size) - size
+        rank = np.append(self._rank(ids[:-1], ids[1:]), NONE)
+        rank[start + size - 1] = NONE
+        while len(own):
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), start)
+            goes_on = least >> 32 < NONE
+            if not goes_on.all():
+                done = np.flatnonzero(~goes_on)
+                for k, a, n in zip(own[done].tolist(), start[done].tolist(), size[done].tolist()):
+                    out[k] = ids[a : a + n].tolist()
+                keep = np.repeat(goes_on, size)
+                gone = np.cumsum(np.where(goes_on, 0, size))[goes_on]
+                ids, rank = ids[keep], rank[keep]
+                own, size, start, least = own[goes_on], size[goes_on], start[goes_on] - gone, least[goes_on] - gone
+                if not len(own):
+                    break
+            at = least & 0xFFFFFFFF
+            ids[at] = least >> 32
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            before = np.arange(len(own))  # one id less for each piece before
+            at, start, size = at - before, start - before, size - 1
+            inner = at < start + size - 1
+            rank[at] = NONE
+            rank[at[inner]] = self._rank(ids[at[inner]], ids[at[inner] + 1])
+            led = at[at > start]
+            rank[led - 1] = self._rank(ids[led - 1], ids[led])
+        return out
+
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece: the pair of least rank merges first, the leftmost of equals."""
         whole = self.ranks.get(piece)
@@ -220,11 +278,11 @@ class Merger:
 
     def encode(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces between the cuts, and the number of ids of each piece."""
-        return self.pieces.encode(data, cuts[:-1], cuts[1:])
+        return self.pieces.encode(data, cuts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, one after the other."""
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return bytes(self.bytes_of.take(pa.array(ids)).buffers()[2] or b"")
 
 
 _mergers: dict[str, Merger] = {}

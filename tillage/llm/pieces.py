@@ -6,6 +6,7 @@ from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 from .texts import ragged
 
@@ -24,12 +25,17 @@ class PieceIds:
         self.young.update(zip(lot, range(len(self.young), len(self.young) + len(lot))))
         self.table.add(ids, counts)
 
-    def encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of data[start:end] of all pieces, one after the other, and the number of ids of each."""
-        return self.encode_pieces([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+    def encode(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces that data is cut into, one after the other, and the number of ids of each. Each piece is looked up
+        once, however often it is there."""
+        n = len(cuts) - 1
+        each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        ids, counts = self.encode_pieces(each.dictionary.to_pylist())
+        piece = each.indices.to_numpy()
+        return ids[ragged((np.cumsum(counts) - counts)[piece], counts[piece])], counts[piece]
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces that are apart already."""
+        """The ids of pieces that are apart already, and the number of ids of each."""
         if len(self.young) > self.most:
             self.old, self.old_table, self.young, self.table = self.young, self.table, {}, _Table()
         piece = np.array(list(map(self.young.get, pieces, repeat(-1))), np.int64)
