@@ -7,6 +7,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tillage.operators import chunking as C
 from tillage.operators import retrieval as V
 from tillage.plans.catalogue import QUERIES
@@ -150,3 +152,33 @@ def test_diverse(spark):
                     gain[i] = 0.7 * ((s - low) / (high - low) if high > low else 1.0) - (1 - 0.7) * max(near, default=0.0)
             chosen.append(min(i for i in gain if gain[i] == max(gain.values())))
         assert got[q] == chosen
+
+
+def test_tokens(spark):
+    """The words and bigrams of a text against a plain version; a long text takes no longer for each of its characters than a short one."""
+    import time
+
+    long = " ".join(f"Word{k} and\n{k * 7919 % 1000}" for k in range(16_000))
+    texts = ["", "a", " ab ", "Ab c\tD", "x 😀y\n😀", "née_1, NÉE_1", None, long]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    begun = time.monotonic()
+    got = {r["id"]: r["tokens"] for r in df.select("id", V.tokens(F.col("text")).alias("tokens")).collect()}
+    took = time.monotonic() - begun
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i] is None
+            continue
+        flat = re.sub(r"\s+", "", text.lower())
+        assert len(got[i]) == len(set(got[i]))
+        assert set(got[i]) == set(re.findall(r"\w+", text.lower())) | {flat[k : k + 2] for k in range(len(flat) - 1)}
+    assert took < 20
+
+
+def test_diverse_without_text(spark, sf_dir, tmp_path):
+    """A document without text is a candidate like any other."""
+    for name in ("embeddings", "documents"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = df.withColumn("text", F.lit(None).cast("string")) if name == "documents" else df
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = QUERIES["v6_diverse"](spark, str(tmp_path)).collect()
+    assert got and {r["rank"] for r in got} == {1, 2, 3, 4, 5}

@@ -259,9 +259,10 @@ def score(distance: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The distinct words of a text, with the bigrams of its characters other than white space."""
-    flat = F.regexp_replace(F.lower(text), r"\s+", "")
-    pairs = F.when(F.length(flat) >= 2, F.transform(F.sequence(F.lit(1), F.length(flat) - 1), lambda i: F.substring(flat, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """The distinct words of a text, with the bigrams of its characters other than white space. The characters are taken once, in
+    time linear in the text: what stands in a lambda is evaluated anew for each element."""
+    chars = F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\s+", ""), F.lit("(?s)."), F.lit(0))
+    pairs = F.filter(F.zip_with(chars, F.slice(chars, 2, 1 << 30), lambda a, b: F.concat(a, b)), lambda p: p.isNotNull())
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
     return F.array_union(words, pairs)
 

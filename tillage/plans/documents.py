@@ -75,7 +75,7 @@ def v6_diverse(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     near = V.nearest(v.filter("vec_id % 100 = 0"), v, 20, "vec_id", "vec_id", "embedding")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    few = near.join(texts, "id").select("query_id", "id", V.score(F.col("distance")).alias("score"), V.tokens(F.col("text")).alias("tokens"))
+    few = near.join(texts, "id").select("query_id", "id", V.score(F.col("distance")).alias("score"), V.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     return V.diverse(few, 5)
 
 
