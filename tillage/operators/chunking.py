@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import dealt
+
 #: Sizes in characters of paragraphs packed, pieces that overlap, pieces cut at marks, blocks and contexts, and
 #: what a table may have in rows and characters.
 PACKED, SPLIT, RECURSIVE, BLOCK, CONTEXT, TABLE = (700, 20), (800, 40), (800, 120), 800, 780, (4, 1600)
@@ -102,7 +104,7 @@ def streamed(rows: DataFrame, order: list[str], pack, columns: list[str], schema
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInPandas(run, schema)
+    return dealt(rows, ["doc_id"], order).mapInPandas(run, schema)
 
 
 def absorbed(texts: Iterator[str], most: int) -> Iterator[str]:

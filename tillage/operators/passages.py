@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import dealt
 from .structure import TEXT_BLOCKS, new_titles
 
 #: Characters of a chunk, and of the overlap of the parts of a longer text.
@@ -109,7 +110,7 @@ def numbered(rows: DataFrame, order: list[str], watched: list[str], name: str, n
                 out.append(give(row))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, name])
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, schema)
+    return dealt(rows, ["doc_id"], order).mapInArrow(run, schema)
 
 
 def _by_headings() -> Callable[[dict], int]:

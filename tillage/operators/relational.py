@@ -31,6 +31,13 @@ def small(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
 
 
+def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """All rows of a key in one task, sorted by keys and order, for functions that take the rows of a task as a stream. Dealt by a
+    hash of the keys, not by the keys: Spark leaves a shuffle by columns out where what is below claims to be dealt by them, as a
+    union of windows does, and the adaptive run then merges the partitions of each side its own way."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def labelled(*columns: str) -> Column:
     """The first of the columns that isn't null or blank."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])

@@ -138,13 +138,13 @@ def cells(spark, sf_dir):
     li = li.withColumn("all", F.count("*").over(Window.partitionBy("l_orderkey")))
     cell = lambda row, col, text, wide=1, coloured=False, high=F.lit(1): F.struct(row.cast("long").alias("row"), F.lit(col).alias("col"), text.alias("text"), F.lit(wide).alias("col_span"), high.cast("int").alias("row_span"), F.lit(coloured).alias("coloured"))
     zero, n, last = F.lit(0), F.col("nth"), F.col("all") + 1
-    once = li.filter("nth = 1")
-    head = once.select("l_orderkey", F.explode(F.array(cell(zero, 0, F.lit("flag"), coloured=True), cell(zero, 1, F.lit("→"), coloured=True), cell(zero, 2, F.lit("part"), 2, coloured=True))).alias("c"))
-    own = [cell(n, 1, F.lit("")), cell(n, 2, F.col("l_partkey").cast("string")), cell(n, 3, F.col("l_quantity").cast("int").cast("string"))]
-    high = F.when(n < F.col("all"), 2).otherwise(1)
-    body = li.select("l_orderkey", F.explode(F.when(n % 2 == 1, F.array(cell(n, 0, F.col("l_returnflag"), high=high), *own)).otherwise(F.array(*own))).alias("c"))
-    foot = once.select("l_orderkey", F.explode(F.array(cell(last, 0, F.lit("lines"), coloured=True), cell(last, 1, F.lit("")), cell(last, 2, F.col("all").cast("string")), cell(last, 3, F.lit("in all")))).alias("c"))
-    return head.unionByName(body).unionByName(foot).select(F.col("l_orderkey").alias("table_id"), "c.*")
+    head = F.array(cell(zero, 0, F.lit("flag"), coloured=True), cell(zero, 1, F.lit("→"), coloured=True), cell(zero, 2, F.lit("part"), 2, coloured=True))
+    own = F.array(cell(n, 1, F.lit("")), cell(n, 2, F.col("l_partkey").cast("string")), cell(n, 3, F.col("l_quantity").cast("int").cast("string")))
+    flag = F.array(cell(n, 0, F.col("l_returnflag"), high=F.when(n < F.col("all"), 2).otherwise(1)))
+    foot = F.array(cell(last, 0, F.lit("lines"), coloured=True), cell(last, 1, F.lit("")), cell(last, 2, F.col("all").cast("string")), cell(last, 3, F.lit("in all")))
+    # In one pass: the first line brings the header row, the last one the total.
+    parts = [F.when(n == 1, head), F.when(n % 2 == 1, flag), own, F.when(n == F.col("all"), foot)]
+    return li.select(F.col("l_orderkey").alias("table_id"), F.inline(F.concat(*[F.coalesce(p, F.slice(own, 1, 0)) for p in parts])))
 
 
 @query("""WITH l AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag)),
