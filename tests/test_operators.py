@@ -151,6 +151,27 @@ def test_nearest_place(spark, cells):
         assert abs(found[i]["metres"] - m) < 0.2
 
 
+def test_nearest_place_in_piles(spark):
+    """Many points and places in a few spots: no join makes more rows than spots ask for, and the least id of a pile counts."""
+    n = 3000
+    points = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("i"), (37.0 + F.col("id") % 3).alias("lat"), F.lit(127.0).alias("lon"))
+    points = points.union(spark.createDataFrame([("b", n, 1.0, 1.0)], "k string, i long, lat double, lon double"))
+    places = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("j"), (37.0 + F.col("id") % 2).alias("lat"), F.lit(127.0).alias("lon"))
+    got = S.nearest_place(points, places, ["k"], "i", "j")
+    found = {r["i"]: (r["nearest"], r["metres"]) for r in got.collect()}
+    assert found == {i: ((0, 0.0), (1, 0.0), (1, 111194.9))[i % 3] for i in range(n)}
+
+    def rows(node):
+        """The most rows that a join of the plan that ran has made."""
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() and node.metrics().contains("numOutputRows") else 0
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        children += [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else []
+        children += [node.plan()] if "QueryStage" in node.nodeName() else []
+        return max([own, *map(rows, children)])
+
+    assert rows(got._jdf.queryExecution().executedPlan()) <= 2 * n
+
+
 def vectors(n, width=12, groups=9, seed=1):
     rng = random.Random(seed)
     centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(groups)]

@@ -43,26 +43,30 @@ def nearest_place(points: DataFrame, places: DataFrame, keys: list[str], point:
     metres (1 digit; equally far ones count by the least id). The places of each key set the size of its cells, by their number
     and spread, so that a cell has `in_a_cell` of them. A point looks into its cell and the eight around it; what it finds there
     is the nearest, if it is nearer than the edge of these cells. Those that find none or one too far off, which are few, look at
-    all places of their keys. Points without a place of their keys are left out."""
-    world = places.select(*keys, F.col(place).alias("_place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    all places of their keys. Points without a place of their keys are left out. What stands in one spot is one: of places there
+    the least id, and points there look once, so piles of either don't multiply."""
+    world = places.groupBy(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.min(place).alias("_place"))
     spread = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(LEAST_CELL))
     wide = F.sqrt(spread("_lat") * spread("_lon") * in_a_cell / F.count("*"))
     # Cells go round the world a whole number of times.
     turns = world.groupBy(*keys).agg(F.greatest(F.lit(4), F.floor(360 / F.greatest(wide, F.lit(LEAST_CELL)))).cast("int").alias("_turns"))
     cell = lambda c: F.floor(F.col(c) / (F.lit(360.0) / F.col("_turns"))).cast("int")
     around = F.expr("explode(transform(sequence(0, 8), i -> struct(CAST(i DIV 3 AS INT) - 1 AS a, CAST(i % 3 - 1 AS INT) AS b)))")
-    looking = points.select(*keys, point, "lat", "lon").join(turns, keys).withColumn("_to", around)
+    spots = points.select(*keys, "lat", "lon").distinct()
+    looking = spots.join(turns, keys).withColumn("_to", around)
     looking = looking.withColumns({"_i": cell("lat") + F.col("_to.a"), "_j": F.pmod(cell("lon") + F.col("_to.b"), F.col("_turns"))}).drop("_to")
     standing = world.join(turns, keys).withColumns({"_i": cell("_lat"), "_j": F.pmod(cell("_lon"), F.col("_turns"))}).drop("_turns")
     metres = F.round(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 1)
     best = F.min(F.when(F.col("_place").isNotNull(), F.struct(metres.alias("m"), F.col("_place").alias("p")))).alias("best")
-    found = looking.join(standing, [*keys, "_i", "_j"], "left").groupBy(*keys, point, "lat", "lon", "_turns").agg(best)
+    found = looking.join(standing, [*keys, "_i", "_j"], "left").groupBy(*keys, "lat", "lon", "_turns").agg(best)
     edge = F.lit(EARTH_METRES) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(360.0) / F.col("_turns"))))
     found = found.withColumn("_far", F.coalesce(F.col("best.m") + 0.1 >= edge, F.lit(True))).drop("_turns")
     rest = found.join(world.withColumn("_far", F.lit(True)), [*keys, "_far"], "left")
-    last = rest.groupBy(*keys, point, "lat", "lon", "_far", "best").agg(best.alias("other"))
+    last = rest.groupBy(*keys, "lat", "lon", "_far", "best").agg(best.alias("other"))
     chosen = F.when(F.col("_far"), F.col("other")).otherwise(F.col("best"))
-    return last.select(point, chosen["p"].alias("nearest"), chosen["m"].alias("metres"))
+    spot = last.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), chosen["p"].alias("nearest"), chosen["m"].alias("metres"))
+    here = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("lat", "lon")]
+    return points.select(*keys, point, "lat", "lon").distinct().join(spot, here).select(point, "nearest", "metres")
 
 
 #: The conformal grid of the forecast (kilometres, degrees, origin cell).
