@@ -182,3 +182,25 @@ def test_diverse_without_text(spark, sf_dir, tmp_path):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     got = QUERIES["v6_diverse"](spark, str(tmp_path)).collect()
     assert got and {r["rank"] for r in got} == {1, 2, 3, 4, 5}
+
+
+def test_texts_in_small_pieces():
+    """A task takes a few texts apart at a time, however many a batch holds; a long one alone, nulls and empty ones as they come."""
+    import pyarrow as pa
+
+    class Docs:
+        """Stands for a DataFrame, to get at the function that a task runs."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    line = "né one line of a text of some length " * 4
+    texts = ["\n".join([line] * 150)] * 300 + [None, "", "\n".join([line] * 20_000)] + [line] * 5
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    out = list(C.packed(Docs())([batch, batch.slice(0, 0)]))
+    assert len(out) > 5 and all(b.nbytes < 1.5 * C.AT_ONCE or len(set(b["doc_id"].to_pylist())) == 1 for b in out)
+    got = [tuple(r) for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(C.pack_paragraphs(t or ""))]

@@ -6,7 +6,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from .relational import dealt
 PACKED, SPLIT, RECURSIVE, BLOCK, CONTEXT, TABLE = (700, 20), (800, 40), (800, 120), 800, 780, (4, 1600)
 
 CHUNKS = "doc_id long, chunk int, content string"
+_COLUMNS = ["doc_id", "chunk", "content"]
 
 
 def pack_paragraphs(text: str, most: int = PACKED[0], least: int = PACKED[1]) -> list[str]:
@@ -53,13 +57,31 @@ def split_overlapping(text: str, most: int = SPLIT[0], overlap: int = SPLIT[1])
     return [c for c in out if c]
 
 
+#: Bytes of texts that a task takes apart at a time; a longer text is taken alone.
+AT_ONCE = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in order, so many at a time that their texts have AT_ONCE bytes or are one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _each(docs: DataFrame, split) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, c) for i, t in zip(batch["doc_id"], batch["text"]) for k, c in enumerate(split(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "content"])
+            for some in _slices(batch, 1):
+                parts = [split(t or "") for t in some.column(1).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+                nth, content = [k for p in parts for k in range(len(p))], [c for p in parts for c in p]
+                yield pa.record_batch([some.column(0).take(of), pa.array(nth, pa.int32()), pa.array(content, pa.string())], names=_COLUMNS)
 
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CHUNKS)
 
 
 def packed(docs: DataFrame, most: int = PACKED[0], least: int = PACKED[1]) -> DataFrame:
@@ -129,9 +151,6 @@ def _numbered(texts: Iterator[str]) -> Iterator[tuple[int, str]]:
     return enumerate(texts)
 
 
-_COLUMNS = ["doc_id", "chunk", "content"]
-
-
 def absorb_labels(chunks: DataFrame, most: int = 16) -> DataFrame:
     """Within each document, a chunk of at most `most` characters joins the next one, if that is longer."""
     rows = chunks.select("doc_id", "chunk", F.coalesce("content", F.lit("")).alias("content"))
