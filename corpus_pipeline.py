@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again for the next.
 
-The stage `simhash_near_dedup` bears the name of its place; near copies there are texts of five-word Jaccard similarity 0.8 or
-more, which fingerprints can't promise to find (README). Ids are whole numbers, or texts of such; another id is an error.
+The stage `simhash_near_dedup` brings texts together by SimHash fingerprints and decides by whole sets: near copies are texts of
+five-word Jaccard similarity 0.8 or more. Fingerprints can't promise to find all of them, so prefixes find the rest (README). Ids are whole numbers, or texts of such; another id is an error.
 
 Null and empty texts have no words, so the quality rules reject them. Of rows that repeat an id and a text one stays, rows
 that share an id only are documents of their own, and rows without an id are never duplicates. Ties go to the least id.
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id."""
+    """One document of each group of near duplicates, found by SimHash and then by prefixes, stays: the one with the least id."""
     return near_copies.deduplicate(docs)
 
 

@@ -157,3 +157,41 @@ def test_hot_shingles(spark, monkeypatch):
     for name, value in (("HOT", 100), ("HOT_SAMPLE", 1), ("FREQUENT", 0), ("CROWD", 3)):
         monkeypatch.setattr(near_copies, name, value)
     assert sorted(r["doc_id"] for r in near_copies.deduplicate(df).collect()) == expected
+
+
+def test_fingerprints_find_near_copies(spark, monkeypatch):
+    """SimHash alone connects what is at most two bits apart, and whole sets decide; where no prefix is looked at, near copies of long
+    texts are still found by it."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    texts = []
+    for base in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["another", *words[1:]])]
+    texts += ["", None, "one two three", "One two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_copies.prefixes(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")).collect()
+    sets = list(near_copies.shingle_sets(pa.array(texts, pa.string())))
+    plain = lambda own: sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in near_copies._mixed(own)) > len(own))
+    assert all(r["fp"] % (1 << 64) == plain(sets[r["rep"]]) for r in nodes)
+    fp = {r["node"]: r["fp"] % (1 << 64) for r in nodes}
+    pairs = {(r["node"], r["node2"]) for r in near_copies.by_fingerprints(spark.createDataFrame(nodes)).collect()}
+    assert all((fp[a] ^ fp[b]).bit_count() <= 2 and a > b for a, b in pairs)
+    root = {n: n for n in fp}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        root[top(a)] = top(b)
+    near = [(a, b) for a in fp for b in fp if a > b and (fp[a] ^ fp[b]).bit_count() <= 2]
+    assert len(near) > 6 and all(top(a) == top(b) for a, b in near)
+    met = near_copies._met
+    monkeypatch.setattr(near_copies, "_met", lambda nodes: met(nodes).limit(0))
+    found = {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
+    rep = {r["node"]: r["rep"] for r in nodes}
+    assert all(found[rep[a]] == found[rep[b]] for a, b in near)

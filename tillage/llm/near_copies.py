@@ -3,7 +3,11 @@
 Shingles: A-Z lower-cased, words split at ASCII white space, runs of five words (all words where there are fewer), as
 64-bit digests. Texts with the same set are one node, named by the digest of the set.
 
-Candidates come from prefixes, which lose nothing: if the shingles of all sets are put in one order, whatever it is, two
+The first candidates come from SimHash: each node has a fingerprint of 64 bits, a bit is 1 where it is 1 in over half of the
+shingles, and nodes at most simhash.RADIUS bits apart meet on op6's grid (simhash.links). Whole sets decide which of them are
+linked. That finds most near copies, but bits promise nothing, so what they leave apart is looked for by prefixes.
+
+Candidates of the second step come from prefixes, which lose nothing: if the shingles of all sets are put in one order, whatever it is, two
 sets of n and m shingles that are similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. The
 order puts shingles last that are frequent in a sample, so that common passages hardly ever bring texts together. At the
 first shingle that two sets share, what is left of the shorter one bounds what they can share.
@@ -35,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .shared import scratch, written
 from .texts import PLAIN_WORD, _mixed, run_digests, slices, tidy, word_digests, word_spans
@@ -106,9 +111,18 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order]
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles; that of the empty set is 0."""
+    ones = np.zeros(64, np.int64)
+    mixed = _mixed(own)
+    for k in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(mixed[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, prefix, counts) of (doc_id, text): the name and size of the set, the shingles that it is found by,
-    and how many it has in each bucket."""
+    """(doc_id, node, n, prefix, counts, fp) of (doc_id, text): the name and size of the set, the shingles that it is found by,
+    how many it has in each bucket, and its fingerprint."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     p, q = SIMILAR
 
@@ -123,15 +137,25 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            names, sizes, found, counts = [], [], [], []
+            names, sizes, found, counts, bits = [], [], [], [], []
             for own in shingle_sets(batch.column(1)):
                 names.append(_name(own))
                 sizes.append(len(own))
                 found.append(prefix(own))
+                bits.append(fingerprint(own))
                 counts.append(np.minimum(np.bincount((own >> np.uint64(7)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(found), pa.array(counts, pa.binary())], names=["doc_id", "node", "n", "prefix", "counts"])
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(found), pa.array(counts, pa.binary()), pa.array(bits, pa.int64())], names=["doc_id", "node", "n", "prefix", "counts", "fp"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, node long, n int, prefix array<long>, counts binary, fp long")
+
 
-    return docs.mapInArrow(tidy(run), "doc_id long, node long, n int, prefix array<long>, counts binary")
+def by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """The pairs (node, node2), the larger first, that connect all nodes (node, fp) at most simhash.RADIUS bits apart: nodes of one
+    fingerprint with the least of them, and the least ones of fingerprints that are near each other."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "near-prints")
+    same = nodes.select("node", "fp").join(prints, "fp").filter("node != rep").select("node", F.col("rep").alias("node2"))
+    across = simhash.links(prints).select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("node2"))
+    return same.union(across).distinct()
 
 
 def _met(nodes: DataFrame) -> DataFrame:
@@ -321,7 +345,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def _found(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     prints = written(prefixes(docs), "near-prefixes")
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("counts")), "near-nodes")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("counts"), F.first("fp").alias("fp")), "near-nodes")
+    near = written(_similar(by_fingerprints(nodes), nodes, docs), "near-bits")
     met = written(_met(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))), "near-met")
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "node2"))
     stars = written(_possible(met.filter("node != node2")).withColumn("nth", nth).filter(F.col("nth") <= TRIED).select("node", "node2", "nth"), "near-stars")
@@ -332,7 +357,9 @@ def _found(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         both = pairs.join(ends[0], "node", "left").join(ends[1], "node2", "left")
         return both.filter(F.coalesce("c", "node") != F.coalesce("c2", "node2")).select("node", "node2")
 
-    first = written(_similar(stars.filter("nth = 1").select("node", "node2"), nodes, docs), "near-links")
+    # What fingerprints leave apart.
+    first = written(named(stars.filter("nth = 1").select("node", "node2"), components(near)), "near-first")
+    first = written(near.union(_similar(first, nodes, docs)), "near-links")
     others = stars.filter("nth > 1").select("node", "node2")
     links = written(first.union(_similar(written(named(others, components(first)), "near-others"), nodes, docs)), "near-links")
     # What is still apart, though it shares a prefix shingle.
