@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillage.sources.documents import segments
@@ -254,6 +255,38 @@ def test_settled_stream(spark, tmp_path):
     assert [g for g in got if g[0] is not None] == sorted((tuple(r) for r in want.collect()), key=repr) and [g for g in got if g[0] is None] == [(None, 1, 20, 1)]
 
 
+def test_settled_stream_shares_states(spark, tmp_path):
+    """Thousands of keys take a bounded number of states, one of them in pieces; ids beyond 2^53, null and NaN, times and bytes as keys
+    stay what they are, rows without a time settle nothing."""
+    key, most = "CAST(id % 3000 AS double) k, timestamp_micros(1700000000000001 + id % 3000) day, CAST('x' AS binary) b", 1 << 60
+    odd = "CAST({k} AS double) k, CAST(null AS timestamp) day, unhex('00FF') b, CAST({request} AS long) request, CAST({at} AS long) at"
+    batches = [
+        [f"SELECT {key}, {most} + id AS request, id AS at FROM range(9000)", f"SELECT {odd.format(k=0, request=f'{most} + id', at='id')} FROM range(12001)",
+         f"SELECT {odd.format(k="'NaN'", request=7, at=1)}", f"SELECT {odd.format(k='null', request=8, at=1)}", f"SELECT {odd.format(k='null', request=9, at='null')}"],
+        [f"SELECT {key}, CAST(null AS long) request, 3000 + id AS at FROM range(3000)", f"SELECT {odd.format(k="'-0.0'", request='null', at=12000)}", f"SELECT {odd.format(k="'NaN'", request='null', at=2)}",
+         f"SELECT {odd.format(k='null', request='null', at=2)}", f"SELECT {odd.format(k='null', request='null', at='null')}"],
+    ]
+    store, kind = "spark.sql.streaming.stateStore.providerClass", "k double, day timestamp, b binary, request long, at long"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for parts in batches:
+            spark.sql(" UNION ALL ".join(parts)).write.mode("append").parquet(str(tmp_path / "in"))
+            found = settled_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), ["k", "day", "b"], "at", "request")
+            run = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+            run.awaitTermination()
+            assert max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) <= 2 * 1024 + 2
+    finally:
+        spark.conf.set(store, before)
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("CAST(k AS string)", "unix_micros(day) - 1700000000000001", "hex(b)", f"request - {most}", "at").collect()
+    plain = [(f"{i % 3000}.0", i % 3000, "78", i, i) for i in range(3000 + 3000)]  # evidence is 3000 after the first of a key
+    plain = [p for p in plain if p[4] < 3000 + p[1]]
+    want = plain + [("0.0", None, "00FF", i, i) for i in range(12000)] + [("NaN", None, "00FF", 7 - most, 1), (None, None, "00FF", 8 - most, 1)]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        settled_stream(spark.readStream.schema("k int, request long, at timestamp").parquet(str(tmp_path / "in")), ["k"], "at", "request")
+
+
 def test_statements(spark, tmp_path):
     """Each statement sees what the one before left; the table changes once, and counts are by what was there before."""
     path = str(tmp_path / "t")

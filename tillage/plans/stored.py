@@ -74,7 +74,7 @@ def m2_superseded(spark, sf_dir):
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        found = settled_stream(events, ["user_id"], "at", "request")
+        found = settled_stream(events, ["user_id"], "at", "request", buckets=max(256, T.stored_bytes(spark, f"{sf_dir}/events.parquet") >> 17))
         found.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     finally:
         spark.conf.set(store, before)

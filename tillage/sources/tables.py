@@ -21,6 +21,12 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    files, at = _files(spark, path)
+    return files.getContentSummary(at).getLength()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path that nothing else uses in the folder that driver and executors share, spark.checkpoint.dir; it goes when the process
     ends. Only in local mode may that setting be missing: then it is a temporary folder."""

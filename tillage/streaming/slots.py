@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +17,9 @@ from ..operators.relational import first_per_key
 #: Bytes that a bucket of a table should have.
 BUCKET_BYTES = 256 << 20
 
+#: Requests that are written to a state at once.
+PIECE = 10_000
+
 
 def upsert_stream(rows: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, bucket_bytes: int = BUCKET_BYTES) -> StreamingQuery:
     """Each micro-batch replaces the slots that it has rows for, unless these are older (by `order`) than what is there; a batch that
@@ -101,48 +105,83 @@ def settled(requests: DataFrame, evidence: DataFrame, keys: list[str], at: str)
 
 
 class _Settling(StatefulProcessor):
-    """What is known of one key: the newest evidence, and the requests that wait for a newer one."""
+    """What is known of the keys of one bucket: the newest evidence of each, and the requests that wait for a newer one, both as lists
+    by column, so that a bucket takes a few calls for all of its keys. Keys are texts (`_text`); no column has nulls."""
 
-    def __init__(self, keys: list[str], at: str, request: str) -> None:
-        self.keys, self.at, self.request = keys, at, request
+    def __init__(self, width: int) -> None:
+        self.names = [f"k{i}" for i in range(width)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "at long")
-        self.waiting = handle.getMapState("waiting", "request long, at long", "n long")
+        lists = ", ".join(f"{k} array<string>" for k in self.names)
+        self.newest = handle.getValueState("newest", f"{lists}, at array<long>")
+        self.waiting = handle.getListState("waiting", f"{lists}, request array<long>, at array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new, newest = [], self.newest.get()[0] if self.newest.exists() else None
+        newest = {tuple(k): t for *k, t in zip(*(self.newest.get() or ()))}
+        out, new, risen, names = [], [], False, [*self.names, "request", "at"]
         for batch in rows:
-            own = batch[batch[self.request].isna()][self.at]
-            newest = max([newest, *own.tolist()] if newest is not None else own.tolist(), default=newest)
-            new += [(int(r), int(t)) for r, t in batch[batch[self.request].notna()][[self.request, self.at]].itertuples(index=False, name=None)]
-        if newest is not None:
-            self.newest.update((int(newest),))
-        out = []
-        for place in [p for p, _ in self.waiting.iterator()] if newest is not None else ():
-            if place[1] < newest:
-                out += [tuple(place)] * self.waiting.getValue(place)[0]
-                self.waiting.removeKey(place)
-        for place in new:
-            if newest is not None and place[1] < newest:
-                out.append(place)
-            else:
-                self.waiting.updateValue(place, ((self.waiting.getValue(place)[0] if self.waiting.containsKey(place) else 0) + 1,))
+            for asks, *k, request, at in zip(*(batch[c].tolist() for c in ["asks", *names])):
+                last = newest.get(tuple(k))
+                if not asks:
+                    if last is None or last < at:
+                        newest[tuple(k)], risen = at, True
+                elif last is not None and at < last:
+                    out.append((*k, request, at))
+                else:
+                    new.append((*k, request, at))
+            if len(out) >= PIECE:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if risen:
+            self.newest.update(tuple(list(c) for c in zip(*((*k, t) for k, t in newest.items()))))
+            open_ = []
+            for piece in chain((zip(*p) for p in self.waiting.get()), [new]):
+                for place in piece:
+                    (out if place[-1] < newest.get(place[:-2], place[-1]) else open_).append(place)
+                if len(out) >= PIECE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            self.waiting.clear()
+            new = open_
         if out:
-            yield pd.DataFrame([(*key, *o) for o in out], columns=[*self.keys, self.request, self.at])
+            yield pd.DataFrame(out, columns=names)
+        for i in range(0, len(new), PIECE):
+            self.waiting.appendValue(tuple(list(c) for c in zip(*new[i : i + PIECE])))
 
     def close(self) -> None:
         pass
 
 
-def settled_stream(events: DataFrame, keys: list[str], at: str, request: str) -> DataFrame:
+def _text(name: str, kind: str) -> tuple[Column, Callable[[str], Column]]:
+    """A key's column as a text, equal where Spark's keys are (null and NaN too), and how the key is had back from it."""
+    if kind.startswith(("array", "map", "struct", "variant")):
+        raise ValueError(f"{name}: keys of type {kind} have no text")
+    col, back = F.col(name), lambda text: text.cast(kind)
+    if kind in ("float", "double"):
+        col = col + F.lit(0.0)  # -0.0 is 0.0
+    elif kind == "timestamp":
+        col, back = F.unix_micros(name), lambda text: F.timestamp_micros(text.cast("long"))
+    elif kind == "binary":
+        col, back = F.hex(name), F.unhex
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("")), lambda c: F.when(F.col(c) != "", back(F.substring(c, 2, 2**31 - 1)))
+
+
+def settled_stream(events: DataFrame, keys: list[str], at: str, request: str, buckets: int = 1024) -> DataFrame:
     """Of a stream of requests (with an id) and pieces of evidence (without), in any order, the requests that evidence of the same
     keys supersedes, each once, as soon as both are there: keys, request, at. What settled() gives for all rows at once. A key's
-    state is its newest evidence and the requests that none has superseded yet. Needs the RocksDB state store."""
+    state is its newest evidence and the requests that none has superseded yet. Keys share their state in buckets by a hash, as the
+    calls for a key cost more than its rows do; a batch reads and writes the buckets that it has rows for. Let a bucket have some
+    thousand waiting requests; their number stays as long as the checkpoint. Needs the RocksDB state store."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, request, at])
-    grouped = events.select(*keys, request, at).groupBy(*keys)
-    return grouped.transformWithStateInPandas(_Settling(keys, at, request), schema, "Append", "None")
+    if not {kinds[request], kinds[at]} <= {"tinyint", "smallint", "int", "bigint"}:
+        raise ValueError(f"{request} and {at} have to be whole numbers")
+    texts = [_text(c, kinds[c]) for c in keys]
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = events.filter(F.col(at).isNotNull()).select(F.col(request).isNotNull().alias("asks"), *(t.alias(k) for k, (t, _) in zip(names, texts)), F.coalesce(F.col(request).cast("long"), F.lit(0)).alias("request"), F.col(at).cast("long").alias("at"))
+    grouped = rows.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets))).groupBy("bucket")
+    schema = ", ".join([*(f"{k} string" for k in names), "request long", "at long"])
+    found = grouped.transformWithStateInPandas(_Settling(len(keys)), schema, "Append", "None")
+    return found.select(*(back(k).alias(c) for k, c, (_, back) in zip(names, keys, texts)), F.col("request").cast(kinds[request]).alias(request), F.col("at").cast(kinds[at]).alias(at))
 
 
 def rescheduled(anchors: DataFrame, rules: DataFrame) -> DataFrame:
